@@ -72,19 +72,25 @@ def latency_summary(timed: DataFrame) -> DataFrame:
     })
 
 
-def tick_counters(timed: DataFrame, registry: Registry) -> DataFrame:
-    """All counters per metric interval over evaluated, timed items."""
+def all_counters(registry: Registry) -> list[Column]:
+    """Every counter over evaluated, timed items."""
     rejects = [
         count_when(scalars.is_rejected(F.col(verdict_column(n))["outcome"])).alias(f"rejects_{n}")
         for n, _ in registry.active()
     ]
-    return timed.groupBy(interval_number(F.col("ts"), METRIC_INTERVAL_S).alias("tick")).agg(
+    return [
         *counter_columns(registry),
         *merchant_group_columns(F.col("merchant_id")),
         *latency_columns(),
         *rejects,
         F.max("ts").alias("last_ts"),
-    )
+    ]
+
+
+def tick_counters(timed: DataFrame, registry: Registry) -> DataFrame:
+    """All counters per metric interval."""
+    tick = interval_number(F.col("ts"), METRIC_INTERVAL_S).alias("tick")
+    return timed.groupBy(tick).agg(*all_counters(registry))
 
 
 def _rate(part: Column, whole: Column) -> Column:
@@ -141,6 +147,14 @@ def snapshot(ticks: DataFrame, registry: Registry) -> DataFrame:
     return totals.select(F.inline(_named_values(registry)), "epoch_s")
 
 
+def reading(totals: DataFrame, registry: Registry, previous_completions: Column) -> DataFrame:
+    """One reading of the metric pump from running totals and the reading before it."""
+    return totals.withColumns({
+        "interval_completions": F.col("completions") - previous_completions,
+        "epoch_s": F.unix_seconds("last_ts"),
+    }).select(F.inline(_named_values(registry)), "epoch_s")
+
+
 def running_totals(ticks: DataFrame, columns: Sequence[str], order: str = "tick") -> DataFrame:
     """Running totals over all ticks without putting the ticks in one task.
 

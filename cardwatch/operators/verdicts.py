@@ -155,13 +155,18 @@ def rejects_by_ruleset(evaluated: DataFrame, registry: Registry) -> DataFrame:
 
 
 def assemble(
-    postings: DataFrame, rulesets: Sequence[str], fields: Sequence[str], order: Sequence[str]
+    postings: DataFrame,
+    rulesets: Sequence[str],
+    fields: Sequence[str],
+    order: Sequence[str],
+    keys: Sequence[str] = ("item_id",),
 ) -> DataFrame:
     """Collect results posted as rows into one row per item; a set's newest result counts.
 
     Needs columns ``item_id``, ``ruleset``, ``n_applicable`` and ``fields``. The
     known sets become one aggregate each, so state per item is bounded, repeats
-    fold before the shuffle, and a single shuffle by item is enough.
+    fold before the shuffle, and a single shuffle by item is enough. A stream adds
+    the item's event time to ``keys`` so that its state can expire.
     """
     version = F.struct(*[F.col(c) for c in order])
     row = F.struct(*[F.col(c) for c in fields])
@@ -172,13 +177,13 @@ def assemble(
         for n, name in enumerate(rulesets)
     ]
     posted = [F.col(f"posted_{n}") for n in range(len(rulesets))]
-    merged = postings.groupBy("item_id").agg(F.max("n_applicable").alias("n_applicable"), *newest)
+    merged = postings.groupBy(*keys).agg(F.max("n_applicable").alias("n_applicable"), *newest)
     entries = F.array_compact(F.array(*[
         F.when(value.isNotNull(), F.struct(F.lit(name).alias("key"), value.alias("value")))
         for name, value in zip(rulesets, posted)
     ]))
     return merged.select(
-        "item_id",
+        *keys,
         "n_applicable",
         F.size(entries).alias("n_posted"),
         F.map_from_entries(entries).alias("results"),

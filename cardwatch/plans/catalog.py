@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from cardwatch.plans import batch, oracle
+from cardwatch.plans import batch, oracle, streams
 
 
 def queries() -> dict:
-    return dict(batch.QUERIES)
+    return {**batch.QUERIES, **streams.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, sql in oracle.SQL.items() if name in queries()}
+    known = queries()
+    return {name: sql for name, sql in oracle.SQL.items() if name in known}

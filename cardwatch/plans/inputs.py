@@ -18,13 +18,19 @@ def txn_number():
     return parsed_id(F.col("id"), "bigint")
 
 
+def judge(transactions: DataFrame, merchants: DataFrame, registry: Registry) -> DataFrame:
+    """Stored or streamed transactions with verdicts and the final status."""
+    rows = enrich.with_merchant(transactions, merchants)
+    return verdicts.with_final(verdicts.evaluate(rows, registry), registry)
+
+
 def judged(spark: SparkSession, sf_dir: str, registry: Registry | None = None) -> DataFrame:
     """Transactions with their merchant, every rule set's verdict and the final status."""
-    registry = registry or default_registry()
-    rows = enrich.with_merchant(
-        bank.transactions(spark, sf_dir), bank.merchants(spark, sf_dir)
+    return judge(
+        bank.transactions(spark, sf_dir),
+        bank.merchants(spark, sf_dir),
+        registry or default_registry(),
     )
-    return verdicts.with_final(verdicts.evaluate(rows, registry), registry)
 
 
 def timed(spark: SparkSession, sf_dir: str, registry: Registry | None = None) -> DataFrame:

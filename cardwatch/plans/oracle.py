@@ -403,3 +403,17 @@ SQL = {
                arg_max(CASE WHEN merchant_id IS NULL THEN 'malformed merchant id' ELSE 'unknown merchant' END, ts) AS error,
                count(*) AS n_errors FROM scored WHERE m_id IS NULL GROUP BY 1"""),
 }
+
+# A stream over a stored table must end with the batch answer.
+SQL |= {
+    "stream_verdicts": SQL["final_verdicts"],
+    "stream_throughput": SQL["tumbling_tps"],
+    "stream_merchant_avg": SQL["sliding_merchant_avg"],
+    "stream_updated_merchants": SQL["updated_merchants"],
+    "stream_assembly": SQL["complete_items"],
+    "stream_feedback": SQL["asof_feedback"],
+    "stream_envelopes": _plain("SELECT id AS item_id, 2 AS n_applicable, t_routed, amount FROM judged"),
+    "stream_metrics": _over(_TICKS, query=f"""
+        SELECT name, value, (SELECT max(ts_s) FROM txn) AS epoch_s FROM metric {_LAST_READING}
+        AND name <> 'bib.payment.rate'"""),
+}

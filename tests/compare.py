@@ -54,7 +54,7 @@ def differences(spark_df, con, sql: str) -> list[str]:
     problems = []
     if sorted(columns) != sorted(spark_df.columns):
         return [f"columns {sorted(spark_df.columns)} != {sorted(columns)}"]
-    names = {"INTEGER": "int", "BIGINT": "bigint", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean"}
+    names = {"INTEGER": "int", "BIGINT": "bigint", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean", "SMALLINT": "smallint"}
     for name, kind in spark_df.dtypes:
         if names.get(kinds[name], kinds[name]) != kind:
             problems.append(f"type of {name}: {kind} != {kinds[name]}")
