@@ -6,10 +6,9 @@ one small row per metric interval, and every later step works on those rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from cardwatch.fixed_values import (
     DASHBOARD_BANDS,
@@ -20,11 +19,12 @@ from cardwatch.fixed_values import (
 )
 from cardwatch.functions import scalars
 from cardwatch.functions.aggregates import count_when
+from cardwatch.operators.blocks import running_totals
 from cardwatch.operators.rules import Registry
 from cardwatch.operators.verdicts import counter_columns, verdict_column
 from cardwatch.operators.windows import interval_number
 
-# Intervals per block of the two-level running total: one day of intervals.
+# Intervals per block of the running totals: one day of intervals.
 _BLOCK = 86_400 // METRIC_INTERVAL_S
 
 
@@ -155,30 +155,11 @@ def reading(totals: DataFrame, registry: Registry, previous_completions: Column)
     }).select(F.inline(_named_values(registry)), "epoch_s")
 
 
-def running_totals(ticks: DataFrame, columns: Sequence[str], order: str = "tick") -> DataFrame:
-    """Running totals over all ticks without putting the ticks in one task.
-
-    Totals run inside day-long blocks in parallel; only the block totals, one row
-    per day, are accumulated in a single ordered pass.
-    """
-    blocked = ticks.withColumn("block", F.floor(F.col(order) / _BLOCK))
-    per_block = blocked.groupBy("block").agg(*[F.sum(c).alias(f"block_{c}") for c in columns])
-    earlier = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_block.select("block", *[
-        F.coalesce(F.sum(f"block_{c}").over(earlier), F.lit(0)).alias(f"before_{c}")
-        for c in columns
-    ])
-    inside = Window.partitionBy("block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return blocked.join(offsets, "block").withColumns({
-        c: F.sum(c).over(inside) + F.col(f"before_{c}") for c in columns
-    }).drop("block", *[f"before_{c}" for c in columns])
-
-
 def series(ticks: DataFrame, registry: Registry) -> DataFrame:
     """What the metric pump reports at each interval with activity: (tick_s, name, value)."""
     counters = _counter_names(registry)
     per_interval = ticks.withColumn("interval_completions", F.col("completions"))
-    running = running_totals(per_interval, counters)
+    running = running_totals(per_interval, "tick", counters, _BLOCK)
     tick_end = (F.col("tick") + 1) * METRIC_INTERVAL_S
     return running.select(
         tick_end.alias("tick_s"), F.inline(_named_values(registry))
@@ -191,7 +172,7 @@ def payment_rate(ticks: DataFrame) -> DataFrame:
     Readings come every interval, so the difference is the interval's own count.
     """
     counted = ticks.select("tick", F.col("completions").alias("interval_completions"), "completions")
-    return running_totals(counted, ["completions"]).select(
+    return running_totals(counted, "tick", ["completions"], _BLOCK).select(
         ((F.col("tick") + 1) * METRIC_INTERVAL_S).alias("tick_s"),
         "completions",
         (F.col("interval_completions") / METRIC_INTERVAL_S).alias("payments_per_s"),

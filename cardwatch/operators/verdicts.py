@@ -24,6 +24,10 @@ from cardwatch.functions.aggregates import count_when
 from cardwatch.operators.rules import RESULT_TYPES, Registry, RuleSet
 
 
+# Rule sets a posting stamp can tell apart.
+MAX_SETS = 64
+
+
 def verdict_column(ordinal: int) -> str:
     return f"verdict_{ordinal}"
 
@@ -94,6 +98,26 @@ def as_rows(evaluated: DataFrame, registry: Registry, *keep: str) -> DataFrame:
     return evaluated.select(*keep, "n_applicable", F.inline(verdicts))
 
 
+def rule_tasks(items: DataFrame, registry: Registry, key: str = "id") -> DataFrame:
+    """One row per item and rule: the rule's own result in its kind's slot."""
+    active = registry.active()
+    shared = {name: make for _, s in active for name, make in s.shared.items()}
+    rows = items.withColumns({name: make() for name, make in shared.items()}) if shared else items
+    tasks = [
+        F.when(s.selects(), F.struct(
+            F.lit(s.qualified_name).alias("ruleset"),
+            F.lit(rule.qualified_name(s.name)).alias("rule"),
+            *[
+                (rule.result() if kind == s.kind else F.lit(None)).cast(kind_type)
+                .alias(f"result_{kind}")
+                for kind, kind_type in RESULT_TYPES.items()
+            ],
+        ))
+        for _, s in active for rule in s.rules if rule.enabled
+    ]
+    return rows.select(F.col(key).alias("item_id"), F.inline(F.array_compact(F.array(*tasks))))
+
+
 def with_final(evaluated: DataFrame, registry: Registry) -> DataFrame:
     """Final status, the first rejecting set in registration order, and all rejecting sets.
 
@@ -190,6 +214,55 @@ def assemble(
     )
 
 
+def assemble_outcomes(
+    postings: DataFrame, rulesets: Sequence[str], keys: Sequence[str] = ("item_id",)
+) -> DataFrame:
+    """``assemble`` when only the outcomes matter, with a map of outcome names.
+
+    Posting time and outcome share one number per set, so the newest outcome is a
+    plain maximum and the aggregation stays hash based.
+    """
+    stamped = posting_stamp()
+    newest = [
+        F.max(F.when(F.col("ruleset") == name, stamped)).alias(f"posted_{n}")
+        for n, name in enumerate(rulesets)
+    ]
+    merged = postings.groupBy(*keys).agg(F.max("n_applicable").alias("n_applicable"), *newest)
+    entries = F.array_compact(F.array(*[
+        F.when(
+            F.col(f"posted_{n}").isNotNull(),
+            F.struct(F.lit(name).alias("key"), stamped_outcome(F.col(f"posted_{n}")).alias("value")),
+        )
+        for n, name in enumerate(rulesets)
+    ]))
+    return merged.select(
+        *keys,
+        "n_applicable",
+        F.size(entries).alias("n_posted"),
+        F.map_from_entries(entries).alias("results"),
+    )
+
+
+def posting_stamp() -> Column:
+    """Posting time, set number and outcome as one number that sorts by time first."""
+    code = scalars.enum_ordinal(F.col("outcome"), OUTCOMES)
+    return (F.col("posted_ms") * MAX_SETS + F.col("ordinal")) * len(OUTCOMES) + code
+
+
+def stamped_outcome(stamp: Column) -> Column:
+    return scalars.enum_name(F.pmod(stamp, F.lit(len(OUTCOMES))), OUTCOMES)
+
+
+def first_outcomes(postings: DataFrame) -> DataFrame:
+    """Per item the number of different sets that posted and the earliest outcome."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("ordinal"))
+    return postings.groupBy("item_id").agg(
+        F.bit_count(F.bit_or(bit)).alias("n_received"),
+        F.max("n_applicable").alias("n_expected"),
+        stamped_outcome(F.min(posting_stamp())).alias("first_outcome"),
+    )
+
+
 def complete(assembled: DataFrame) -> DataFrame:
     """Items whose applicable sets have all posted."""
     done = (F.col("n_applicable") > 0) & (F.col("n_posted") >= F.col("n_applicable"))

@@ -17,8 +17,10 @@ from cardwatch.fixed_values import (
     THROUGHPUT_WINDOW_S,
 )
 from cardwatch.functions.scalars import throughput_text
+from cardwatch.operators.blocks import carried, with_block, with_halo, with_previous
 
 SLICES_PER_WINDOW = AVERAGE_WINDOW_S // AVERAGE_SLIDE_S
+SLICES_PER_DAY = 86_400 // AVERAGE_SLIDE_S
 
 
 def interval_number(ts: Column, seconds: int) -> Column:
@@ -98,13 +100,24 @@ def average_before(slices: DataFrame) -> DataFrame:
 
     The window closing as the slice starts covers the slices just before it; when
     those are all empty, the previous active slice alone made up the newest window.
+    Both look-backs run per merchant and day, so no merchant fills one task.
     """
-    by_merchant = Window.partitionBy("merchant_id").orderBy("slice")
-    before = by_merchant.rangeBetween(-SLICES_PER_WINDOW, -1)
-    total, n = F.sum("total").over(before), F.sum("n").over(before)
-    previous = _average(F.lag("total").over(by_merchant), F.lag("n").over(by_merchant))
-    return slices.select(
-        "merchant_id", "slice", F.coalesce(_average(total, n), previous).alias("live_average")
+    sums = ["total", "n"]
+    blocked = with_block(slices, "slice", SLICES_PER_DAY)
+    nearby = with_halo(blocked, "slice", SLICES_PER_DAY, SLICES_PER_WINDOW)
+    inside = Window.partitionBy("merchant_id", "block").orderBy("slice")
+    before = inside.rangeBetween(-SLICES_PER_WINDOW, -1)
+    looked_back = nearby.withColumns({
+        "recent": _average(F.sum("total").over(before), F.sum("n").over(before)),
+        "previous": F.lag(F.struct(*sums)).over(inside),
+    }).where("is_home")
+    joined = looked_back.join(
+        carried(blocked, "merchant_id", "slice", sums), ["merchant_id", "block"], "left"
+    ).withColumn("last", F.coalesce("previous", "carried"))
+    return joined.select(
+        "merchant_id",
+        "slice",
+        F.coalesce("recent", _average(F.col("last.total"), F.col("last.n"))).alias("live_average"),
     )
 
 
@@ -123,13 +136,14 @@ def average_changes(averages: DataFrame, merchants: DataFrame) -> DataFrame:
 
     A merchant's first window compares with its stored average.
     """
-    by_merchant = Window.partitionBy("merchant_id").orderBy("window_end_s")
     stored = merchants.select(F.col("id").alias("merchant_id"), "avg_txn_amount")
-    previous = averages.withColumn("earlier", F.lag("avg_amount").over(by_merchant))
+    previous = with_previous(
+        averages, "merchant_id", "window_end_s", ["avg_amount"], AVERAGE_SLIDE_S * SLICES_PER_DAY
+    )
     compared = previous.join(stored, "merchant_id").select(
         "merchant_id",
         "window_end_s",
-        F.coalesce("earlier", "avg_txn_amount").alias("old_average"),
+        F.coalesce("previous.avg_amount", "avg_txn_amount").alias("old_average"),
         F.col("avg_amount").alias("new_average"),
     )
     moved = F.abs(F.col("new_average") - F.col("old_average"))

@@ -269,6 +269,24 @@ def ruleset_results(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@registered
+def rule_results(spark: SparkSession, sf: str) -> DataFrame:
+    """Every single rule's result as a row."""
+    rows = enrich.with_merchant(bank.transactions(spark, sf), bank.merchants(spark, sf))
+    return verdicts.rule_tasks(rows, default_registry()).select(
+        "item_id", "ruleset", "rule", F.round("result_double", 6).alias("result_double"), "result_risk"
+    )
+
+
+@registered
+def evaluation_times(spark: SparkSession, sf: str) -> DataFrame:
+    """Evaluation time per rule set, from taking an item to posting its result."""
+    spent = scalars.latency_millis(F.col("t_executor"), F.col("posted_ms"))
+    return inputs.postings(spark, sf).groupBy("ruleset").agg(
+        F.count(F.lit(1)).alias("n_results"), F.sum(spent).alias("evaluation_ms")
+    )
+
+
 # --- assembly and final verdicts ------------------------------------------------
 
 @registered
@@ -283,7 +301,7 @@ def final_verdicts(spark: SparkSession, sf: str) -> DataFrame:
 def assembled_results(spark: SparkSession, sf: str) -> DataFrame:
     entries = F.transform(
         F.array_sort(F.map_entries("results")),
-        lambda e: F.concat(e["key"], F.lit("="), e["value"]["outcome"]),
+        lambda e: F.concat(e["key"], F.lit("="), e["value"]),
     )
     return inputs.assembled(spark, sf).select(
         "item_id", "n_applicable", "n_posted", F.concat_ws("|", entries).alias("results")
@@ -376,6 +394,13 @@ def running_all_true(spark: SparkSession, sf: str) -> DataFrame:
     return verdicts.running_all_true(results, "acct_number", "item_id", "passed")
 
 
+@registered
+def running_all_true_of_account(spark: SparkSession, sf: str) -> DataFrame:
+    """The same for one account, picked before its results are flattened."""
+    results = tables.lookup_one(inputs.account_results(spark, sf), "acct_number", "0000000042")
+    return verdicts.running_all_true(results, "acct_number", "item_id", "passed")
+
+
 @registered
 def first_results(spark: SparkSession, sf: str) -> DataFrame:
     results = inputs.account_results(spark, sf)
@@ -438,11 +463,7 @@ def odd_even_split(spark: SparkSession, sf: str) -> DataFrame:
 @registered
 def result_monitor(spark: SparkSession, sf: str) -> DataFrame:
     """Items with all results approved or rejected by their first result, others intermediate."""
-    seen = inputs.postings(spark, sf).groupBy("item_id").agg(
-        F.count_distinct("ordinal").alias("n_received"),
-        F.max("n_applicable").alias("n_expected"),
-        F.min_by("outcome", F.struct("posted_ms", "ordinal")).alias("first_outcome"),
-    )
+    seen = verdicts.first_outcomes(inputs.postings(spark, sf))
     status = waterfall.monitor(
         F.col("n_received"), F.col("n_expected"), ~scalars.is_rejected(F.col("first_outcome"))
     )

@@ -52,8 +52,13 @@ def post(evaluated: DataFrame, registry: Registry) -> DataFrame:
     staged = metrics.with_stage_times(evaluated, txn_number())
     rows = verdicts.as_rows(staged, registry, "id", "ts", "event_type", "t_executor")
     merchant = F.col("ruleset") == MERCHANT_VERDICT
-    early = merchant & (F.col("event_type") == "signup")
-    copies = F.when(early, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
+    known_late = merchant & (F.col("event_type") == "signup")
+    copies = (
+        F.when(known_late, F.array(F.lit(0), F.lit(1)))
+        .when(merchant, F.array(F.lit(1)))
+        .otherwise(F.array(F.lit(0)))
+    )
+    early = merchant & (F.col("copy") == 0)
     return (
         rows.where(~(merchant & (F.col("event_type") == "error")))
         .withColumn("copy", F.explode(copies))
@@ -63,7 +68,8 @@ def post(evaluated: DataFrame, registry: Registry) -> DataFrame:
             "ordinal",
             "ruleset",
             "n_applicable",
-            F.when(F.col("copy") == 0, F.lit(APPROVED)).otherwise(F.col("outcome")).alias("outcome"),
+            F.when(early, F.lit(APPROVED)).otherwise(F.col("outcome")).alias("outcome"),
+            "t_executor",
             (F.col("t_executor") + F.col("ordinal") + F.col("copy")).alias("posted_ms"),
         )
     )
@@ -78,9 +84,7 @@ def ruleset_names(registry: Registry | None = None) -> list[str]:
 
 
 def assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return verdicts.assemble(
-        postings(spark, sf_dir), ruleset_names(), ["ordinal", "outcome"], ["posted_ms", "outcome"]
-    )
+    return verdicts.assemble_outcomes(postings(spark, sf_dir), ruleset_names())
 
 
 def account_results(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -232,6 +232,21 @@ SQL = {
                NULL::varchar AS result_risk, loc_outcome AS outcome, loc_reason AS reason FROM judged
         UNION ALL
         SELECT id, 'FraudRules:Merchant Rules', NULL, m_risk, m_outcome, m_reason FROM judged"""),
+    "rule_results": _plain("""
+        SELECT id AS item_id, 'FraudRules:LocationBasedRules' AS ruleset,
+               'FraudRules:LocationBasedRulesRandomDoubleRule' || p::varchar AS rule,
+               round(p + g * p / 5, 6)::double AS result_double, NULL::varchar AS result_risk
+        FROM scored, (SELECT unnest([0.1, 0.2, 0.3, 0.4, 0.5]::double[]) AS p)
+        UNION ALL
+        SELECT id, 'FraudRules:Merchant Rules', 'FraudRules:Merchant RulesTxnAmtWithinMerchantAvgRange',
+               NULL, amount_risk FROM scored"""),
+    "evaluation_times": _plain("""
+        SELECT 'FraudRules:LocationBasedRules' AS ruleset, count(*) AS n_results, 0::bigint AS evaluation_ms FROM events
+        UNION ALL
+        SELECT 'FraudRules:Merchant Rules',
+               count(*) FILTER (event_type <> 'error') + count(*) FILTER (event_type = 'signup'),
+               (count(*) FILTER (event_type <> 'error') * 2 + count(*) FILTER (event_type = 'signup'))::bigint
+        FROM events"""),
     "final_verdicts": _plain("""
         SELECT id, 2 AS n_applicable, final_status,
                CASE WHEN loc_outcome <> 'Approved' THEN 'FraudRules:LocationBasedRules'
@@ -281,6 +296,10 @@ SQL = {
                bool_and(credit_ok) OVER (PARTITION BY acct_number ORDER BY id
                                          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS all_true_so_far
         FROM scored"""),
+    "running_all_true_of_account": _plain("""
+        SELECT acct_number, id AS item_id, credit_ok AS passed,
+               bool_and(credit_ok) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS all_true_so_far
+        FROM scored WHERE acct_number = '0000000042'"""),
     "first_results": _plain("""
         SELECT acct_number, arg_min(credit_ok, id) AS first_result, count(*) AS n_received FROM scored GROUP BY 1"""),
     "distinct_rejecting_sets": _plain("""
@@ -309,7 +328,7 @@ SQL = {
                     WHEN credit_ok THEN 'Approved' ELSE 'RejectedForCredit' END AS final_status
         FROM scored"""),
     "result_monitor": _plain("""
-        SELECT id AS item_id, (CASE WHEN event_type = 'error' THEN 1 ELSE 2 END)::bigint AS n_received, 2 AS n_expected,
+        SELECT id AS item_id, (CASE WHEN event_type = 'error' THEN 1 ELSE 2 END)::int AS n_received, 2 AS n_expected,
                CASE WHEN event_type = 'error' THEN 'INTERMEDIATE' WHEN loc_outcome = 'Approved' THEN 'Approved'
                     ELSE 'RejectedForCredit' END AS status FROM judged"""),
     "merchant_groups": _plain("""

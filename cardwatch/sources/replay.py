@@ -27,6 +27,21 @@ def cyclic(transactions: DataFrame, requested: Column, size: Column) -> DataFram
     ).select(padded_id(F.col("number"), TRANSACTION_ID_DIGITS).alias("id"), *others)
 
 
+def cyclic_by_number(spark: SparkSession, transactions: DataFrame, requested: int, size: int) -> DataFrame:
+    """The same replay driven by the numbers: for a small table replayed very often.
+
+    Spreads over the requested numbers instead of over the stored rows.
+    """
+    stored = transactions.withColumn("row", row_number_of(transactions)).drop("id")
+    others = [c for c in transactions.columns if c != "id"]
+    numbers = spark.range(requested).select(
+        F.col("id").alias("number"), F.pmod(F.col("id"), F.lit(size)).alias("row")
+    )
+    return numbers.join(stored, "row").select(
+        padded_id(F.col("number"), TRANSACTION_ID_DIGITS).alias("id"), *others
+    )
+
+
 def paced(
     spark: SparkSession, transactions: DataFrame, size: int, per_second: int
 ) -> DataFrame:

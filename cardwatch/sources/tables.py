@@ -58,14 +58,20 @@ def lookup_one(table: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def lookup_many(table: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
-    """Rows of ``table`` whose key is asked for in ``wanted``."""
-    return table.join(wanted, table[key] == wanted[wanted_key], "left_semi")
+    """Rows of ``table`` whose key is asked for in ``wanted``.
+
+    Repeated keys fold before they are shuffled.
+    """
+    return table.join(_asked(wanted, wanted_key, key), key, "left_semi")
 
 
 def lookup_missing(table: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
     """Distinct keys asked for that the table does not hold."""
-    asked = wanted.select(F.col(wanted_key).alias(key)).where(F.col(key).isNotNull()).distinct()
-    return asked.join(table.select(key), key, "left_anti")
+    return _asked(wanted, wanted_key, key).join(table.select(key), key, "left_anti")
+
+
+def _asked(wanted: DataFrame, wanted_key: str, key: str) -> DataFrame:
+    return wanted.select(F.col(wanted_key).alias(key)).where(F.col(key).isNotNull()).distinct()
 
 
 def keys(table: DataFrame, key: str) -> DataFrame:

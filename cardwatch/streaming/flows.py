@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cardwatch.fixed_values import (
     AVERAGE_SLIDE_S,
@@ -25,6 +25,11 @@ def versions(path: str) -> BatchWriter:
     return lambda rows, batch_id: sinks.write_version(rows, path, batch_id)
 
 
+def with_ingestion_time(rows: DataFrame) -> DataFrame:
+    """Arrival time as event time, so that no row is ever late."""
+    return rows.withColumn("ts", F.current_timestamp())
+
+
 # --- envelopes ------------------------------------------------------------------
 
 def envelopes(items: DataFrame, registry: Registry, routed_ms: Column) -> DataFrame:
@@ -78,12 +83,8 @@ def assembly_stream(postings: DataFrame, rulesets: list[str], ttl_s: int = IDLE_
     that never complete. Update mode reports completions at once; append mode
     reports each item a single time when it expires.
     """
-    return verdicts.assemble(
-        postings.withWatermark("ts", f"{ttl_s} seconds"),
-        rulesets,
-        ["ordinal", "outcome"],
-        ["posted_ms", "outcome"],
-        keys=("item_id", "ts"),
+    return verdicts.assemble_outcomes(
+        postings.withWatermark("ts", f"{ttl_s} seconds"), rulesets, keys=("item_id", "ts")
     )
 
 
@@ -137,10 +138,10 @@ def score_live(transactions: DataFrame, slices: DataFrame, merchants: DataFrame)
 
 def still_needed(slices: DataFrame) -> DataFrame:
     """The slices a later payment can still see: the last window's and each merchant's last."""
-    last = F.max("slice").over(Window.partitionBy("merchant_id"))
     newest = slices.agg(F.max("slice")).scalar()
+    last = slices.groupBy("merchant_id").agg(F.max("slice").alias("last_slice"))
     recent = F.col("slice") >= newest - windows.SLICES_PER_WINDOW
-    marked = slices.withColumn("last_slice", last)
+    marked = slices.join(last, "merchant_id")
     return marked.where(recent | (F.col("slice") == F.col("last_slice"))).drop("last_slice")
 
 
