@@ -1,4 +1,4 @@
-"""Scalar functions, all built from codegen-able column expressions."""
+"""Scalar functions, all built from codegen-able expressions."""
 
 from __future__ import annotations
 
@@ -22,7 +22,7 @@ from cardwatch.fixed_values import (
 def padded_id(number: Column, digits: int) -> Column:
     """Decimal text, zero-filled to ``digits``; longer numbers are kept whole."""
     text = number.cast("string")
-    return F.when(F.length(text) < digits, F.lpad(text, digits, "0")).otherwise(text)
+    return F.lpad(text, F.greatest(F.length(text), F.lit(digits)), F.lit("0"))
 
 
 def parsed_id(text: Column, kind: str = "int") -> Column:
@@ -30,52 +30,58 @@ def parsed_id(text: Column, kind: str = "int") -> Column:
     return text.try_cast(kind)
 
 
-def deviation(average: Column) -> Column:
+# Rule expressions are SQL text, so that rules are plain data.
+
+def sql_text(value: str) -> str:
+    """A string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_double(value: float) -> str:
+    return f"{value!r}D"
+
+
+def deviation(average: str) -> str:
     """One fifth of the average, cut toward zero."""
-    fifth = average / F.lit(5)
-    return F.when(fifth >= 0, F.floor(fifth)).otherwise(F.ceil(fifth))
+    return f"if({average} >= 0, floor({average} / 5), ceil({average} / 5))"
 
 
-def amount_risk(amount: Column, average: Column) -> Column:
+def amount_risk(amount: str, average: str) -> str:
     """LOW within one deviation of the average, MEDIUM within two, else HIGH.
 
-    Null when either side is unknown.
+    Bounds belong to the band. Null when either side is unknown.
     """
     step = deviation(average)
     return (
-        F.when(amount.isNull() | average.isNull(), F.lit(None).cast("string"))
-        .when(amount.between(average - step, average + step), F.lit("LOW"))
-        .when(amount.between(average - 2 * step, average + 2 * step), F.lit("MEDIUM"))
-        .otherwise(F.lit("HIGH"))
+        f"CASE WHEN {amount} BETWEEN {average} - {step} AND {average} + {step} THEN 'LOW'"
+        f" WHEN {amount} BETWEEN {average} - 2 * {step} AND {average} + 2 * {step} THEN 'MEDIUM'"
+        f" WHEN {amount} IS NOT NULL AND {average} IS NOT NULL THEN 'HIGH' END"
     )
 
 
-def reputation_risk(reputation: Column) -> Column:
+def reputation_risk(reputation: str) -> str:
     return (
-        F.when(reputation.between(8, 10), F.lit("LOW"))
-        .when(reputation.between(0, 3), F.lit("HIGH"))
-        .otherwise(F.lit("MEDIUM"))
+        f"CASE WHEN {reputation} BETWEEN 8 AND 10 THEN 'LOW'"
+        f" WHEN {reputation} BETWEEN 0 AND 3 THEN 'HIGH' ELSE 'MEDIUM' END"
     )
 
 
-def risk_score(risk: Column) -> Column:
-    score = F.lit(None).cast("int")
-    for name, value in RISK_SCORES.items():
-        score = F.when(risk == name, F.lit(value)).otherwise(score)
-    return score
+def risk_score(risk: str) -> str:
+    scores = " ".join(f"WHEN '{name}' THEN {score}" for name, score in RISK_SCORES.items())
+    return f"CASE {risk} {scores} END"
 
 
 def is_fraud_score(score: Column) -> Column:
     return score >= FRAUD_SCORE_CUTOFF
 
 
-def projected_balance(balance: Column, amount: Column) -> Column:
-    return balance + amount
+def within_credit(balance: str, amount: str, limit: str) -> str:
+    """True unless the charge would take the balance above the limit."""
+    return f"{balance} + {amount} <= {limit}"
 
 
-def within_credit(balance: Column, amount: Column, limit: Column) -> Column:
-    """True unless the charge would take the balance above the limit."""
-    return projected_balance(balance, amount) <= limit
+def projected_balance(balance: Column, amount: Column) -> Column:
+    return balance + amount
 
 
 def city_group(city: Column) -> Column:

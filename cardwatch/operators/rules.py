@@ -1,8 +1,8 @@
 """Rules, rule sets and the registry that decides which sets an item goes to.
 
-A rule is a named column expression over one enriched item. A rule set rolls
-its rules' results up into one result and turns that into an outcome. Columns
-are built on use, so rules can be declared before a session exists.
+A rule is a named SQL expression over one enriched item. A rule set rolls its
+rules' results up into one result and turns that into an outcome. Both are plain
+data: a new rule needs no code, and a registry can be kept in a table.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from cardwatch.fixed_values import (
     AMOUNT_RULE,
@@ -26,34 +26,30 @@ from cardwatch.fixed_values import (
     LOCATION_RULESET,
     MERCHANT_REASON,
     MERCHANT_RULESET,
+    NO_REASON,
     REJECTED_FOR_CREDIT,
     REJECTED_FOR_FRAUD,
 )
 from cardwatch.functions import draws, scalars
 
-Expression = Callable[[], Column]
-
 # Type of each kind of result; every verdict carries one slot per kind.
 RESULT_TYPES = {"double": "double", "boolean": "boolean", "risk": "string"}
 
 
-def everything() -> Column:
-    return F.lit(True)
-
-
 @dataclass(frozen=True)
 class Rule:
     """One test of an item. A failed precondition leaves the rule not evaluated."""
 
     name: str
-    expression: Expression
+    expression: str
     category: str = FRAUD_RULES
     enabled: bool = True
-    precondition: Expression | None = None
+    precondition: str | None = None
 
-    def result(self) -> Column:
-        value = self.expression()
-        return value if self.precondition is None else F.when(self.precondition(), value)
+    def result(self) -> str:
+        if self.precondition is None:
+            return f"({self.expression})"
+        return f"if({self.precondition}, {self.expression}, null)"
 
     def qualified_name(self, ruleset: str) -> str:
         return scalars.qualified_rule(self.category, ruleset, self.name)
@@ -63,6 +59,7 @@ class Rule:
 class RuleSet:
     """Rules, how their results combine, and when the combination rejects.
 
+    ``rejects`` is a condition on the combined result, written ``{result}``.
     ``shared`` names columns that several rules read; they are computed once per
     item and dropped again. ``selects`` limits the set to some items.
     """
@@ -70,13 +67,13 @@ class RuleSet:
     name: str
     rules: tuple[Rule, ...]
     kind: str
-    roll_up: Callable[[Sequence[Column]], Column]
-    rejects: Callable[[Column], Column]
+    roll_up: Callable[[Sequence[str]], str]
+    rejects: str
     category: str = FRAUD_RULES
     reject_status: str = REJECTED_FOR_FRAUD
     reason: str | None = None
-    selects: Expression = everything
-    shared: Mapping[str, Expression] = field(default_factory=dict)
+    selects: str = "true"
+    shared: Mapping[str, str] = field(default_factory=dict)
     enabled: bool = True
 
     @property
@@ -86,16 +83,26 @@ class RuleSet:
     def add(self, rule: Rule) -> RuleSet:
         return replace(self, rules=(*self.rules, rule))
 
-    def result(self) -> Column:
+    def result(self) -> str:
         return self.roll_up([rule.result() for rule in self.rules if rule.enabled])
 
-    def outcome(self, result: Column) -> Column:
-        rejected = F.coalesce(self.rejects(result), F.lit(False))
-        return F.when(rejected, F.lit(self.reject_status)).otherwise(F.lit(APPROVED))
+    def slots(self, result: str) -> str:
+        """The result under the name of its kind, null under the other names."""
+        return ", ".join(
+            f"'result_{kind}', cast({result if kind == self.kind else 'null'} AS {kind_type})"
+            for kind, kind_type in RESULT_TYPES.items()
+        )
 
-    def outcome_reason(self, outcome: Column) -> Column:
-        return scalars.reason_or_default(
-            F.when(scalars.is_rejected(outcome), F.lit(self.reason).cast("string"))
+    def verdict(self, ordinal: int, result: str) -> str:
+        """Result, outcome and reason as a struct, null where the set does not apply."""
+        rejected = f"coalesce({self.rejects.format(result=result)}, false)"
+        reason = NO_REASON if self.reason is None else self.reason
+        return (
+            f"if({self.selects}, named_struct("
+            f"'ordinal', {ordinal}, 'ruleset', {scalars.sql_text(self.qualified_name)}, "
+            f"{self.slots(result)}, "
+            f"'outcome', if({rejected}, '{self.reject_status}', '{APPROVED}'), "
+            f"'reason', if({rejected}, {scalars.sql_text(reason)}, '{NO_REASON}')), null)"
         )
 
 
@@ -154,70 +161,49 @@ class Registry:
 
 # --- roll-ups -----------------------------------------------------------------
 
-def total(results: Sequence[Column]) -> Column:
-    summed = results[0]
-    for result in results[1:]:
-        summed = summed + result
-    return F.round(summed, 6)
+def total(results: Sequence[str]) -> str:
+    return f"round({' + '.join(results)}, 6)"
 
 
-def worst_risk(results: Sequence[Column]) -> Column:
+def worst_risk(results: Sequence[str]) -> str:
     """A HIGH, or a second MEDIUM, makes HIGH; a rule without result counts as LOW."""
-    high = F.lit(False)
-    mediums = F.lit(0)
-    for result in results:
-        high = high | F.coalesce(result == "HIGH", F.lit(False))
-        mediums = mediums + F.when(result == "MEDIUM", F.lit(1)).otherwise(F.lit(0))
-    return (
-        F.when(high | (mediums > 1), F.lit("HIGH"))
-        .when(mediums == 1, F.lit("MEDIUM"))
-        .otherwise(F.lit("LOW"))
-    )
+    high = " OR ".join(f"{result} <=> 'HIGH'" for result in results)
+    mediums = " + ".join(f"int({result} <=> 'MEDIUM')" for result in results)
+    return f"CASE WHEN {high} OR {mediums} > 1 THEN 'HIGH' WHEN {mediums} = 1 THEN 'MEDIUM' ELSE 'LOW' END"
 
 
-def every(results: Sequence[Column]) -> Column:
-    passed = F.lit(True)
-    for result in results:
-        passed = passed & result
-    return passed
+def every(results: Sequence[str]) -> str:
+    return " AND ".join(results)
 
 
 # --- the rules the bank runs --------------------------------------------------
 
 def score_rule(mean: float, independent: bool = False) -> Rule:
     name = f"{DOUBLE_RULE_PREFIX}{mean}"
-    if independent:
-        return Rule(name, lambda: draws.score(draws.standard_normal(F.col("id"), name), mean))
-    return Rule(name, lambda: draws.score(F.col("shared_normal"), mean))
+    normal = draws.standard_normal("id", name) if independent else "shared_normal"
+    return Rule(name, draws.score(normal, mean))
 
 
 def percent_rule(percent: int) -> Rule:
-    return Rule(
-        f"{BOOLEAN_RULE_PREFIX}{percent}", lambda: draws.percent_true(F.col("id"), percent)
-    )
+    return Rule(f"{BOOLEAN_RULE_PREFIX}{percent}", draws.percent_true("id", percent))
 
 
 def amount_rule() -> Rule:
-    return Rule(
-        AMOUNT_RULE,
-        lambda: scalars.amount_risk(F.col("amount"), F.col("merchant.avg_txn_amount")),
-    )
+    return Rule(AMOUNT_RULE, scalars.amount_risk("amount", "merchant.avg_txn_amount"))
 
 
 def reputation_rule() -> Rule:
     return Rule(
         "ReputationRisk",
-        lambda: scalars.reputation_risk(F.col("merchant.reputation")),
-        precondition=lambda: F.col("merchant.id").isNotNull(),
+        scalars.reputation_risk("merchant.reputation"),
+        precondition="merchant.id IS NOT NULL",
     )
 
 
 def credit_rule() -> Rule:
     return Rule(
         CREDIT_LIMIT_RULE,
-        lambda: scalars.within_credit(
-            F.col("account.balance"), F.col("amount"), F.col("account.credit_limit")
-        ),
+        scalars.within_credit("account.balance", "amount", "account.credit_limit"),
         category=CREDIT_RULES,
     )
 
@@ -228,11 +214,9 @@ def location_rules(independent: bool = False) -> RuleSet:
         tuple(score_rule(mean, independent) for mean in LOCATION_RULE_MEANS),
         kind="double",
         roll_up=total,
-        rejects=lambda result: result <= LOCATION_REJECT_AT_OR_BELOW,
+        rejects=f"{{result}} <= {LOCATION_REJECT_AT_OR_BELOW}",
         reason=LOCATION_REASON,
-        shared={} if independent else {
-            "shared_normal": lambda: draws.standard_normal(F.col("id"))
-        },
+        shared={} if independent else {"shared_normal": draws.standard_normal("id")},
     )
 
 
@@ -242,18 +226,18 @@ def merchant_rules(*extra: Rule) -> RuleSet:
         (amount_rule(), *extra),
         kind="risk",
         roll_up=worst_risk,
-        rejects=lambda result: result == "HIGH",
+        rejects="{result} = 'HIGH'",
         reason=MERCHANT_REASON,
     )
 
 
-def credit_rules(selects: Expression = everything) -> RuleSet:
+def credit_rules(selects: str = "true") -> RuleSet:
     return RuleSet(
         "Credit Rules",
         (credit_rule(),),
         kind="boolean",
         roll_up=every,
-        rejects=lambda result: ~result,
+        rejects="NOT {result}",
         category=CREDIT_RULES,
         reject_status=REJECTED_FOR_CREDIT,
         selects=selects,

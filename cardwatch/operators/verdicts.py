@@ -21,7 +21,7 @@ from cardwatch.fixed_values import (
 )
 from cardwatch.functions import scalars
 from cardwatch.functions.aggregates import count_when
-from cardwatch.operators.rules import RESULT_TYPES, Registry, RuleSet
+from cardwatch.operators.rules import Registry
 
 
 # Rule sets a posting stamp can tell apart.
@@ -32,60 +32,41 @@ def verdict_column(ordinal: int) -> str:
     return f"verdict_{ordinal}"
 
 
-def with_applicable_count(items: DataFrame, registry: Registry) -> DataFrame:
+def applicable_count(registry: Registry) -> Column:
     """Number of rule sets the item has to pass."""
-    applies = [
-        F.when(F.coalesce(s.selects(), F.lit(False)), F.lit(1)).otherwise(F.lit(0))
-        for _, s in registry.active()
-    ]
-    return items.withColumn("n_applicable", reduce(Column.__add__, applies, F.lit(0)))
+    applies = [f"int(coalesce({s.selects}, false))" for _, s in registry.active()]
+    return F.expr(" + ".join(applies) or "0").alias("n_applicable")
 
 
 def route(items: DataFrame, registry: Registry, key: str = "id") -> DataFrame:
     """One row per item and rule set that applies to it."""
-    counted = with_applicable_count(items, registry)
-    targets = F.array_compact(F.array(*[
-        F.when(
-            s.selects(),
-            F.struct(F.lit(n).alias("ordinal"), F.lit(s.qualified_name).alias("ruleset")),
-        )
+    targets = ", ".join(
+        f"if({s.selects}, named_struct('ordinal', {n}, 'ruleset', "
+        f"{scalars.sql_text(s.qualified_name)}), null)"
         for n, s in registry.active()
-    ]))
-    return counted.select(
-        F.col(key).alias("item_id"), "n_applicable", F.inline(targets)
+    )
+    return items.select(
+        F.col(key).alias("item_id"),
+        applicable_count(registry),
+        F.expr(f"inline(array_compact(array({targets})))"),
     )
 
 
-def _verdict(ordinal: int, rule_set: RuleSet, result: Column) -> Column:
-    slots = [
-        (result if kind == rule_set.kind else F.lit(None)).cast(kind_type).alias(f"result_{kind}")
-        for kind, kind_type in RESULT_TYPES.items()
-    ]
-    outcome = rule_set.outcome(result)
-    return F.when(
-        rule_set.selects(),
-        F.struct(
-            F.lit(ordinal).alias("ordinal"),
-            F.lit(rule_set.qualified_name).alias("ruleset"),
-            *slots,
-            outcome.alias("outcome"),
-            rule_set.outcome_reason(outcome).alias("reason"),
-        ),
-    )
+def _with_shared(items: DataFrame, registry: Registry, *more: Column) -> DataFrame:
+    shared = {name: text for _, s in registry.active() for name, text in s.shared.items()}
+    return items.select("*", *more, *[F.expr(text).alias(name) for name, text in shared.items()])
 
 
 def evaluate(items: DataFrame, registry: Registry) -> DataFrame:
     """Add ``n_applicable`` and one verdict struct per active set, null where it does not apply."""
     active = registry.active()
-    shared = {name: make for _, s in active for name, make in s.shared.items()}
-    rows = with_applicable_count(items, registry)
-    rows = rows.withColumns({name: make() for name, make in shared.items()}) if shared else rows
-    results = {f"result_{n}": s.result() for n, s in active}
-    rows = rows.withColumns(results)
-    rows = rows.withColumns({
-        verdict_column(n): _verdict(n, s, F.col(f"result_{n}")) for n, s in active
-    })
-    return rows.drop(*shared, *results)
+    rows = _with_shared(items, registry, applicable_count(registry))
+    results = [F.expr(s.result()).alias(f"result_{n}") for n, s in active]
+    return rows.select("*", *results).select(
+        *items.columns,
+        "n_applicable",
+        *[F.expr(s.verdict(n, f"result_{n}")).alias(verdict_column(n)) for n, s in active],
+    )
 
 
 def verdict_columns(registry: Registry) -> list[Column]:
@@ -100,22 +81,14 @@ def as_rows(evaluated: DataFrame, registry: Registry, *keep: str) -> DataFrame:
 
 def rule_tasks(items: DataFrame, registry: Registry, key: str = "id") -> DataFrame:
     """One row per item and rule: the rule's own result in its kind's slot."""
-    active = registry.active()
-    shared = {name: make for _, s in active for name, make in s.shared.items()}
-    rows = items.withColumns({name: make() for name, make in shared.items()}) if shared else items
-    tasks = [
-        F.when(s.selects(), F.struct(
-            F.lit(s.qualified_name).alias("ruleset"),
-            F.lit(rule.qualified_name(s.name)).alias("rule"),
-            *[
-                (rule.result() if kind == s.kind else F.lit(None)).cast(kind_type)
-                .alias(f"result_{kind}")
-                for kind, kind_type in RESULT_TYPES.items()
-            ],
-        ))
-        for _, s in active for rule in s.rules if rule.enabled
-    ]
-    return rows.select(F.col(key).alias("item_id"), F.inline(F.array_compact(F.array(*tasks))))
+    tasks = ", ".join(
+        f"if({s.selects}, named_struct('ruleset', {scalars.sql_text(s.qualified_name)}, "
+        f"'rule', {scalars.sql_text(rule.qualified_name(s.name))}, {s.slots(rule.result())}), null)"
+        for _, s in registry.active() for rule in s.rules if rule.enabled
+    )
+    return _with_shared(items, registry).select(
+        F.col(key).alias("item_id"), F.expr(f"inline(array_compact(array({tasks})))")
+    )
 
 
 def with_final(evaluated: DataFrame, registry: Registry) -> DataFrame:
@@ -123,19 +96,21 @@ def with_final(evaluated: DataFrame, registry: Registry) -> DataFrame:
 
     An item no set applies to never completes and stays pending.
     """
-    verdicts = verdict_columns(registry)
-    rejecting = F.coalesce(*[F.when(scalars.is_rejected(v["outcome"]), v) for v in verdicts])
-    names = F.array_compact(F.array(*[
-        F.when(scalars.is_rejected(v["outcome"]), v["ruleset"]) for v in verdicts
-    ]))
-    done = F.col("n_applicable") > 0
-    return evaluated.withColumns({
-        "final_status": F.when(done, F.coalesce(rejecting["outcome"], F.lit(APPROVED)))
-        .otherwise(F.lit(PENDING)),
-        "rejecting_ruleset": rejecting["ruleset"],
-        "rejecting_reason": rejecting["reason"],
-        "rejecting_rulesets": names,
-    })
+    rejected = [
+        (verdict_column(n), f"{verdict_column(n)}.outcome <> '{APPROVED}'")
+        for n, _ in registry.active()
+    ]
+    first = ", ".join(f"if({bad}, {verdict}, null)" for verdict, bad in rejected)
+    names = ", ".join(f"if({bad}, {verdict}.ruleset, null)" for verdict, bad in rejected)
+    return evaluated.select("*", F.expr(f"coalesce({first})").alias("rejecting")).select(
+        *evaluated.columns,
+        F.expr(
+            f"if(n_applicable > 0, coalesce(rejecting.outcome, '{APPROVED}'), '{PENDING}')"
+        ).alias("final_status"),
+        F.col("rejecting.ruleset").alias("rejecting_ruleset"),
+        F.col("rejecting.reason").alias("rejecting_reason"),
+        F.expr(f"array_compact(array({names}))").alias("rejecting_rulesets"),
+    )
 
 
 def _rejects_of(verdicts: Sequence[Column], status: str) -> Column:

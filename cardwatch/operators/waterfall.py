@@ -16,13 +16,13 @@ from cardwatch.operators.enrich import with_account, with_active_rules, with_mer
 
 
 def fraud_score() -> Column:
-    risk = scalars.amount_risk(F.col("amount"), F.col("merchant.avg_txn_amount"))
-    return scalars.risk_score(risk)
+    risk = scalars.amount_risk("amount", "merchant.avg_txn_amount")
+    return F.expr(scalars.risk_score(risk))
 
 
 def credit_passed() -> Column:
-    return scalars.within_credit(
-        F.col("account.balance"), F.col("amount"), F.col("account.credit_limit")
+    return F.expr(
+        scalars.within_credit("account.balance", "amount", "account.credit_limit")
     )
 
 

@@ -42,12 +42,22 @@ def _average(total: Column, n: Column) -> Column:
 def sliding_average(slices: DataFrame) -> DataFrame:
     """Average per merchant for every sliding window that holds a transaction.
 
-    ``window_end_s`` is in epoch seconds and exclusive.
+    ``window_end_s`` is in epoch seconds and exclusive. Slices are placed by
+    merchant and day before they fan out to their windows, with the end of a day
+    copied into the next, so the fanned-out rows are merged where they arise.
     """
-    ends = F.explode(F.sequence(F.col("slice") + 1, F.col("slice") + SLICES_PER_WINDOW))
+    nearby = with_halo(
+        with_block(slices, "slice", SLICES_PER_DAY), "slice", SLICES_PER_DAY, SLICES_PER_WINDOW
+    )
+    first = F.greatest(F.col("slice") + 1, F.col("block") * SLICES_PER_DAY)
+    last = F.least(
+        F.col("slice") + SLICES_PER_WINDOW, (F.col("block") + 1) * SLICES_PER_DAY - 1
+    )
+    ends = F.explode(F.when(first <= last, F.sequence(first, last)))
     return (
-        slices.select("merchant_id", ends.alias("end_slice"), "total", "n")
-        .groupBy("merchant_id", "end_slice")
+        nearby.repartition("merchant_id", "block")
+        .select("merchant_id", "block", ends.alias("end_slice"), "total", "n")
+        .groupBy("merchant_id", "block", "end_slice")
         .agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
         .select(
             "merchant_id",

@@ -25,6 +25,7 @@ from cardwatch.operators.rules import (
 )
 from cardwatch.plans import inputs
 from cardwatch.sources import bank, replay, sinks, tables
+from cardwatch.streaming import flows
 
 QUERIES: dict = {}
 
@@ -98,18 +99,18 @@ def padded_ids(spark: SparkSession, sf: str) -> DataFrame:
 @registered
 def amount_risk(spark: SparkSession, sf: str) -> DataFrame:
     rows = enrich.with_merchant(bank.transactions(spark, sf), bank.merchants(spark, sf))
-    average = F.col("merchant.avg_txn_amount")
+    average = "merchant.avg_txn_amount"
     return rows.select(
         "id",
-        scalars.deviation(average).cast("int").alias("deviation"),
-        scalars.amount_risk(F.col("amount"), average).alias("risk"),
+        F.expr(scalars.deviation(average)).cast("int").alias("deviation"),
+        F.expr(scalars.amount_risk("amount", average)).alias("risk"),
     )
 
 
 @registered
 def reputation_risk(spark: SparkSession, sf: str) -> DataFrame:
     return bank.merchants(spark, sf).select(
-        "id", scalars.reputation_risk(F.col("reputation")).alias("risk")
+        "id", F.expr(scalars.reputation_risk("reputation")).alias("risk")
     )
 
 
@@ -151,9 +152,10 @@ def near_last_location(spark: SparkSession, sf: str) -> DataFrame:
 
 @registered
 def gaussian_scores(spark: SparkSession, sf: str) -> DataFrame:
-    rows = bank.transactions(spark, sf).select("id", draws.standard_normal(F.col("id")).alias("g"))
+    normal = F.expr(draws.standard_normal("id"))
+    rows = bank.transactions(spark, sf).select("id", normal.alias("g"))
     return rows.select("id", *[
-        F.round(draws.score(F.col("g"), mean), 6).alias(f"score_{round(mean * 10)}")
+        F.round(F.expr(draws.score("g", mean)), 6).alias(f"score_{round(mean * 10)}")
         for mean in LOCATION_RULE_MEANS
     ])
 
@@ -172,8 +174,8 @@ def independent_scores(spark: SparkSession, sf: str) -> DataFrame:
 def boolean_rule(spark: SparkSession, sf: str) -> DataFrame:
     return bank.transactions(spark, sf).select(
         "id",
-        draws.percent_draw(F.col("id")).alias("draw"),
-        draws.percent_true(F.col("id"), 10).alias("hit_10"),
+        F.expr(draws.percent_draw("id")).alias("draw"),
+        F.expr(draws.percent_true("id", 10)).alias("hit_10"),
     )
 
 
@@ -203,7 +205,7 @@ def display_texts(spark: SparkSession, sf: str) -> DataFrame:
 def selective_registry() -> Registry:
     """The default sets plus credit rules that take only larger payments."""
     registry = default_registry()
-    registry.add(credit_rules(selects=lambda: F.col("amount") >= 25))
+    registry.add(credit_rules(selects="amount >= 25"))
     return registry
 
 
@@ -587,16 +589,7 @@ def average_changes(spark: SparkSession, sf: str) -> DataFrame:
 def asof_feedback(spark: SparkSession, sf: str) -> DataFrame:
     """Amount risk against the average in force at the payment, else the stored one."""
     txns = bank.transactions(spark, sf)
-    live = windows.with_live_average(txns, windows.merchant_slices(txns))
-    rows = enrich.with_merchant(live, bank.merchants(spark, sf))
-    average = F.when(
-        F.col("merchant.id").isNotNull(),
-        F.coalesce("live_average", "merchant.avg_txn_amount"),
-    )
-    return rows.select(
-        "id", average.alias("average"),
-        F.coalesce(scalars.amount_risk(F.col("amount"), average), F.lit("LOW")).alias("risk"),
-    )
+    return flows.score_live(txns, windows.merchant_slices(txns), bank.merchants(spark, sf))
 
 
 # --- keyed tables, retention, errors --------------------------------------------

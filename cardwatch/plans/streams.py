@@ -10,7 +10,7 @@ from cardwatch.operators.rules import default_registry
 from cardwatch.plans import inputs
 from cardwatch.session import work_dir
 from cardwatch.sources import bank, sinks
-from cardwatch.sources.schemas import EVENT
+from cardwatch.sources.schemas import GIVEN
 from cardwatch.streaming import flows, runs
 
 QUERIES: dict = {}
@@ -22,7 +22,7 @@ def registered(query):
 
 
 def streamed_transactions(spark: SparkSession, sf: str, files_per_trigger: int | None = None):
-    events = runs.stored_stream(runs.prepare(spark), sf, "events", EVENT, files_per_trigger)
+    events = runs.stored_stream(runs.prepare(spark), sf, "events", GIVEN["events"], files_per_trigger)
     return bank.transactions_from(events, bank.merchant_count(spark, sf))
 
 

@@ -16,18 +16,18 @@ from cardwatch.fixed_values import (
     TRANSACTION_ID_DIGITS,
 )
 from cardwatch.functions.scalars import padded_id
+from cardwatch.sources.schemas import GIVEN
 from cardwatch.sources.tables import scan
 
 
 def given(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return scan(spark, f"{sf_dir}/{name}.parquet")
+    return scan(spark, f"{sf_dir}/{name}.parquet", GIVEN[name])
 
 
-def _city(number: Column) -> Column:
+def _city(number: str) -> Column:
     cities = [city for group in CITY_GROUPS for city in group]
-    return F.element_at(
-        F.array(*[F.lit(c) for c in cities]), (number % len(cities) + 1).cast("int")
-    )
+    listed = ", ".join(f"'{city}'" for city in cities)
+    return F.expr(f"array({listed})[cast({number} % {len(cities)} as int)]")
 
 
 def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(1000.0) * (1 + number % 10)).alias("credit_limit"),
         F.col("c_acctbal").alias("balance"),
         (number % 3).cast("short").alias("acct_status"),
-        _city(number).alias("location"),
+        _city("c_custkey").alias("location"),
     )
 
 
@@ -50,7 +50,7 @@ def merchants(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("Merchant"), merchant_id).alias("name"),
         (number % 11).cast("short").alias("reputation"),
         F.element_at(averages, (number % 4 + 1).cast("int")).alias("avg_txn_amount"),
-        _city(number).alias("location"),
+        _city("s_suppkey").alias("location"),
     )
 
 
@@ -63,7 +63,7 @@ def transactions_from(events: DataFrame, merchant_count: Column) -> DataFrame:
         padded_id(F.col("user_id"), ACCOUNT_ID_DIGITS).alias("acct_number"),
         padded_id(F.col("merchant_number"), MERCHANT_ID_DIGITS).alias("merchant_id"),
         F.col("value").alias("amount"),
-        _city(number).alias("location"),
+        _city("event_id").alias("location"),
         F.col("ts").cast("timestamp").alias("ts"),
         F.col("event_type"),
     )

@@ -35,11 +35,10 @@ def with_ingestion_time(rows: DataFrame) -> DataFrame:
 def envelopes(items: DataFrame, registry: Registry, routed_ms: Column) -> DataFrame:
     """Items wrapped with the number of rule sets that apply and their routing time."""
     fields = [F.col(c) for c in items.columns]
-    counted = verdicts.with_applicable_count(items, registry)
-    return counted.select(
+    return items.select(
         F.col("id").alias("item_id"),
         F.struct(*fields).alias("item"),
-        "n_applicable",
+        verdicts.applicable_count(registry),
         routed_ms.alias("t_routed"),
     )
 
@@ -132,8 +131,10 @@ def score_live(transactions: DataFrame, slices: DataFrame, merchants: DataFrame)
     average = F.when(
         F.col("merchant.id").isNotNull(), F.coalesce("live_average", "merchant.avg_txn_amount")
     )
-    risk = F.coalesce(scalars.amount_risk(F.col("amount"), average), F.lit("LOW"))
-    return rows.select("id", average.alias("average"), risk.alias("risk"))
+    risk = F.expr(f"coalesce({scalars.amount_risk('amount', 'average')}, 'LOW')")
+    return rows.select("id", "amount", average.alias("average")).select(
+        "id", "average", risk.alias("risk")
+    )
 
 
 def still_needed(slices: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ def stored_stream(
     spark: SparkSession,
     folder: str,
     name: str,
-    schema: T.StructType,
+    schema: T.StructType | str,
     files_per_trigger: int | None = None,
 ) -> DataFrame:
     """A stored table as a stream from its oldest row on.
