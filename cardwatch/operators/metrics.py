@@ -99,13 +99,13 @@ def _rate(part: Column, whole: Column) -> Column:
 
 
 def _named_values(registry: Registry) -> Column:
-    """(name, value, value_text) per metric, from one row of totals."""
-    doubles = {
+    """(name, value, is_count) per metric, from one row of totals."""
+    rates = {
         scalars.metric_name("fraud", "rate"):
             F.round(_rate(F.col("rejected_fraud_events"), F.col("latency_items")), 6),
         scalars.metric_name("payment", "rate"):
             F.col("interval_completions") / METRIC_INTERVAL_S,
-        scalars.metric_name("payments", "all"): F.col("latency_items").cast("double"),
+        scalars.metric_name("payments", "all"): F.col("latency_items"),
         scalars.metric_name("latency", "avg"):
             F.round(F.try_divide("total_latency_ms", "latency_items"), 6),
     }
@@ -113,19 +113,31 @@ def _named_values(registry: Registry) -> Column:
         scalars.metric_name("payments", name): F.col(f"n_{name}") for name in MERCHANT_GROUPS
     }
     entries = [
-        F.struct(F.lit(name).alias("name"), value.cast("double").alias("value"),
-                 value.cast("string").alias("value_text"))
-        for name, value in {**doubles, **counts}.items()
+        _metric(F.lit(name), value, is_count)
+        for values, is_count in ((rates, False), (counts, True))
+        for name, value in values.items()
     ]
     entries += [
-        F.when(F.col(f"rejects_{n}") > 0, F.struct(
-            scalars.reject_metric_name(F.lit(s.qualified_name)).alias("name"),
-            F.col(f"rejects_{n}").cast("double").alias("value"),
-            F.col(f"rejects_{n}").cast("string").alias("value_text"),
-        ))
+        F.when(
+            F.col(f"rejects_{n}") > 0,
+            _metric(
+                scalars.reject_metric_name(F.lit(s.qualified_name)), F.col(f"rejects_{n}"), True
+            ),
+        )
         for n, s in registry.active()
     ]
-    return F.array_compact(F.array(*entries))
+    return F.array(*entries)
+
+
+def _listed(rows: DataFrame, registry: Registry, time: str) -> DataFrame:
+    """One row per metric that has a value."""
+    return rows.select(time, F.inline(_named_values(registry))).where("value IS NOT NULL")
+
+
+def _metric(name: Column, value: Column, is_count: bool) -> Column:
+    return F.struct(
+        name.alias("name"), value.cast("double").alias("value"), F.lit(is_count).alias("is_count")
+    )
 
 
 def _counter_names(registry: Registry) -> list[str]:
@@ -138,13 +150,13 @@ def _counter_names(registry: Registry) -> list[str]:
 
 
 def snapshot(ticks: DataFrame, registry: Registry) -> DataFrame:
-    """Current value of every metric: (name, value, value_text, epoch_s)."""
+    """Current value of every metric: (name, value, is_count, epoch_s)."""
     totals = ticks.agg(
         *[F.sum(c).alias(c) for c in _counter_names(registry)],
         F.max_by("completions", "tick").alias("interval_completions"),
         F.unix_seconds(F.max("last_ts")).alias("epoch_s"),
     )
-    return totals.select(F.inline(_named_values(registry)), "epoch_s")
+    return _listed(totals, registry, "epoch_s")
 
 
 def reading(totals: DataFrame, registry: Registry, previous_completions: Column) -> DataFrame:
@@ -152,7 +164,7 @@ def reading(totals: DataFrame, registry: Registry, previous_completions: Column)
     return totals.withColumns({
         "interval_completions": F.col("completions") - previous_completions,
         "epoch_s": F.unix_seconds("last_ts"),
-    }).select(F.inline(_named_values(registry)), "epoch_s")
+    }).transform(_listed, registry, "epoch_s")
 
 
 def series(ticks: DataFrame, registry: Registry) -> DataFrame:
@@ -160,10 +172,8 @@ def series(ticks: DataFrame, registry: Registry) -> DataFrame:
     counters = _counter_names(registry)
     per_interval = ticks.withColumn("interval_completions", F.col("completions"))
     running = running_totals(per_interval, "tick", counters, _BLOCK)
-    tick_end = (F.col("tick") + 1) * METRIC_INTERVAL_S
-    return running.select(
-        tick_end.alias("tick_s"), F.inline(_named_values(registry))
-    ).drop("value_text")
+    tick_end = ((F.col("tick") + 1) * METRIC_INTERVAL_S).alias("tick_s")
+    return running.select("*", tick_end).transform(_listed, registry, "tick_s").drop("is_count")
 
 
 def payment_rate(ticks: DataFrame) -> DataFrame:
@@ -180,7 +190,11 @@ def payment_rate(ticks: DataFrame) -> DataFrame:
 
 
 def metric_lines(values: DataFrame) -> DataFrame:
-    line = scalars.metric_line(F.col("name"), F.col("value_text"), F.col("epoch_s"))
+    """Text lines; counters print as whole numbers, everything else as decimals."""
+    text = F.when(F.col("is_count"), F.col("value").cast("bigint").cast("string")).otherwise(
+        F.col("value").cast("string")
+    )
+    line = scalars.metric_line(F.col("name"), text, F.col("epoch_s"))
     return values.select(line.alias("line"))
 
 

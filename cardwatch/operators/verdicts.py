@@ -48,8 +48,8 @@ def route(items: DataFrame, registry: Registry, key: str = "id") -> DataFrame:
     return items.select(
         F.col(key).alias("item_id"),
         applicable_count(registry),
-        F.expr(f"inline(array_compact(array({targets})))"),
-    )
+        F.expr(f"inline(array({targets}))"),
+    ).where("ruleset IS NOT NULL")
 
 
 def _with_shared(items: DataFrame, registry: Registry, *more: Column) -> DataFrame:
@@ -75,8 +75,9 @@ def verdict_columns(registry: Registry) -> list[Column]:
 
 def as_rows(evaluated: DataFrame, registry: Registry, *keep: str) -> DataFrame:
     """One row per item and verdict."""
-    verdicts = F.array_compact(F.array(*verdict_columns(registry)))
-    return evaluated.select(*keep, "n_applicable", F.inline(verdicts))
+    verdicts = F.array(*verdict_columns(registry))
+    rows = evaluated.select(*keep, "n_applicable", F.inline(verdicts))
+    return rows.where("ruleset IS NOT NULL")  # sets that do not apply leave a null row
 
 
 def rule_tasks(items: DataFrame, registry: Registry, key: str = "id") -> DataFrame:
@@ -87,8 +88,8 @@ def rule_tasks(items: DataFrame, registry: Registry, key: str = "id") -> DataFra
         for _, s in registry.active() for rule in s.rules if rule.enabled
     )
     return _with_shared(items, registry).select(
-        F.col(key).alias("item_id"), F.expr(f"inline(array_compact(array({tasks})))")
-    )
+        F.col(key).alias("item_id"), F.expr(f"inline(array({tasks}))")
+    ).where("ruleset IS NOT NULL")
 
 
 def with_final(evaluated: DataFrame, registry: Registry) -> DataFrame:

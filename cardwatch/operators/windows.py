@@ -55,7 +55,7 @@ def sliding_average(slices: DataFrame) -> DataFrame:
     )
     ends = F.explode(F.when(first <= last, F.sequence(first, last)))
     return (
-        nearby.repartition("merchant_id", "block")
+        nearby.repartition(_fan_out_tasks(slices), "merchant_id", "block")
         .select("merchant_id", "block", ends.alias("end_slice"), "total", "n")
         .groupBy("merchant_id", "block", "end_slice")
         .agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
@@ -68,6 +68,14 @@ def sliding_average(slices: DataFrame) -> DataFrame:
     )
 
 
+def _fan_out_tasks(rows: DataFrame) -> int:
+    """Tasks for a step whose output is a fixed multiple of its input.
+
+    Given explicitly because adaptive execution would merge tasks by input size.
+    """
+    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def current_average(slices: DataFrame, now_slice: Column) -> DataFrame:
     """Each merchant's newest window that closed by ``now_slice``.
 

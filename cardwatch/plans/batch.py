@@ -515,7 +515,7 @@ def backlog_gauge(spark: SparkSession, sf: str) -> DataFrame:
 
 @registered
 def metric_snapshot(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.snapshot(inputs.ticks(spark, sf), default_registry()).drop("value_text")
+    return metrics.snapshot(inputs.ticks(spark, sf), default_registry()).drop("is_count")
 
 
 @registered

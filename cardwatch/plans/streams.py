@@ -103,7 +103,7 @@ def stream_metrics(spark: SparkSession, sf: str) -> DataFrame:
     runs.drain(runs.start_batches(totals, writer, f"{folder}/checkpoint", mode="complete"))
     newest = sinks.read_newest(spark, f"{folder}/readings", "name")
     rate = scalars.metric_name("payment", "rate")
-    return newest.where(F.col("name") != rate).drop("value_text")
+    return newest.where(F.col("name") != rate).drop("is_count")
 
 
 @registered
