@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cardwatch.fixed_values import (
     DASHBOARD_BANDS,
@@ -149,14 +149,23 @@ def _counter_names(registry: Registry) -> list[str]:
     ]
 
 
-def snapshot(ticks: DataFrame, registry: Registry) -> DataFrame:
-    """Current value of every metric: (name, value, is_count, epoch_s)."""
+def _tick_end(tick: Column) -> Column:
+    return (tick + 1) * METRIC_INTERVAL_S
+
+
+def snapshot(ticks: DataFrame, registry: Registry, time: str = "epoch_s") -> DataFrame:
+    """Current value of every metric: (time, name, value, is_count).
+
+    ``time`` is ``epoch_s``, when the newest item arrived, or ``tick_s``, the end
+    of its interval.
+    """
     totals = ticks.agg(
         *[F.sum(c).alias(c) for c in _counter_names(registry)],
         F.max_by("completions", "tick").alias("interval_completions"),
         F.unix_seconds(F.max("last_ts")).alias("epoch_s"),
+        _tick_end(F.max("tick")).alias("tick_s"),
     )
-    return _listed(totals, registry, "epoch_s")
+    return _listed(totals, registry, time)
 
 
 def reading(totals: DataFrame, registry: Registry, previous_completions: Column) -> DataFrame:
@@ -172,8 +181,33 @@ def series(ticks: DataFrame, registry: Registry) -> DataFrame:
     counters = _counter_names(registry)
     per_interval = ticks.withColumn("interval_completions", F.col("completions"))
     running = running_totals(per_interval, "tick", counters, _BLOCK)
-    tick_end = ((F.col("tick") + 1) * METRIC_INTERVAL_S).alias("tick_s")
-    return running.select("*", tick_end).transform(_listed, registry, "tick_s").drop("is_count")
+    return _readings(running, registry)
+
+
+def _readings(running: DataFrame, registry: Registry) -> DataFrame:
+    ended = running.select("*", _tick_end(F.col("tick")).alias("tick_s"))
+    return _listed(ended, registry, "tick_s").drop("is_count")
+
+
+def panel(ticks: DataFrame, registry: Registry) -> DataFrame:
+    """The readings of a dashboard panel: its span before the newest reading.
+
+    Everything before the span is one row of totals; only the span's few ticks
+    are accumulated.
+    """
+    counters = _counter_names(registry)
+    start = ticks.agg(F.max("tick")).scalar() - DASHBOARD_SPAN_S // METRIC_INTERVAL_S
+    earlier = ticks.where(F.col("tick") <= start).agg(
+        F.struct(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counters])
+    )
+    so_far = Window.orderBy("tick").rowsBetween(Window.unboundedPreceding, 0)
+    recent = ticks.where(F.col("tick") > start).select(
+        "*", F.col("completions").alias("interval_completions"), earlier.scalar().alias("earlier")
+    )
+    running = recent.withColumns({
+        c: F.sum(c).over(so_far) + F.col(f"earlier.{c}") for c in counters
+    })
+    return _readings(running, registry)
 
 
 def payment_rate(ticks: DataFrame) -> DataFrame:
@@ -183,7 +217,7 @@ def payment_rate(ticks: DataFrame) -> DataFrame:
     """
     counted = ticks.select("tick", F.col("completions").alias("interval_completions"), "completions")
     return running_totals(counted, "tick", ["completions"], _BLOCK).select(
-        ((F.col("tick") + 1) * METRIC_INTERVAL_S).alias("tick_s"),
+        _tick_end(F.col("tick")).alias("tick_s"),
         "completions",
         (F.col("interval_completions") / METRIC_INTERVAL_S).alias("payments_per_s"),
     )
@@ -208,14 +242,8 @@ def band(metric: str, value: Column) -> Column:
     )
 
 
-def dashboard(values: DataFrame, time_column: str = "tick_s") -> DataFrame:
-    """Newest value of each banded metric and its colour, from a (time, name, value) series.
-
-    Only readings of the dashboard's span before the newest one count.
-    """
-    newest = values.groupBy("name").agg(
-        F.max_by("value", time_column).alias("value"), F.max(time_column).alias("at_s")
-    )
+def dashboard(current: DataFrame) -> DataFrame:
+    """Current value and colour of each banded metric, from a snapshot by ``tick_s``."""
     colour = reduce(
         lambda rest, metric: F.when(
             F.col("name") == scalars.metric_name(metric), band(metric, F.col("value"))
@@ -223,20 +251,12 @@ def dashboard(values: DataFrame, time_column: str = "tick_s") -> DataFrame:
         DASHBOARD_BANDS,
         F.lit(None).cast("string"),
     )
-    end = newest.agg(F.max("at_s")).scalar()
-    return (
-        newest.where(F.col("name").isin([scalars.metric_name(m) for m in DASHBOARD_BANDS]))
-        .where(F.col("at_s") > end - DASHBOARD_SPAN_S)
-        .withColumn("colour", colour)
+    banded = F.col("name").isin([scalars.metric_name(m) for m in DASHBOARD_BANDS])
+    return current.where(banded).select(
+        "name", "value", F.col("tick_s").alias("at_s"), colour.alias("colour")
     )
 
 
-def last_span(values: DataFrame, time_column: str = "tick_s") -> DataFrame:
-    """The readings a dashboard panel shows: its span before the newest reading."""
-    end = values.agg(F.max(time_column)).scalar()
-    return values.where(F.col(time_column) > end - DASHBOARD_SPAN_S)
-
-
 def reject_counters(counters: DataFrame) -> DataFrame:
     """Counters that belong to rule sets, found by not carrying the internal prefix."""
     return counters.where(~F.col("name").startswith(INTERNAL_COUNTER_PREFIX))

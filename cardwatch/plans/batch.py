@@ -535,12 +535,13 @@ def payment_rate(spark: SparkSession, sf: str) -> DataFrame:
 
 @registered
 def dashboard_status(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.dashboard(metrics.series(inputs.ticks(spark, sf), default_registry()))
+    current = metrics.snapshot(inputs.ticks(spark, sf), default_registry(), time="tick_s")
+    return metrics.dashboard(current)
 
 
 @registered
 def dashboard_panel(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.last_span(metrics.series(inputs.ticks(spark, sf), default_registry()))
+    return metrics.panel(inputs.ticks(spark, sf), default_registry())
 
 
 @registered

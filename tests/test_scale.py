@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cardwatch.operators import enrich, verdicts, windows
 from cardwatch.operators.rules import default_registry
 from cardwatch.plans import batch, inputs
-from cardwatch.sources import bank
+from cardwatch.sources import bank, tables
 
 
 def plan(frame):
@@ -135,3 +135,14 @@ def test_every_transaction_has_one_status(spark, sf):
     counts = judged.agg(*verdicts.counter_columns(default_registry())).first()
     assert counts.rejected_fraud_events >= counts.rejected_txns
     assert counts.approved + counts.rejected_txns == counts.completions
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark, sf, conf, tmp_path):
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    tables.save_bucketed(bank.accounts(spark, sf), "b_account", "acct_number", 4, f"{tmp_path}/a")
+    tables.save_bucketed(bank.transactions(spark, sf), "b_txn", "acct_number", 4, f"{tmp_path}/t")
+    joined = enrich.with_account(spark.table("b_txn"), spark.table("b_account"))
+    assert "Exchange" not in plan(joined)
+    assert joined.where("account is not null").count() == 1000
+    spark.sql("DROP TABLE b_account")
+    spark.sql("DROP TABLE b_txn")
