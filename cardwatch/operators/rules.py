@@ -162,7 +162,8 @@ class Registry:
 # --- roll-ups -----------------------------------------------------------------
 
 def total(results: Sequence[str]) -> str:
-    return f"round({' + '.join(results)}, 6)"
+    """Sum to six decimals, in plain double arithmetic: ``round`` goes through decimals."""
+    return f"rint(({' + '.join(results)}) * 1e6D) / 1e6D"
 
 
 def worst_risk(results: Sequence[str]) -> str:

@@ -101,8 +101,14 @@ def with_final(evaluated: DataFrame, registry: Registry) -> DataFrame:
         (verdict_column(n), f"{verdict_column(n)}.outcome <> '{APPROVED}'")
         for n, _ in registry.active()
     ]
+    if not rejected:
+        return _without_sets(evaluated)
     first = ", ".join(f"if({bad}, {verdict}, null)" for verdict, bad in rejected)
-    names = ", ".join(f"if({bad}, {verdict}.ruleset, null)" for verdict, bad in rejected)
+    names = ", ".join(
+        f"if({bad}, array({verdict}.ruleset), cast(array() AS array<string>))"
+        for verdict, bad in rejected
+    )
+    n_rejecting = " + ".join(f"int(coalesce({bad}, false))" for _, bad in rejected)
     return evaluated.select("*", F.expr(f"coalesce({first})").alias("rejecting")).select(
         *evaluated.columns,
         F.expr(
@@ -110,15 +116,28 @@ def with_final(evaluated: DataFrame, registry: Registry) -> DataFrame:
         ).alias("final_status"),
         F.col("rejecting.ruleset").alias("rejecting_ruleset"),
         F.col("rejecting.reason").alias("rejecting_reason"),
-        F.expr(f"array_compact(array({names}))").alias("rejecting_rulesets"),
+        F.expr(f"concat({names})").alias("rejecting_rulesets"),
+        F.expr(n_rejecting).alias("n_rejecting"),
     )
 
 
+def _without_sets(evaluated: DataFrame) -> DataFrame:
+    """With every rule set switched off, everything waits."""
+    no_text = F.lit(None).cast("string")
+    return evaluated.withColumns({
+        "final_status": F.lit(PENDING),
+        "rejecting_ruleset": no_text,
+        "rejecting_reason": no_text,
+        "rejecting_rulesets": F.array().cast("array<string>"),
+        "n_rejecting": F.lit(0),
+    })
+
+
 def _rejects_of(verdicts: Sequence[Column], status: str) -> Column:
     hits = [
         F.when(v["outcome"] == status, F.lit(1)).otherwise(F.lit(0)) for v in verdicts
     ]
-    return reduce(Column.__add__, hits)
+    return reduce(Column.__add__, hits, F.lit(0))
 
 
 def counter_columns(registry: Registry) -> list[Column]:

@@ -37,7 +37,7 @@ def stream_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     folder = work_dir(spark, "verdicts")
     rows = streamed_verdicts(spark, sf).select(
         "id", "n_applicable", "final_status", "rejecting_ruleset", "rejecting_reason",
-        F.size("rejecting_rulesets").alias("n_rejecting"),
+        "n_rejecting",
     )
     runs.drain(runs.start_to_files(rows, f"{folder}/rows", f"{folder}/checkpoint"))
     return spark.read.parquet(f"{folder}/rows")

@@ -150,6 +150,18 @@ def test_no_applicable_set_stays_pending(spark):
     assert verdicts.route(frame, registry).count() == 0
 
 
+def test_everything_waits_while_all_sets_are_off(spark):
+    registry = two_sets()
+    registry.disable("first")
+    registry.disable("second")
+    frame = spark.createDataFrame([("a", True)], "id string, bad boolean")
+    judged = verdicts.with_final(verdicts.evaluate(frame, registry), registry)
+    row = judged.first()
+    assert (row.n_applicable, row.final_status, row.n_rejecting) == (0, "Pending", 0)
+    counts = judged.agg(*verdicts.counter_columns(registry)).first()
+    assert (counts.completions, counts.rejected_fraud_events) == (0, 0)
+
+
 POSTED = "item_id string, ordinal int, ruleset string, n_applicable int, outcome string, posted_ms long"
 
 
