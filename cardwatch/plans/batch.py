@@ -440,10 +440,10 @@ def fraud_credit_waterfall(spark: SparkSession, sf: str) -> DataFrame:
 
 @registered
 def credit_limit_lists(spark: SparkSession, sf: str) -> DataFrame:
-    """The credit flow on odd ids: enrich, evaluate, and list results per item."""
-    odd = bank.transactions(spark, sf).where(~waterfall.is_even(F.col("id")))
+    """The credit flow: attach the active rules, enrich, evaluate, and list results per item."""
+    txns = bank.transactions(spark, sf)
     active = spark.createDataFrame([(waterfall.CREDIT_LIMIT_RULE,)], "rule string")
-    rows = waterfall.credit_results(odd, bank.accounts(spark, sf), active)
+    rows = waterfall.credit_results(txns, bank.accounts(spark, sf), active)
     results = F.array(F.struct("rule", "evaluation_result"))
     message = F.transform(
         results,

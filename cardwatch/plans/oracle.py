@@ -320,7 +320,7 @@ SQL = {
     "credit_limit_lists": _plain("""
         SELECT id, 1 AS expected_rules, 1 AS n_results,
                'CreditLimitRule evaluated to: ' || CASE WHEN credit_ok THEN 'true' ELSE 'false' END AS results
-        FROM scored WHERE n % 2 = 1"""),
+        FROM scored"""),
     "odd_even_split": _plain("""
         SELECT id, CASE WHEN n % 2 = 0 THEN 'waterfall' ELSE 'credit' END AS flow,
                CASE WHEN n % 2 = 0 AND amount_risk IS NULL THEN 'Pending'
