@@ -52,7 +52,12 @@ def with_previous(
 
 
 def running_totals(rows: DataFrame, order: str, columns: Sequence[str], size: int) -> DataFrame:
-    """Running totals over all rows; one row per block is totalled in a single pass."""
+    """Running totals over all rows; one row per block is totalled in a single pass.
+
+    Both sides of the join read the same rows. It is a left join although every
+    block matches: an inner join would add a filter to one side only, and the
+    rows would be computed twice instead of being exchanged once.
+    """
     blocked = with_block(rows, order, size)
     per_block = blocked.groupBy("block").agg(*[F.sum(c).alias(f"block_{c}") for c in columns])
     earlier = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -61,6 +66,6 @@ def running_totals(rows: DataFrame, order: str, columns: Sequence[str], size: in
         for c in columns
     ])
     inside = Window.partitionBy("block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return blocked.join(offsets, "block").withColumns({
+    return blocked.join(offsets, "block", "left").withColumns({
         c: F.sum(c).over(inside) + F.col(f"before_{c}") for c in columns
     }).drop("block", *[f"before_{c}" for c in columns])

@@ -140,10 +140,10 @@ def _metric(name: Column, value: Column, is_count: bool) -> Column:
     )
 
 
-def _counter_names(registry: Registry) -> list[str]:
+def _reading_counters(registry: Registry) -> list[str]:
+    """The counters a reading is made of. Completions are the items with a latency."""
     return [
-        "completions", "approved", "rejected_fraud_events", "rejected_credit_events",
-        "rejected_txns", *[f"n_{name}" for name in MERCHANT_GROUPS],
+        "rejected_fraud_events", *[f"n_{name}" for name in MERCHANT_GROUPS],
         "total_latency_ms", "latency_items",
         *[f"rejects_{n}" for n, _ in registry.active()],
     ]
@@ -160,8 +160,8 @@ def snapshot(ticks: DataFrame, registry: Registry, time: str = "epoch_s") -> Dat
     of its interval.
     """
     totals = ticks.agg(
-        *[F.sum(c).alias(c) for c in _counter_names(registry)],
-        F.max_by("completions", "tick").alias("interval_completions"),
+        *[F.sum(c).alias(c) for c in _reading_counters(registry)],
+        F.max_by("latency_items", "tick").alias("interval_completions"),
         F.unix_seconds(F.max("last_ts")).alias("epoch_s"),
         _tick_end(F.max("tick")).alias("tick_s"),
     )
@@ -171,15 +171,15 @@ def snapshot(ticks: DataFrame, registry: Registry, time: str = "epoch_s") -> Dat
 def reading(totals: DataFrame, registry: Registry, previous_completions: Column) -> DataFrame:
     """One reading of the metric pump from running totals and the reading before it."""
     return totals.withColumns({
-        "interval_completions": F.col("completions") - previous_completions,
+        "interval_completions": F.col("latency_items") - previous_completions,
         "epoch_s": F.unix_seconds("last_ts"),
     }).transform(_listed, registry, "epoch_s")
 
 
 def series(ticks: DataFrame, registry: Registry) -> DataFrame:
     """What the metric pump reports at each interval with activity: (tick_s, name, value)."""
-    counters = _counter_names(registry)
-    per_interval = ticks.withColumn("interval_completions", F.col("completions"))
+    counters = _reading_counters(registry)
+    per_interval = ticks.withColumn("interval_completions", F.col("latency_items"))
     running = running_totals(per_interval, "tick", counters, _BLOCK)
     return _readings(running, registry)
 
@@ -195,14 +195,14 @@ def panel(ticks: DataFrame, registry: Registry) -> DataFrame:
     Everything before the span is one row of totals; only the span's few ticks
     are accumulated.
     """
-    counters = _counter_names(registry)
+    counters = _reading_counters(registry)
     start = ticks.agg(F.max("tick")).scalar() - DASHBOARD_SPAN_S // METRIC_INTERVAL_S
     earlier = ticks.where(F.col("tick") <= start).agg(
         F.struct(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counters])
     )
     so_far = Window.orderBy("tick").rowsBetween(Window.unboundedPreceding, 0)
     recent = ticks.where(F.col("tick") > start).select(
-        "*", F.col("completions").alias("interval_completions"), earlier.scalar().alias("earlier")
+        "*", F.col("latency_items").alias("interval_completions"), earlier.scalar().alias("earlier")
     )
     running = recent.withColumns({
         c: F.sum(c).over(so_far) + F.col(f"earlier.{c}") for c in counters
@@ -215,7 +215,11 @@ def payment_rate(ticks: DataFrame) -> DataFrame:
 
     Readings come every interval, so the difference is the interval's own count.
     """
-    counted = ticks.select("tick", F.col("completions").alias("interval_completions"), "completions")
+    counted = ticks.select(
+        "tick",
+        F.col("latency_items").alias("interval_completions"),
+        F.col("latency_items").alias("completions"),
+    )
     return running_totals(counted, "tick", ["completions"], _BLOCK).select(
         _tick_end(F.col("tick")).alias("tick_s"),
         "completions",

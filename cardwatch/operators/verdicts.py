@@ -21,6 +21,7 @@ from cardwatch.fixed_values import (
 )
 from cardwatch.functions import scalars
 from cardwatch.functions.aggregates import count_when
+from cardwatch.operators.once import once
 from cardwatch.operators.rules import Registry
 
 
@@ -52,17 +53,16 @@ def route(items: DataFrame, registry: Registry, key: str = "id") -> DataFrame:
     ).where("ruleset IS NOT NULL")
 
 
-def _with_shared(items: DataFrame, registry: Registry, *more: Column) -> DataFrame:
-    shared = {name: text for _, s in registry.active() for name, text in s.shared.items()}
-    return items.select("*", *more, *[F.expr(text).alias(name) for name, text in shared.items()])
+def _shared(registry: Registry) -> dict[str, str]:
+    return {name: text for _, s in registry.active() for name, text in s.shared.items()}
 
 
 def evaluate(items: DataFrame, registry: Registry) -> DataFrame:
     """Add ``n_applicable`` and one verdict struct per active set, null where it does not apply."""
     active = registry.active()
-    rows = _with_shared(items, registry, applicable_count(registry))
-    results = [F.expr(s.result()).alias(f"result_{n}") for n, s in active]
-    return rows.select("*", *results).select(
+    rows = once(items, _shared(registry), applicable_count(registry))
+    rows = once(rows, {f"result_{n}": s.result() for n, s in active})
+    return rows.select(
         *items.columns,
         "n_applicable",
         *[F.expr(s.verdict(n, f"result_{n}")).alias(verdict_column(n)) for n, s in active],
@@ -87,7 +87,7 @@ def rule_tasks(items: DataFrame, registry: Registry, key: str = "id") -> DataFra
         f"'rule', {scalars.sql_text(rule.qualified_name(s.name))}, {s.slots(rule.result())}), null)"
         for _, s in registry.active() for rule in s.rules if rule.enabled
     )
-    return _with_shared(items, registry).select(
+    return once(items, _shared(registry)).select(
         F.col(key).alias("item_id"), F.expr(f"inline(array({tasks}))")
     ).where("ruleset IS NOT NULL")
 
@@ -103,19 +103,22 @@ def with_final(evaluated: DataFrame, registry: Registry) -> DataFrame:
     ]
     if not rejected:
         return _without_sets(evaluated)
-    first = ", ".join(f"if({bad}, {verdict}, null)" for verdict, bad in rejected)
+
+    def first(field: str, otherwise: str) -> str:
+        choices = [f"if({bad}, {verdict}.{field}, null)" for verdict, bad in rejected]
+        return f"coalesce({', '.join(choices)}, {otherwise})"
+
     names = ", ".join(
         f"if({bad}, array({verdict}.ruleset), cast(array() AS array<string>))"
         for verdict, bad in rejected
     )
     n_rejecting = " + ".join(f"int(coalesce({bad}, false))" for _, bad in rejected)
-    return evaluated.select("*", F.expr(f"coalesce({first})").alias("rejecting")).select(
-        *evaluated.columns,
-        F.expr(
-            f"if(n_applicable > 0, coalesce(rejecting.outcome, '{APPROVED}'), '{PENDING}')"
-        ).alias("final_status"),
-        F.col("rejecting.ruleset").alias("rejecting_ruleset"),
-        F.col("rejecting.reason").alias("rejecting_reason"),
+    final = first("outcome", f"'{APPROVED}'")
+    return evaluated.select(
+        "*",
+        F.expr(f"if(n_applicable > 0, {final}, '{PENDING}')").alias("final_status"),
+        F.expr(first("ruleset", "null")).alias("rejecting_ruleset"),
+        F.expr(first("reason", "null")).alias("rejecting_reason"),
         F.expr(f"concat({names})").alias("rejecting_rulesets"),
         F.expr(n_rejecting).alias("n_rejecting"),
     )

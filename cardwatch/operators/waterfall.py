@@ -13,11 +13,11 @@ from cardwatch.fixed_values import (
 )
 from cardwatch.functions import scalars
 from cardwatch.operators.enrich import with_account, with_active_rules, with_merchant
+from cardwatch.operators.once import once
 
 
-def fraud_score() -> Column:
-    risk = scalars.amount_risk("amount", "merchant.avg_txn_amount")
-    return F.expr(scalars.risk_score(risk))
+def fraud_score() -> str:
+    return scalars.risk_score(scalars.amount_risk("amount", "merchant.avg_txn_amount"))
 
 
 def credit_passed() -> Column:
@@ -33,7 +33,7 @@ def waterfall(transactions: DataFrame, merchants: DataFrame, accounts: DataFrame
     flow: the item stays pending and names the error.
     """
     rows = with_account(with_merchant(transactions, merchants), accounts)
-    rows = rows.withColumn("fraud_result", fraud_score())
+    rows = once(rows, {"fraud_result": fraud_score()})
     fraud = scalars.is_fraud_score(F.col("fraud_result"))
     rows = rows.withColumn("payment_result", F.when(~fraud, credit_passed()))
     passed = F.col("payment_result")

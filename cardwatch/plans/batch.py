@@ -117,7 +117,7 @@ def reputation_risk(spark: SparkSession, sf: str) -> DataFrame:
 @registered
 def risk_score(spark: SparkSession, sf: str) -> DataFrame:
     rows = enrich.with_merchant(bank.transactions(spark, sf), bank.merchants(spark, sf))
-    score = waterfall.fraud_score()
+    score = F.expr(waterfall.fraud_score())
     return rows.select("id", score.alias("score"), scalars.is_fraud_score(score).alias("is_fraud"))
 
 

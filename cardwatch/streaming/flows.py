@@ -110,8 +110,8 @@ def metric_writer(spark: SparkSession, registry: Registry, path: str) -> BatchWr
         before = F.lit(0)
         if batch_id > 0:
             earlier = spark.read.parquet(f"{completions}/batch_id={batch_id - 1}")
-            before = earlier.agg(F.max("completions")).scalar()
-        sinks.write_version(totals.select("completions"), completions, batch_id)
+            before = earlier.agg(F.max("latency_items")).scalar()
+        sinks.write_version(totals.select("latency_items"), completions, batch_id)
         values = metrics.reading(totals, registry, before)
         sinks.write_version(values, f"{path}/readings", batch_id)
         sinks.write_lines(metrics.metric_lines(values), f"{path}/lines", batch_id)

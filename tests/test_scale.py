@@ -33,6 +33,15 @@ def test_scan_reads_only_what_is_needed(spark, sf):
     assert "ReadSchema: struct<ts:timestamp_ntz>" in text
 
 
+def test_filter_on_a_verdict_stays_small(spark, sf):
+    """A pushed-down filter must not carry the rules' expressions with it."""
+    rejected = inputs.judged(spark, sf).where("final_status = 'RejectedForFraud'").select("id")
+    text = rejected._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("md5(") == 2
+    filters = [line for line in text.split("\n") if "+- Filter" in line or line.startswith("Filter")]
+    assert max(map(len, filters)) < 1000
+
+
 ORDINARY = [
     "final_verdicts", "fraud_credit_waterfall", "asof_feedback", "sliding_merchant_avg",
     "updated_merchants", "average_changes", "pending_items", "running_all_true", "metric_series",
