@@ -21,6 +21,26 @@ SELECT p.page_id, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict
 FROM parts p LEFT JOIN fitting f ON f.page_id = p.page_id AND place = 1
 """
 
+NGRAM_JOIN = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, k, k + 4), ' ') AS s
+  FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS k FROM words WHERE len(w) > 0)
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)
+), both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (
+  SELECT x, y FROM both_ways UNION SELECT r.x, b.y FROM reach r JOIN both_ways b ON b.x = r.y
+), least AS (SELECT x, min(y) AS y FROM reach GROUP BY 1)
+SELECT w.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(w.doc_id, coalesce(y, w.doc_id)) AS component_id
+FROM words w LEFT JOIN sizes USING (doc_id) LEFT JOIN least ON least.x = w.doc_id
+"""
+
 DECONTAMINATION = r"""
 WITH item_words AS (
   SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
@@ -57,4 +77,4 @@ FROM doc_words d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id) LEF
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filters": URL_FILTERS, "op10_decontamination": DECONTAMINATION}
+    return {"op2_ngram_jaccard_join": NGRAM_JOIN, "op3_url_filters": URL_FILTERS, "op10_decontamination": DECONTAMINATION}

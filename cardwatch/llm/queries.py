@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cardwatch.llm import decontaminate, url_filter
+from cardwatch.llm import decontaminate, ngram_join, url_filter
 from cardwatch.llm.base import prepare, table
 
 URL_RULES = [
@@ -18,6 +18,11 @@ URL_RULES = [
 ]
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.similarity_components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
@@ -31,5 +36,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op3_url_filters, op10_decontamination)
+    every = (op2_ngram_jaccard_join, op3_url_filters, op10_decontamination)
     return {f.__name__: (lambda spark, sf_dir, f=f: f(prepare(spark), sf_dir)) for f in every}
