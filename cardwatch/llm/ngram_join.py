@@ -273,3 +273,19 @@ def similarity_components(documents: DataFrame, common: int = COMMON) -> DataFra
         F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
         F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
     )
+
+
+def one_of_each(documents: DataFrame, common: int = COMMON) -> DataFrame:
+    """The documents without those that are linked, directly or not, to one of a smaller id.
+
+    Of repeated rows (equal id and text) one stays. Rows without an id can't be told
+    apart by one and stay.
+    """
+    found = stash(similarity_components(documents, common).select("doc_id", "component_id"), "components").where("doc_id is not null")
+    gone = stash(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    kept = documents.join(gone, documents["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    twice = stash(found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice")), "twice")
+    if twice.isEmpty():
+        return kept
+    is_twice = kept["doc_id"].cast("long") == F.col("_twice")
+    return kept.join(twice, is_twice, "left_anti").unionByName(kept.join(twice, is_twice, "left_semi").dropDuplicates(["doc_id", "text"]))

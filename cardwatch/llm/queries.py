@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cardwatch.llm import decontaminate, ngram_join, url_filter
+from cardwatch.llm import decontaminate, ngram_join, piece_codec, pii, toxicity, url_filter
 from cardwatch.llm.base import prepare, table
 
 URL_RULES = [
@@ -28,6 +29,36 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def _tagged(spans: str) -> str:
+    return f"array_join(transform({spans}, s -> concat(s.kind, ':', s.start, ':', s.end)), ',')"
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = pii.personal_spans(table(spark, sf_dir, "documents"))
+    counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{kind}')) as long)").alias(f"n_{kind}") for kind in pii.KINDS]
+    return spans.select(
+        "doc_id", *counts,
+        F.sha2(F.expr(_tagged("base")), 256).alias("base_sha256"),
+        F.expr(_tagged("concat(base, found)")).alias("spans"),
+    )
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text, and whether they decode to the very text."""
+    vocabulary = piece_codec.read_vocabulary()
+    encoded = piece_codec.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
+    decoded = piece_codec.decode(encoded, vocabulary)
+    return decoded.select("doc_id", "n_tokens", "token_ids", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, held_out = table(spark, sf_dir, "documents"), toxicity.fold(3, 1)
+    model = toxicity.fit(documents, table(spark, sf_dir, "labels").where(~held_out))
+    return toxicity.scores(documents, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
+    )
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).selectExpr(
         "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated",
@@ -36,5 +67,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op2_ngram_jaccard_join, op3_url_filters, op10_decontamination)
+    every = (op2_ngram_jaccard_join, op3_url_filters, op7_pii, op8_sentencepiece, op9_toxicity, op10_decontamination)
     return {f.__name__: (lambda spark, sf_dir, f=f: f(prepare(spark), sf_dir)) for f in every}
