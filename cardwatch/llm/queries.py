@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardwatch.llm import decontaminate, ngram_join, piece_codec, pii, toxicity, url_filter
+from cardwatch.llm import decontaminate, ngram_join, piece_codec, pii, quality_gam, quality_rules, toxicity, url_filter
 from cardwatch.llm.base import prepare, table
 
 URL_RULES = [
@@ -29,6 +29,20 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.verdicts(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior"
+    )
+
+
+def op5_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, held_out = table(spark, sf_dir, "documents"), toxicity.fold(4, 2)
+    model = quality_gam.fit(documents, table(spark, sf_dir, "labels").where(~held_out))
+    return quality_gam.scores(documents, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality_gam.THRESHOLD).cast("int").alias("predicted")
+    )
+
+
 def _tagged(spans: str) -> str:
     return f"array_join(transform({spans}, s -> concat(s.kind, ':', s.start, ':', s.end)), ',')"
 
@@ -67,5 +81,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op2_ngram_jaccard_join, op3_url_filters, op7_pii, op8_sentencepiece, op9_toxicity, op10_decontamination)
+    every = (op2_ngram_jaccard_join, op3_url_filters, op4_quality_rules, op5_quality_gam, op7_pii, op8_sentencepiece, op9_toxicity, op10_decontamination)
     return {f.__name__: (lambda spark, sf_dir, f=f: f(prepare(spark), sf_dir)) for f in every}
