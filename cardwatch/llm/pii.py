@@ -63,23 +63,29 @@ _VALID = {
 }
 
 
+# What every match of a kind holds: texts without it skip the pattern.
+_NEEDS = {"email": "contains(_text, '@')", "phone": "contains(_text, '+')"}
+_ANY_DIGIT = "_text rlike '[0-9]'"
+
+
 def _parts(kind: str) -> Column:
     """Text between matches and matches, in turns; one entry if nothing matches."""
     marked = F.regexp_replace("_text", PATTERNS[kind], "\u0001$0\u0001")
-    return F.split(marked, "\u0001", -1)
+    return F.when(F.expr(_NEEDS.get(kind, _ANY_DIGIT)), F.split(marked, "\u0001", -1)).otherwise(F.array("_text"))
+
+
+def _starts(kind: str) -> Column:
+    """Code points before each part, and of them all."""
+    return F.expr(f"aggregate(_{kind}, array(0), (a, x) -> array_append(a, element_at(a, -1) + length(x)))")
 
 
 def _spans(kind: str) -> Column:
     """kind, start, end (code points), value and the text around every valid match."""
-    p = f"_{kind}"
-    found = f"""filter(transform(
+    p, starts = f"_{kind}", f"_{kind}_starts"
+    return F.expr(f"""filter(transform(
         if(size({p}) > 1, sequence(1, size({p}) - 1, 2), cast(array() as array<int>)),
-        i -> struct('{kind}' as kind,
-            aggregate(slice({p}, 1, i), 0L, (a, x) -> a + length(x)) as start,
-            {p}[i] as value, right({p}[i - 1], 60) as before, left({p}[i + 1], 60) as after)), s -> {_VALID[kind]})"""
-    return F.expr(
-        f"transform({found}, s -> struct(s.kind as kind, s.start as start, s.start + length(s.value) as end, s.value as value, s.before as before, s.after as after))"
-    )
+        i -> struct('{kind}' as kind, cast({starts}[i] as bigint) as start, cast({starts}[i + 1] as bigint) as end,
+            {p}[i] as value, right({p}[i - 1], 60) as before, left({p}[i + 1], 60) as after)), s -> {_VALID[kind]})""")
 
 
 def _overlapping(spans: str, s: str) -> str:
@@ -91,6 +97,8 @@ def _scanned(documents: DataFrame) -> DataFrame:
     marked = documents.withColumn("_text", F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), "\u0001", "\u0002"))
     for kind in (*KINDS, FOUND):
         marked = marked.withColumn(f"_{kind}", _parts(kind))
+    for kind in (*KINDS, FOUND):
+        marked = marked.withColumn(f"_{kind}_starts", _starts(kind))
     for kind in (*KINDS, FOUND):
         marked = marked.withColumn(f"_{kind}", _spans(kind))
     marked = marked.withColumn("base", F.concat(*(F.col(f"_{kind}") for kind in KINDS)))
