@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardwatch.llm import decontaminate, ngram_join, piece_codec, pii, quality_gam, quality_rules, toxicity, url_filter
+from cardwatch.llm import decontaminate, html_text, ngram_join, piece_codec, pii, quality_gam, quality_rules, toxicity, url_filter
 from cardwatch.llm.base import prepare, table
 
 URL_RULES = [
@@ -43,6 +43,10 @@ def op5_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def _tagged(spans: str) -> str:
     return f"array_join(transform({spans}, s -> concat(s.kind, ':', s.start, ':', s.end)), ',')"
 
@@ -81,5 +85,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op2_ngram_jaccard_join, op3_url_filters, op4_quality_rules, op5_quality_gam, op7_pii, op8_sentencepiece, op9_toxicity, op10_decontamination)
+    every = (op2_ngram_jaccard_join, op3_url_filters, op4_quality_rules, op5_quality_gam, op6_html_extraction, op7_pii, op8_sentencepiece, op9_toxicity, op10_decontamination)
     return {f.__name__: (lambda spark, sf_dir, f=f: f(prepare(spark), sf_dir)) for f in every}
