@@ -2,6 +2,27 @@
 
 from __future__ import annotations
 
+CHAT_TOOL_LINKS = r"""
+WITH calls AS (
+  SELECT conv_id, turn, min(text) AS text FROM conversations WHERE role = 'user' AND text IS NOT NULL GROUP BY ALL
+), results AS (
+  SELECT conv_id, turn, min(text) AS text FROM conversations WHERE role = 'assistant' AND text IS NOT NULL GROUP BY ALL
+), both_sides AS (
+  SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.turn, r.turn) AS turn, coalesce(c.turn, r.turn - 1) AS id,
+         CASE WHEN c.turn IS NULL THEN 'orphan' WHEN r.turn IS NULL THEN 'unanswered' ELSE 'answered' END AS status,
+         c.turn AS call_turn, c.text AS prompt, r.text AS result
+  FROM calls c FULL JOIN results r ON c.conv_id = r.conv_id AND c.turn = r.turn - 1
+)
+SELECT conv_id, turn, 'turn-' || id AS call_id, status, CAST(status = 'orphan' AS BIGINT) AS n_errors,
+       lpad(CAST(turn AS VARCHAR), 12, '0') || '.00000000.00000000.' || lpad(CAST(turn AS VARCHAR), 12, '0') || '.00000000' AS order_key,
+       CAST(json_object(
+         'after', CASE WHEN call_turn IS NULL THEN NULL WHEN call_turn >= 2 THEN ['turn-' || (call_turn - 2)] ELSE CAST([] AS VARCHAR[]) END,
+         'arguments', CASE WHEN call_turn IS NOT NULL THEN json_object('prompt', prompt, 'turn', call_turn) END,
+         'conv_id', conv_id, 'errors', CASE WHEN status = 'orphan' THEN ['orphan'] ELSE CAST([] AS VARCHAR[]) END, 'id', 'turn-' || id,
+         'name', CASE WHEN call_turn IS NOT NULL THEN 'answer' END, 'result', result, 'status', status, 'turn', turn) AS VARCHAR) AS line
+FROM both_sides
+"""
+
 URL_FILTERS = r"""
 WITH cut AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -77,4 +98,4 @@ FROM doc_words d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id) LEF
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_jaccard_join": NGRAM_JOIN, "op3_url_filters": URL_FILTERS, "op10_decontamination": DECONTAMINATION}
+    return {"op1_chat_tool_links": CHAT_TOOL_LINKS, "op2_ngram_jaccard_join": NGRAM_JOIN, "op3_url_filters": URL_FILTERS, "op10_decontamination": DECONTAMINATION}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardwatch.llm import decontaminate, html_text, ngram_join, piece_codec, pii, quality_gam, quality_rules, toxicity, url_filter
+from cardwatch.llm import chat_tools, decontaminate, html_text, ngram_join, piece_codec, pii, quality_gam, quality_rules, toxicity, url_filter
 from cardwatch.llm.base import prepare, table
 
 URL_RULES = [
@@ -19,6 +19,20 @@ URL_RULES = [
 ]
 
 
+ANSWER_TOOL = [("answer", [("prompt", "string", True), ("turn", "integer", True)])]
+
+
+def op1_chat_tool_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table's turns have no markup, so their plain turns are read as calls and results, too."""
+    messages = table(spark, sf_dir, "conversations")
+    tools = spark.createDataFrame(ANSWER_TOOL, "name string, parameters array<struct<name:string,type:string,required:boolean>>")
+    return chat_tools.link(
+        chat_tools.turn_calls(messages).unionByName(chat_tools.marked_calls(messages)),
+        chat_tools.turn_results(messages).unionByName(chat_tools.marked_results(messages)),
+        tools,
+    )
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_join.similarity_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id")
@@ -85,5 +99,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op2_ngram_jaccard_join, op3_url_filters, op4_quality_rules, op5_quality_gam, op6_html_extraction, op7_pii, op8_sentencepiece, op9_toxicity, op10_decontamination)
+    every = (op1_chat_tool_links, op2_ngram_jaccard_join, op3_url_filters, op4_quality_rules, op5_quality_gam, op6_html_extraction, op7_pii, op8_sentencepiece, op9_toxicity, op10_decontamination)
     return {f.__name__: (lambda spark, sf_dir, f=f: f(prepare(spark), sf_dir)) for f in every}
