@@ -21,7 +21,11 @@ def registered(query):
     return query
 
 
-def streamed_transactions(spark: SparkSession, sf: str, files_per_trigger: int | None = None):
+# Files a batch takes at most, so that no batch grows with the table.
+FILES_PER_TRIGGER = 8
+
+
+def streamed_transactions(spark: SparkSession, sf: str, files_per_trigger: int = FILES_PER_TRIGGER):
     events = runs.stored_stream(runs.prepare(spark), sf, "events", GIVEN["events"], files_per_trigger)
     return bank.transactions_from(events, bank.merchant_count(spark, sf))
 

@@ -8,8 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cardwatch.fixed_values import (
     AVERAGE_SLIDE_S,
-    IDLE_LIMIT_S,
-    METRIC_INTERVAL_S,
     THROUGHPUT_WINDOW_S,
 )
 from cardwatch.functions import scalars
@@ -49,41 +47,44 @@ def unwrapped(carriers: DataFrame) -> DataFrame:
 
 # --- windows --------------------------------------------------------------------
 
-def slice_stream(transactions: DataFrame, delay_s: int = 0) -> DataFrame:
-    """Running (sum, count) per merchant and slide interval.
+def _watermarked(rows: DataFrame, delay_s: int | None) -> DataFrame:
+    """Rows with a watermark so far behind their event time; without one, no row is ever late."""
+    return rows if delay_s is None else rows.withWatermark("ts", f"{delay_s} seconds")
 
-    Holding intervals instead of the windows over them keeps one state row where
+
+def slice_stream(transactions: DataFrame, delay_s: int | None = None) -> DataFrame:
+    """Running (sum, count) per merchant and slide interval, however the rows fall into batches.
+
+    State is kept for every interval unless a delay bounds it; rows later than that are
+    dropped then, and ``runs.progress`` counts them. Holding intervals instead of the windows over them keeps one state row where
     the sliding window itself would keep twenty.
     """
     slice_window = F.window("ts", f"{AVERAGE_SLIDE_S} seconds").alias("w")
     number = F.floor(F.unix_seconds(F.col("w.start")) / AVERAGE_SLIDE_S)
     return (
-        transactions.where(F.col("merchant_id").isNotNull())
-        .withWatermark("ts", f"{delay_s} seconds")
+        _watermarked(transactions.where(F.col("merchant_id").isNotNull()), delay_s)
         .groupBy("merchant_id", slice_window)
         .agg(F.sum("amount").alias("total"), F.count("amount").alias("n"))
         .select("merchant_id", number.alias("slice"), "total", "n")
     )
 
 
-def throughput_stream(items: DataFrame, delay_s: int = 0) -> DataFrame:
-    """Items per tumbling window so far."""
-    return windows.tumbling_counts(
-        items.withWatermark("ts", f"{delay_s} seconds"), THROUGHPUT_WINDOW_S
-    )
+def throughput_stream(items: DataFrame, delay_s: int | None = None) -> DataFrame:
+    """Items per tumbling window so far; the delay as in ``slice_stream``."""
+    return windows.tumbling_counts(_watermarked(items, delay_s), THROUGHPUT_WINDOW_S)
 
 
 # --- assembly -------------------------------------------------------------------
 
-def assembly_stream(postings: DataFrame, rulesets: list[str], ttl_s: int = IDLE_LIMIT_S) -> DataFrame:
-    """Results collected per item as they arrive; state is dropped ``ttl_s`` after the item.
+def assembly_stream(postings: DataFrame, rulesets: list[str], ttl_s: int | None = None) -> DataFrame:
+    """Results collected per item as they arrive; with ``ttl_s``, state is dropped so long after the item.
 
-    Every result carries its item's event time, so the watermark can expire items
+    Without it no item times out, and none is lost to the order of the batches. Every result carries its item's event time, so the watermark can expire items
     that never complete. Update mode reports completions at once; append mode
     reports each item a single time when it expires.
     """
     return verdicts.assemble_outcomes(
-        postings.withWatermark("ts", f"{ttl_s} seconds"), rulesets, keys=("item_id", "ts")
+        _watermarked(postings, ttl_s), rulesets, keys=("item_id", "ts")
     )
 
 
@@ -119,9 +120,6 @@ def metric_writer(spark: SparkSession, registry: Registry, path: str) -> BatchWr
     return write
 
 
-METRIC_TRIGGER = {"processingTime": f"{METRIC_INTERVAL_S} seconds"}
-
-
 # --- live averages --------------------------------------------------------------
 
 def score_live(transactions: DataFrame, slices: DataFrame, merchants: DataFrame) -> DataFrame:

@@ -113,7 +113,7 @@ def pacing_report(reported: DataFrame, interval_ms: int) -> DataFrame:
     late = F.col("batch_ms") > interval_ms
     return reported.agg(
         F.count(F.lit(1)).alias("batches"),
-        F.count(F.when(late, F.lit(1))).alias("throttled"),
+        F.count(F.when(late, F.lit(1))).alias("overran"),
         F.avg(F.when(late, F.col("batch_ms") - interval_ms)).alias("mean_delay_ms"),
         F.sum("input_rows").alias("input_rows"),
         F.sum("dropped_late_rows").alias("dropped_late_rows"),

@@ -8,6 +8,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from cardwatch.fixed_values import IDLE_LIMIT_S
 from cardwatch.operators import metrics, verdicts, windows
 from cardwatch.operators.rules import default_registry
 from cardwatch.plans import batch, inputs, streams
@@ -48,7 +49,7 @@ def test_verdicts_over_batches(spark, pieces, tmp_path):
     reported = runs.progress(spark, query)
     assert reported.where("input_rows > 0").count() == 4
     report = runs.pacing_report(reported, interval_ms=0).first()
-    assert report.input_rows == 1000 and report.throttled == report.batches
+    assert report.input_rows == 1000 and report.overran == report.batches
     expected = inputs.judged(spark, pieces).select("id", "final_status")
     assert rows(spark.read.parquet(f"{tmp_path}/o")) == rows(expected)
 
@@ -70,6 +71,27 @@ def test_slices_over_batches(spark, pieces, tmp_path):
     assert rows(windows.sliding_average(newest)) == rows(batch.sliding_merchant_avg(spark, pieces))
 
 
+@pytest.mark.parametrize("per_trigger", [1, 2, 4])
+def test_files_out_of_order_lose_nothing(spark, pieces, tmp_path, per_trigger):
+    """Files picked up latest first, in one to four batches."""
+    for name in ("customer", "supplier"):
+        shutil.copy(f"{pieces}/{name}.parquet", tmp_path)
+    shutil.copytree(f"{pieces}/events.parquet", f"{tmp_path}/events.parquet")
+    for part in range(4):
+        at = time.time() - 100 - 10 * part
+        os.utime(f"{tmp_path}/events.parquet/{part}.parquet", (at, at))
+    folder = str(tmp_path)
+    slices = flows.slice_stream(stored(spark, folder, per_trigger))
+    runs.drain(runs.start_batches(slices, flows.versions(f"{folder}/s"), f"{folder}/c1"))
+    newest = sinks.read_newest(spark, f"{folder}/s", "merchant_id", "slice")
+    assert rows(windows.sliding_average(newest)) == rows(batch.sliding_merchant_avg(spark, pieces))
+    judged = inputs.judge(stored(spark, folder, per_trigger), bank.merchants(spark, folder), default_registry())
+    assembled = flows.assembly_stream(inputs.post(judged, default_registry()), inputs.ruleset_names())
+    done = verdicts.complete(assembled).select("item_id", "n_posted")
+    runs.drain(runs.start_batches(done, flows.versions(f"{folder}/a"), f"{folder}/c2"))
+    assert rows(sinks.read_newest(spark, f"{folder}/a", "item_id")) == rows(batch.complete_items(spark, pieces))
+
+
 def test_assembly_over_batches(spark, pieces, tmp_path):
     judged = inputs.judge(stored(spark, pieces), bank.merchants(spark, pieces), default_registry())
     assembled = flows.assembly_stream(inputs.post(judged, default_registry()), inputs.ruleset_names())
@@ -128,7 +150,7 @@ def test_items_expire_once_as_complete_or_timed_out(spark, tmp_path):
     post(2, ("mid", 1100, 0, "x"))  # the watermark of one batch drops late rows from the next but one
     post(3, ("b", 10, 1, "y"), ("end", 2000, 0, "x"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", "1").parquet(f"{tmp_path}/in")
-    out = flows.expired(flows.assembly_stream(stream, ["x", "y"]))
+    out = flows.expired(flows.assembly_stream(stream, ["x", "y"], ttl_s=IDLE_LIMIT_S))
     query = runs.drain(runs.start_to_files(out.drop("results"), f"{tmp_path}/o", f"{tmp_path}/c"))
     status = {r.item_id: r.status for r in spark.read.parquet(f"{tmp_path}/o").collect()}
     assert status == {"a": "COMPLETE", "b": "TIMED_OUT", "late": "TIMED_OUT", "mid": "TIMED_OUT"}
