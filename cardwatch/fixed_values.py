@@ -12,7 +12,6 @@ CITY_GROUPS = (
 )
 
 ACCOUNT_STATUSES = ("CURRENT", "OVERDUE", "CLOSED")
-RISKS = ("LOW", "MEDIUM", "HIGH")
 RISK_SCORES = {"HIGH": 90, "MEDIUM": 50, "LOW": 5}
 FRAUD_SCORE_CUTOFF = 60
 
@@ -61,10 +60,7 @@ AVERAGE_SLIDE_S = 5
 THROUGHPUT_WINDOW_S = 30
 SIGNIFICANT_CHANGE = 1.0
 
-# Retention: newest rows kept per kind of table, and the idle limit.
-KEEP_OUTCOMES = 10_000
-KEEP_RESULTS = 25_000
-KEEP_PENDING = 200_000
+# The idle limit of kept rows.
 IDLE_LIMIT_S = 300
 
 # Dashboard bands: metric -> (lower bound, upper bound, colour below, between, above).

@@ -28,8 +28,3 @@ def combined(first: Column, second: Column) -> Column:
 def deducted(results: Column, gone: Column) -> Column:
     """A result list without the results in the second list, repeats kept."""
     return F.filter(results, lambda r: ~F.array_contains(gone, r))
-
-
-def newest(row: Column, version: Column) -> Column:
-    """The row with the highest version."""
-    return F.max_by(row, version)

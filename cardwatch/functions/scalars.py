@@ -123,6 +123,11 @@ def reason_or_default(reason: Column) -> Column:
     return F.coalesce(reason, F.lit(NO_REASON))
 
 
+def six_decimals(value: Column) -> Column:
+    """Rounded for display, in plain double arithmetic: ``round`` goes through decimals."""
+    return F.rint(value * 1e6) / 1e6
+
+
 def enum_name(ordinal: Column, names: Sequence[str] = ACCOUNT_STATUSES) -> Column:
     return F.get(F.array(*[F.lit(n) for n in names]), ordinal.cast("int"))
 

@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame, SparkSession
 from cardwatch.fixed_values import (
     AMOUNT_RULE,
     APPROVED,
-    BOOLEAN_RULE_PREFIX,
     CREDIT_LIMIT_RULE,
     CREDIT_RULES,
     DOUBLE_RULE_PREFIX,
@@ -94,14 +93,18 @@ class RuleSet:
         )
 
     def verdict(self, ordinal: int, result: str) -> str:
-        """Result, outcome and reason as a struct, null where the set does not apply."""
-        rejected = f"coalesce({self.rejects.format(result=result)}, false)"
+        """Result, outcome and reason as a struct; null where the set does not apply or has no result.
+
+        A condition on a missing result (an unknown account, say) holds neither way, so
+        there is no verdict and the item stays pending.
+        """
+        rejected = f"({self.rejects.replace('{result}', result)})"
         reason = NO_REASON if self.reason is None else self.reason
         return (
-            f"if({self.selects}, named_struct("
+            f"if({self.selects} and {rejected} is not null, named_struct("
             f"'ordinal', {ordinal}, 'ruleset', {scalars.sql_text(self.qualified_name)}, "
             f"{self.slots(result)}, "
-            f"'outcome', if({rejected}, '{self.reject_status}', '{APPROVED}'), "
+            f"'outcome', if({rejected}, {scalars.sql_text(self.reject_status)}, '{APPROVED}'), "
             f"'reason', if({rejected}, {scalars.sql_text(reason)}, '{NO_REASON}')), null)"
         )
 
@@ -145,6 +148,10 @@ class Registry:
         """Enabled sets with their registration number."""
         return [(n, s) for n, s in enumerate(self._sets.values()) if s.enabled]
 
+    def outcomes(self) -> tuple[str, ...]:
+        """Every outcome a registered set can post, approval first."""
+        return tuple(dict.fromkeys((APPROVED, *(s.reject_status for s in self._sets.values()))))
+
     def to_df(self, spark: SparkSession) -> DataFrame:
         rows = [
             (n, s.name, s.qualified_name, s.category, s.enabled, rule.name,
@@ -162,19 +169,22 @@ class Registry:
 # --- roll-ups -----------------------------------------------------------------
 
 def total(results: Sequence[str]) -> str:
-    """Sum to six decimals, in plain double arithmetic: ``round`` goes through decimals."""
-    return f"rint(({' + '.join(results)}) * 1e6D) / 1e6D"
+    """The sum, 0.0 without rules."""
+    return f"({' + '.join(results) or '0.0D'})"
 
 
 def worst_risk(results: Sequence[str]) -> str:
     """A HIGH, or a second MEDIUM, makes HIGH; a rule without result counts as LOW."""
+    if not results:
+        return "'LOW'"
     high = " OR ".join(f"{result} <=> 'HIGH'" for result in results)
     mediums = " + ".join(f"int({result} <=> 'MEDIUM')" for result in results)
     return f"CASE WHEN {high} OR {mediums} > 1 THEN 'HIGH' WHEN {mediums} = 1 THEN 'MEDIUM' ELSE 'LOW' END"
 
 
 def every(results: Sequence[str]) -> str:
-    return " AND ".join(results)
+    """All results true, as they are without rules."""
+    return " AND ".join(results) or "true"
 
 
 # --- the rules the bank runs --------------------------------------------------
@@ -185,10 +195,6 @@ def score_rule(mean: float, independent: bool = False) -> Rule:
     return Rule(name, draws.score(normal, mean))
 
 
-def percent_rule(percent: int) -> Rule:
-    return Rule(f"{BOOLEAN_RULE_PREFIX}{percent}", draws.percent_true("id", percent))
-
-
 def amount_rule() -> Rule:
     return Rule(AMOUNT_RULE, scalars.amount_risk("amount", "merchant.avg_txn_amount"))
 

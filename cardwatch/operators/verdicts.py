@@ -25,10 +25,6 @@ from cardwatch.operators.once import once
 from cardwatch.operators.rules import Registry
 
 
-# Rule sets a posting stamp can tell apart.
-MAX_SETS = 64
-
-
 def verdict_column(ordinal: int) -> str:
     return f"verdict_{ordinal}"
 
@@ -95,7 +91,8 @@ def rule_tasks(items: DataFrame, registry: Registry, key: str = "id") -> DataFra
 def with_final(evaluated: DataFrame, registry: Registry) -> DataFrame:
     """Final status, the first rejecting set in registration order, and all rejecting sets.
 
-    An item no set applies to never completes and stays pending.
+    An item no set applies to never completes and stays pending, and so does one that
+    lacks the verdict of a set that applies.
     """
     rejected = [
         (verdict_column(n), f"{verdict_column(n)}.outcome <> '{APPROVED}'")
@@ -114,9 +111,10 @@ def with_final(evaluated: DataFrame, registry: Registry) -> DataFrame:
     )
     n_rejecting = " + ".join(f"int(coalesce({bad}, false))" for _, bad in rejected)
     final = first("outcome", f"'{APPROVED}'")
+    n_verdicts = " + ".join(f"int({verdict} is not null)" for verdict, _ in rejected)
     return evaluated.select(
         "*",
-        F.expr(f"if(n_applicable > 0, {final}, '{PENDING}')").alias("final_status"),
+        F.expr(f"if(n_applicable > 0 and {n_verdicts} >= n_applicable, {final}, '{PENDING}')").alias("final_status"),
         F.expr(first("ruleset", "null")).alias("rejecting_ruleset"),
         F.expr(first("reason", "null")).alias("rejecting_reason"),
         F.expr(f"concat({names})").alias("rejecting_rulesets"),
@@ -213,25 +211,29 @@ def assemble(
 
 
 def assemble_outcomes(
-    postings: DataFrame, rulesets: Sequence[str], keys: Sequence[str] = ("item_id",)
+    postings: DataFrame,
+    rulesets: Sequence[str],
+    keys: Sequence[str] = ("item_id",),
+    outcomes: Sequence[str] = OUTCOMES,
 ) -> DataFrame:
     """``assemble`` when only the outcomes matter, with a map of outcome names.
 
     Posting time and outcome share one number per set, so the newest outcome is a
-    plain maximum and the aggregation stays hash based.
+    plain maximum and the aggregation stays hash based. Nothing posted is lost: a result
+    of an outcome not listed reads ``Other``, and results of sets not listed count as
+    posted under the one name ``Other``.
     """
-    stamped = posting_stamp()
-    newest = [
-        F.max(F.when(F.col("ruleset") == name, stamped)).alias(f"posted_{n}")
-        for n, name in enumerate(rulesets)
-    ]
+    stamped = posting_stamp(outcomes)
+    listed = F.col("ruleset").isin(list(rulesets))
+    named = [(name, F.col("ruleset") == name) for name in rulesets] + [(OTHER, ~listed)]
+    newest = [F.max(F.when(of_set, stamped)).alias(f"posted_{n}") for n, (_, of_set) in enumerate(named)]
     merged = postings.groupBy(*keys).agg(F.max("n_applicable").alias("n_applicable"), *newest)
     entries = F.array_compact(F.array(*[
         F.when(
             F.col(f"posted_{n}").isNotNull(),
-            F.struct(F.lit(name).alias("key"), stamped_outcome(F.col(f"posted_{n}")).alias("value")),
+            F.struct(F.lit(name).alias("key"), stamped_outcome(F.col(f"posted_{n}"), outcomes).alias("value")),
         )
-        for n, name in enumerate(rulesets)
+        for n, (name, _) in enumerate(named)
     ]))
     return merged.select(
         *keys,
@@ -241,24 +243,33 @@ def assemble_outcomes(
     )
 
 
-def posting_stamp() -> Column:
-    """Posting time, set number and outcome as one number that sorts by time first."""
-    code = scalars.enum_ordinal(F.col("outcome"), OUTCOMES)
-    return (F.col("posted_ms") * MAX_SETS + F.col("ordinal")) * len(OUTCOMES) + code
+# What results are called whose set or outcome is not listed.
+OTHER = "Other"
 
 
-def stamped_outcome(stamp: Column) -> Column:
-    return scalars.enum_name(F.pmod(stamp, F.lit(len(OUTCOMES))), OUTCOMES)
+def posting_stamp(outcomes: Sequence[str] = OUTCOMES) -> Column:
+    """Posting time and outcome as one number that sorts by time first."""
+    code = F.coalesce(scalars.enum_ordinal(F.col("outcome"), outcomes), F.lit(len(outcomes)))
+    return F.col("posted_ms") * (len(outcomes) + 1) + code
+
+
+def stamped_outcome(stamp: Column, outcomes: Sequence[str] = OUTCOMES) -> Column:
+    return scalars.enum_name(F.pmod(stamp, F.lit(len(outcomes) + 1)), [*outcomes, OTHER])
 
 
 def first_outcomes(postings: DataFrame) -> DataFrame:
-    """Per item the number of different sets that posted and the earliest outcome."""
-    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("ordinal"))
-    return postings.groupBy("item_id").agg(
-        F.bit_count(F.bit_or(bit)).alias("n_received"),
+    """Per item the number of different sets that posted and the earliest outcome.
+
+    Repeats of a set fold first, so any number of sets can be told apart. Of results
+    posted at the same time the set of the smaller number comes first.
+    """
+    earliest = F.min(F.struct("posted_ms", "ordinal", "outcome"))
+    sets = postings.groupBy("item_id", "ruleset").agg(F.max("n_applicable").alias("n_applicable"), earliest.alias("first"))
+    return sets.groupBy("item_id").agg(
+        F.count(F.lit(1)).cast("int").alias("n_received"),
         F.max("n_applicable").alias("n_expected"),
-        stamped_outcome(F.min(posting_stamp())).alias("first_outcome"),
-    )
+        F.min("first").alias("first"),
+    ).select("item_id", "n_received", "n_expected", F.col("first.outcome").alias("first_outcome"))
 
 
 def complete(assembled: DataFrame) -> DataFrame:
@@ -273,13 +284,18 @@ def result_lists(
     """All results of an item, repeats kept as counts.
 
     Every (set, outcome) pair is one counter, so an item with very many repeated
-    results still needs constant state; the list is the pairs that occurred.
+    results still needs constant state; the list is the pairs that occurred. What is not
+    listed counts in one more entry, so no result is lost.
     """
-    pairs = [(s, o) for s in rulesets for o in outcomes]
-    counted = postings.groupBy("item_id").agg(*[
-        count_when((F.col("ruleset") == s) & (F.col("outcome") == o)).alias(f"n_{i}")
-        for i, (s, o) in enumerate(pairs)
-    ])
+    pairs = [(s, o) for s in rulesets for o in outcomes] + [(OTHER, OTHER)]
+    listed = F.col("ruleset").isin(list(rulesets)) & F.col("outcome").isin(list(outcomes))
+    counted = postings.groupBy("item_id").agg(
+        *[
+            count_when((F.col("ruleset") == s) & (F.col("outcome") == o)).alias(f"n_{i}")
+            for i, (s, o) in enumerate(pairs[:-1])
+        ],
+        count_when(~F.coalesce(listed, F.lit(False))).alias(f"n_{len(pairs) - 1}"),
+    )
     entries = F.array_compact(F.array(*[
         F.when(
             F.col(f"n_{i}") > 0,

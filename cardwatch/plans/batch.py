@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from cardwatch.fixed_values import (
     AVERAGE_SLIDE_S,
     INTERNAL_COUNTERS,
-    KEEP_OUTCOMES,
     LOCATION_RULE_MEANS,
     LOCATION_RULESET,
     MERCHANT_RULESET,
@@ -48,7 +47,7 @@ def table_sizes(spark: SparkSession, sf: str) -> DataFrame:
 
 @registered
 def point_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    return tables.lookup_one(bank.accounts(spark, sf), "acct_number", "0000000042")
+    return bank.account(spark, sf, "0000000042")
 
 
 @registered
@@ -166,7 +165,7 @@ def independent_scores(spark: SparkSession, sf: str) -> DataFrame:
     rows = verdicts.evaluate(bank.transactions(spark, sf), registry)
     verdict = F.col(verdicts.verdict_column(0))
     return rows.select(
-        "id", verdict["result_double"].alias("total"), verdict["outcome"].alias("outcome")
+        "id", scalars.six_decimals(verdict["result_double"]).alias("total"), verdict["outcome"].alias("outcome")
     )
 
 
@@ -227,9 +226,9 @@ def selective_verdicts(spark: SparkSession, sf: str) -> DataFrame:
 
 @registered
 def active_rules(spark: SparkSession, sf: str) -> DataFrame:
-    """Every transaction with the rules that rejected anything at all."""
-    active = verdicts.rejects_by_ruleset(inputs.judged(spark, sf), default_registry())
-    rows = enrich.with_active_rules(bank.transactions(spark, sf), active, "ruleset")
+    """Every transaction with the rule sets that are running."""
+    active = default_registry().to_df(spark).where("ruleset_enabled and rule_enabled")
+    rows = enrich.with_active_rules(bank.transactions(spark, sf), active, "qualified_ruleset")
     return rows.select("id", F.concat_ws("|", "rules").alias("rules"), "expected_rules")
 
 
@@ -239,7 +238,7 @@ def location_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     rows = verdicts.evaluate(bank.transactions(spark, sf), registry)
     verdict = F.col(verdicts.verdict_column(0))
     return rows.select(
-        "id", verdict["ruleset"].alias("ruleset"), verdict["result_double"].alias("total"),
+        "id", verdict["ruleset"].alias("ruleset"), scalars.six_decimals(verdict["result_double"]).alias("total"),
         verdict["outcome"].alias("outcome"), verdict["reason"].alias("reason"),
     )
 
@@ -267,7 +266,8 @@ def risk_rollup(spark: SparkSession, sf: str) -> DataFrame:
 def ruleset_results(spark: SparkSession, sf: str) -> DataFrame:
     """All rule-set results as rows."""
     return verdicts.as_rows(inputs.judged(spark, sf), default_registry(), "id").select(
-        "id", "ruleset", "result_double", "result_risk", "outcome", "reason"
+        "id", "ruleset", scalars.six_decimals(F.col("result_double")).alias("result_double"),
+        "result_risk", "outcome", "reason"
     )
 
 
@@ -417,7 +417,7 @@ def distinct_rejecting_sets(spark: SparkSession, sf: str) -> DataFrame:
                      F.lit(s.qualified_name))).alias(f"set_{n}")
         for n, s in default_registry().active()
     ])
-    names = F.array_compact(F.array("set_0", "set_1"))
+    names = F.array_compact(F.array(*[F.col(f"set_{n}") for n, _ in default_registry().active()]))
     return rejecting.select("acct_number", F.concat_ws("|", names).alias("rulesets"))
 
 
@@ -612,15 +612,15 @@ def idle_retention(spark: SparkSession, sf: str) -> DataFrame:
 
 @registered
 def newest_outcomes(spark: SparkSession, sf: str) -> DataFrame:
-    """The newest fraud rejections, as many as the outcome table keeps."""
+    """A report of the 10,000 newest fraud rejections."""
     rejected = inputs.judged(spark, sf).where(F.col("final_status") == "RejectedForFraud")
-    kept = retention.newest(rejected.select("id", "final_status", "ts"), KEEP_OUTCOMES, "ts", F.desc("id"))
+    kept = retention.newest(rejected.select("id", "final_status", "ts"), 10_000, "ts", F.desc("id"))
     return kept.select("id", "final_status")
 
 
 @registered
 def newest_approvals(spark: SparkSession, sf: str) -> DataFrame:
-    """A smaller cap, so the cap itself is exercised on every table size."""
+    """A report of the 100 newest approvals."""
     approved = inputs.judged(spark, sf).where(F.col("final_status") == "Approved")
     kept = retention.newest(approved.select("id", "final_status", "ts"), 100, "ts", F.desc("id"))
     return kept.select("id", "final_status")

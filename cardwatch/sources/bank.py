@@ -31,8 +31,18 @@ def _city(number: str) -> Column:
 
 
 def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _accounts_from(given(spark, sf_dir, "customer"))
+
+
+def account(spark: SparkSession, sf_dir: str, acct_number: str) -> DataFrame:
+    """The account of that number; the filter is on the stored key, so it reaches the scan."""
+    stored = given(spark, sf_dir, "customer").where(F.col("c_custkey") == F.lit(int(acct_number)))
+    return _accounts_from(stored).where(F.col("acct_number") == acct_number)
+
+
+def _accounts_from(customers: DataFrame) -> DataFrame:
     number = F.col("c_custkey")
-    return given(spark, sf_dir, "customer").select(
+    return customers.select(
         padded_id(number, ACCOUNT_ID_DIGITS).alias("acct_number"),
         (F.lit(1000.0) * (1 + number % 10)).alias("credit_limit"),
         F.col("c_acctbal").alias("balance"),

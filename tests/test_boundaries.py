@@ -1,6 +1,7 @@
 """Hand-written boundary rows."""
 
 import datetime as dt
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -85,7 +86,8 @@ def test_credit_limit_is_inclusive(spark):
     )
     registry = Registry([credit_rules()])
     judged = verdicts.with_final(verdicts.evaluate(frame, registry), registry)
-    assert values(judged, "final_status") == ["Approved", "RejectedForCredit", "Approved"]
+    # Without an account there is no result, so no verdict either.
+    assert values(judged, "final_status") == ["Approved", "RejectedForCredit", "Pending"]
     assert values(frame.select(waterfall.credit_passed().alias("ok")), "ok") == [True, False, None]
 
 
@@ -189,6 +191,46 @@ def test_duplicate_results_count_once_and_newest_wins(spark):
     assert (first["a"].n_received, first["a"].first_outcome) == (2, "Approved")
 
 
+def test_unlisted_sets_and_outcomes_are_kept(spark):
+    postings = spark.createDataFrame([
+        ("a", 0, "x", 3, "Approved", 10), ("a", 70, "late set", 3, "Approved", 9), ("a", 1, "y", 3, "NeedsReview", 11),
+        ("b", 64, "x", 2, "RejectedForFraud", 10), ("b", 0, "y", 2, "Approved", 11),
+    ], POSTED)
+    found = {r.item_id: r for r in verdicts.assemble_outcomes(postings, ["x", "y"]).collect()}
+    assert found["a"].results == {"x": "Approved", "y": "Other", "Other": "Approved"}
+    named = verdicts.assemble_outcomes(postings, ["x", "y"], outcomes=("Approved", "NeedsReview")).collect()
+    assert {r.item_id: r.results["y"] for r in named} == {"a": "NeedsReview", "b": "Approved"}
+    assert {r.item_id: r.n_results for r in verdicts.result_lists(postings, ["x", "y"]).collect()} == {"a": 3, "b": 2}
+    first = {r.item_id: (r.n_received, r.first_outcome) for r in verdicts.first_outcomes(postings).collect()}
+    assert first == {"a": (3, "Approved"), "b": (2, "RejectedForFraud")}
+
+
+def test_sets_without_rules_or_results(spark):
+    frame = spark.createDataFrame([("1", 5.0)], "id string, amount double")
+    for rule_set, outcome in ((location_rules(), "RejectedForFraud"), (merchant_rules(), "Approved"), (credit_rules(), "Approved")):
+        off = replace(rule_set, rules=tuple(replace(r, enabled=False) for r in rule_set.rules))
+        registry = Registry([off])
+        judged = verdicts.with_final(verdicts.evaluate(frame, registry), registry)
+        assert values(judged, "final_status") == [outcome]
+    nameless = spark.createDataFrame([(None, 5.0)], "id string, amount double")
+    registry = Registry([location_rules()])
+    assert values(verdicts.with_final(verdicts.evaluate(nameless, registry), registry), "final_status") == ["Pending"]
+
+
+def test_texts_with_quotes_and_braces_are_plain_text(spark):
+    rule_set = RuleSet("Own", (Rule("r", "'{x}'"),), kind="risk", roll_up=worst_risk, rejects="{result} = 'LOW'", reject_status="It's {off}")
+    registry = Registry([rule_set])
+    frame = spark.createDataFrame([("1",)], "id string")
+    assert values(verdicts.with_final(verdicts.evaluate(frame, registry), registry), "final_status") == ["It's {off}"]
+
+
+def test_sums_are_compared_unrounded(spark):
+    rule_set = replace(location_rules(), rules=(Rule("r", "amount"),), shared={})
+    registry = Registry([rule_set])
+    frame = spark.createDataFrame([("1", 1.0000004), ("2", 1.0)], "id string, amount double")
+    assert values(verdicts.with_final(verdicts.evaluate(frame, registry), registry), "final_status") == ["Approved", "RejectedForFraud"]
+
+
 @pytest.mark.parametrize("results, everything, anything", [
     ([], True, False), ([True, True], True, True), ([True, False], False, True), ([False], False, False),
 ])
