@@ -11,10 +11,13 @@ no meeting point, unless documents consist of little else. Each document hands i
 shingles more than it needs, so that most need no second look once common ones are known;
 the others are read again in full.
 
-Links are found in two passes. The first tests each member of a token's group against one
-document of similar size. Groups of copies collapse there, without any pairs between
+Links are found in two passes. The first tests the members of a token's group against one of
+similar size. Groups of copies collapse there, without any pairs between
 copies. The second pass tests pairs of a group that are still in different components,
-which is all a component needs: a pair within one component can't change it.
+which is all a component needs: a pair within one component can't change it. The join
+that finds them drops pairs whose sizes, places in the order, or parity bits (a bound on
+the shingles in which they differ) rule a link out, so a large family of texts that are
+alike, but not alike enough, makes few rows.
 
 Equal sets are one class from the start. Shingles are 64-bit hashes, set identities 128
 bits. Texts of candidates travel to the comparison, in slices per hub, and are compared
@@ -40,8 +43,10 @@ WORDS = 5
 COMMON = 50
 ORDERS = 2
 SLICE = 256
+SKETCH_LONGS = 8
 BLOOM_BITS = 1 << 26
 
+_SKETCH = [f"b{k}" for k in range(SKETCH_LONGS)]
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _FIN = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -74,47 +79,94 @@ def _front_size(n: int) -> int:
     return min(n, p + p // 4 + 8)
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """Each shingle turns one bit over. Bits in which two sets differ are at most the shingles in which they do."""
+    bits = np.bincount(s & (64 * SKETCH_LONGS - 1), minlength=64 * SKETCH_LONGS) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def _sets(batches):
     for batch in batches:
-        size, identity, front = [], [], []
+        size, identity, front, sketch = [], [], [], []
         for text in batch.column(1):
             s = shingles(text.as_py())
             size.append(len(s))
             identity.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
             front.append(s[: _front_size(len(s))] if len(s) else s)
+            sketch.append(parities(s))
         ends = np.concatenate([[0], np.cumsum([len(f) for f in front])]).astype(np.int32)
         values = np.concatenate(front) if front else np.empty(0, np.int64)
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0), pa.array(size, pa.int64()), pa.array(identity, pa.binary()),
                 pa.ListArray.from_arrays(pa.array(ends), pa.array(values)),
+                *(pa.array(np.array(b, np.int64)) for b in np.reshape(sketch, (-1, SKETCH_LONGS)).T),
             ],
-            names=["doc_id", "n", "identity", "front"],
+            names=["doc_id", "n", "identity", "front", *_SKETCH],
         )
 
 
-def _bloom(ids: DataFrame) -> np.ndarray:
-    """A filter of at most BLOOM_BITS bits that no id of the table fails."""
-    bits = min(BLOOM_BITS, max(1 << 12, 1 << int(8 * ids.count()).bit_length()))
-    place = ids.select(F.pmod(F.xxhash64("id"), F.lit(bits)).alias("p")).selectExpr("p div 32 as w", "shiftleft(1L, cast(p % 32 as int)) as m")
+def _bloom(values: DataFrame) -> np.ndarray:
+    """A filter of at most BLOOM_BITS bits that no value of the table's one (long) column fails."""
+    bits = min(BLOOM_BITS, 1 << max(12, int(16 * values.count()).bit_length()))
+    h = F.xxhash64(values.columns[0])
+    both = values.select(F.explode(F.array(F.pmod(h, F.lit(bits)), F.pmod(F.shiftright(h, 32), F.lit(bits)))).alias("p"))
+    place = both.selectExpr("p div 32 as w", "shiftleft(1L, cast(p % 32 as int)) as m")
     words = place.groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()
     out = np.zeros(bits // 32, np.int64)
     out[words["w"].to_numpy(np.int64)] = words["m"].to_numpy(np.int64)
     return out
 
 
+def _passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    out = np.ones(len(hashes), bool)
+    for p in (hashes % (len(bits) * 32), (hashes >> 32) % (len(bits) * 32)):
+        out &= (bits[p // 32] >> (p % 32)) & 1 == 1
+    return out
+
+
 def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """id, text of the documents with these ids and maybe a few others: a bounded filter before any shuffle."""
     bits = docs.sparkSession.sparkContext.broadcast(_bloom(ids))
 
     def run(batches):
         for batch in batches:
-            p = batch.column(2).to_numpy() % (len(bits.value) * 32)
-            yield batch.filter(pa.array((bits.value[p // 32] >> (p % 32)) & 1 == 1)).select([0, 1])
+            yield batch.filter(pa.array(_passes(bits.value, batch.column(2).to_numpy()))).select([0, 1])
 
     return docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text", F.xxhash64("doc_id").alias("h")).mapInArrow(run, "id long, text string")
 
 
+def _handed(sets: DataFrame, ids: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
+    """token, id, n, pos of what documents hand in: those of the ids, maybe a few others, and only of the tokens, likewise.
+
+    Copies that slip through are harmless: they only link to their own class.
+    """
+    sc = sets.sparkSession.sparkContext
+    bits = sc.broadcast(_bloom(ids))
+    only = sc.broadcast(_bloom(tokens)) if tokens is not None else None
+    rows = sets.where("n > 0 and doc_id is not null").select("doc_id", "n", "front", F.xxhash64("doc_id").alias("h"))
+
+    def run(batches):
+        for batch in batches:
+            batch = batch.filter(pa.array(_passes(bits.value, batch.column(3).to_numpy())))
+            size = np.array([len(x) for x in batch.column(2)], np.int64)
+            if not len(size):
+                continue
+            pos = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(2).flatten(), *(pa.array(np.repeat(batch.column(k).to_numpy(), size)) for k in (0, 1)), pa.array(pos)],
+                names=["token", "id", "n", "pos"],
+            )
+
+    def run_only(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(_passes(only.value, batch.column(4).to_numpy()))).select([0, 1, 2, 3])
+
+    schema = "token long, id long, n long, pos long"
+    rows = rows.mapInArrow(run, schema)
+    return rows if tokens is None else rows.withColumn("h", F.xxhash64("token")).mapInArrow(run_only, schema)
+
+
 def _later_orders(s: np.ndarray, orders: int) -> list[np.ndarray]:
     """The set's prefixes under the further orders."""
     p, out = prefix_size(len(s)), []
@@ -171,13 +223,15 @@ def _links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 def _bounded(pairs: DataFrame) -> DataFrame:
     """Pairs whose overlap can still reach the threshold, from the prefix tokens they share.
 
-    Shared tokens up to the last shared one are all counted; behind it at most the rest of
-    the shorter remainder can be shared.
+    Of the two prefixes, take the one whose end comes first in the order. Up to there all
+    shared tokens are known, so at most the rest of that set can be shared besides. And
+    behind the last known one at most the shorter remainder can be.
     """
     grouped = pairs.groupBy("hub", "id").agg(
         F.count(F.lit(1)).alias("c"), F.max("p1").alias("p1"), F.max("p2").alias("p2"), F.first("n1").alias("n1"), F.first("n2").alias("n2")
     )
-    return grouped.where("9 * (c + least(n1 - 1 - p1, n2 - 1 - p2)) >= 4 * (n1 + n2)").select("hub", "id")
+    behind = "least(n1 - 1 - p1, n2 - 1 - p2, greatest((4 * n1 + 4) div 5 - 1, (4 * n2 + 4) div 5 - 1))"
+    return grouped.where(f"9 * (c + {behind}) >= 4 * (n1 + n2)").select("hub", "id")
 
 
 _SIZES_FIT = "5 * n1 >= 4 * n2 and 5 * n2 >= 4 * n1"
@@ -195,57 +249,70 @@ def _all_tokens(batches):
         )
 
 
-def _main_order(docs: DataFrame, sets: DataFrame, reps: DataFrame, common: int) -> DataFrame:
-    """token, id, n, pos: prefix shingles under the main order that two or more documents share."""
+def _main_order(docs: DataFrame, sets: DataFrame, ids: DataFrame, common: int) -> DataFrame:
+    """token, id, n, pos, own: prefix shingles under the main order that two or more documents share.
+
+    own: how many of the shingles that the document handed in are its own alone.
+    """
     p = F.expr("n - (4 * n + 4) div 5 + 1")
-    handed = reps.select("id", "n", F.posexplode("front").alias("pos", "token"))
+    handed = _handed(sets, ids)
     shared = stash(
         handed.withColumn("times", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("times > 1"), "shared"
     )
-    hot = shared.where(F.col("times") > common)
     # How far common shingles move the others forward, and who lacks shingles then.
-    moved = stash(hot.groupBy("id", "n").agg(F.array_sort(F.collect_list("pos")).alias("hot_pos")), "common")
-    handed_n = F.expr("least(n, p + p div 4 + 8)")
-    moved = moved.withColumn("p", p).withColumn("handed", handed_n).withColumn("rest", F.expr("handed - size(hot_pos)"))
-    short = moved.where("rest < p and handed < n").select("id")
-    kept = shared.join(moved.select("id", "hot_pos", "handed", "rest"), "id", "left").withColumn("p", p)
-    before = F.expr("case when hot_pos is null then 0 else size(filter(hot_pos, x -> x < pos)) end")
+    each = shared.groupBy("id", "n").agg(
+        F.array_sort(F.collect_list(F.when(F.col("times") > common, F.col("pos")))).alias("hot_pos"), F.count(F.lit(1)).alias("n_shared")
+    )
+    each = each.withColumn("p", p).withColumn("handed", F.expr("least(n, p + p div 4 + 8)"))
+    each = stash(each.selectExpr("id", "hot_pos", "p", "handed", "handed - size(hot_pos) as rest", "handed - n_shared as own", "n"), "each")
+    short = stash(each.where("rest < p and handed < n").select("id"), "short")
+    before = F.expr("size(filter(hot_pos, x -> x < pos))")
+    kept = shared.join(each.drop("n"), "id")
     kept = kept.withColumn(
-        "pos", F.expr(f"cast(case when times > {common} then rest else pos end as long)") + F.when(F.col("times") > common, before).otherwise(-before)
-    ).where("pos < p and (hot_pos is null or rest >= p or handed = n)").select("token", "id", "n", "pos")
-    short = stash(short, "short")
+        "pos", F.when(F.col("times") > common, F.col("rest") + before).otherwise(F.col("pos") - before).cast("long")
+    ).where("pos < p and (rest >= p or handed = n)").select("token", "id", "n", "pos", "own")
     if short.isEmpty():
         return kept
     # Documents of mostly common shingles: order all of theirs, and look their new ones up.
-    tokens = _texts_of(docs, short).mapInArrow(_all_tokens, "id long, n long, token long").join(short, "id", "left_semi").distinct()
-    hot_tokens = hot.select("token").distinct().withColumn("hot", F.lit(1))
-    ordered = tokens.join(hot_tokens, "token", "left").withColumn(
+    # Only those that pass a filter of the common ones need the join that tells.
+    hot_tokens = stash(shared.where(F.col("times") > common).select("token").distinct(), "hot")
+    bits = docs.sparkSession.sparkContext.broadcast(_bloom(hot_tokens))
+
+    def flag(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(_passes(bits.value, batch.column(3).to_numpy()))], names=["id", "n", "token", "maybe"])
+
+    texts = _texts_of(docs, short).join(short, "id", "left_semi")
+    tokens = texts.mapInArrow(_all_tokens, "id long, n long, token long").withColumn("h", F.xxhash64("token"))
+    tokens = stash(tokens.mapInArrow(flag, "id long, n long, token long, maybe boolean").distinct(), "tokens")
+    told = tokens.where("maybe").join(hot_tokens.withColumn("hot", F.lit(1)), "token", "left").select("id", "n", "token", "hot")
+    told = told.unionByName(tokens.where("not maybe").select("id", "n", "token", F.lit(None).cast("int").alias("hot")))
+    ordered = told.withColumn(
         "pos", F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("hot", F.lit(0)), "token")).cast("long") - 1
-    ).withColumn("p", p).where("pos < p").select("token", "id", "n", "pos")
+    ).withColumn("p", p).where("pos < p").join(each.select("id", "own"), "id").select("token", "id", "n", "pos", "own")
     ordered = stash(ordered, "ordered")
-    new = ordered.select("token").distinct()
-    lone = handed.join(new, "token", "left_semi").join(shared.select("token").distinct(), "token", "left_anti")
-    lone = lone.join(short, "id", "left_anti").join(moved.select("id", "hot_pos"), "id", "left")
-    lone = lone.withColumn("pos", F.col("pos").cast("long") - before).withColumn("p", p).where("pos < p").select("token", "id", "n", "pos")
+    new = ordered.select("token").distinct().join(shared.select("token").distinct(), "token", "left_anti")
+    new = stash(new, "new")
+    lone = _handed(sets, ids, new).join(new, "token", "left_semi").join(short, "id", "left_anti")
+    lone = lone.join(each.select("id", "hot_pos", "own"), "id", "left").withColumn("p", p)
+    lone = lone.withColumn("pos", F.col("pos") - F.coalesce(before, F.lit(0))).where("pos < p")
+    # A document without an entry shares nothing so far: all it handed in is its own.
+    lone = lone.select("token", "id", "n", "pos", F.coalesce("own", F.col("n")).alias("own"))
     return kept.unionByName(ordered).unionByName(lone)
 
 
 def similarity_components(documents: DataFrame, common: int = COMMON) -> DataFrame:
     """doc_id, n_shingles, component_id and class_id (least id with an equal set) of every row."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = stash(docs.mapInArrow(_sets, "doc_id long, n long, identity binary, front array<long>"), "sets")
-    reps = (
-        sets.where("n > 0 and doc_id is not null").groupBy("identity")
-        .agg(F.min_by(F.struct("n", "front"), "doc_id").alias("s"), F.min("doc_id").alias("id"))
-        .selectExpr("id", "s.n as n", "s.front as front")
-    )
-    rows = stash(_main_order(docs, sets, reps, common), "prefixes")
+    sets = stash(docs.mapInArrow(_sets, "doc_id long, n long, identity binary, front array<long>, " + ", ".join(f"{b} long" for b in _SKETCH)), "sets")
+    classes = stash(sets.where("n > 0").groupBy("identity").agg(F.min("doc_id").alias("class_id")), "classes")
+    rows = stash(_main_order(docs, sets, classes.select("class_id").where("class_id is not null"), common), "prefixes")
 
-    # First pass: members against the least id of their token and size band.
+    # First pass: members of a token and size band against the one with the least of its
+    # own, which in a family of copies is the text they come from.
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(1.25)))
     rows = rows.withColumn("band", band)
-    first = Window.partitionBy("token", "band")
-    least = F.min(F.struct("id", F.col("pos").alias("p1"), F.col("n").alias("n1"))).over(first)
+    least = F.min(F.struct("own", "id", F.col("pos").alias("p1"), F.col("n").alias("n1"))).over(Window.partitionBy("token", "band"))
     stars = rows.withColumn("least", least).selectExpr("least.id as hub", "id", "least.p1 as p1", "pos as p2", "least.n1 as n1", "n as n2")
     tested = stash(_bounded(stars.where(f"hub <> id and {_SIZES_FIT}")), "stars")
     links = _links(docs, tested)
@@ -254,16 +321,18 @@ def similarity_components(documents: DataFrame, common: int = COMMON) -> DataFra
     # Second pass: what still lies in different components.
     placed = rows.join(group, "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_tokens = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token")
-    placed = stash(placed.join(open_tokens, "token").select("token", "id", "n", "pos", "component"), "open")
-    left = placed.selectExpr("token", "id as hub", "n as n1", "pos as p1", "component as k1")
-    right = placed.selectExpr("token", "id", "n as n2", "pos as p2", "component as k2")
+    sketches = sets.selectExpr("doc_id as id", "n as of_n", *_SKETCH).where("id is not null and of_n > 0").dropDuplicates(["id"]).drop("of_n")
+    placed = placed.join(open_tokens, "token").select("token", "id", "n", "pos", "component").join(sketches, "id")
+    left = placed.selectExpr("token", "id as hub", "n as n1", "pos as p1", "component as k1", *(f"{b} as l_{b}" for b in _SKETCH))
+    right = placed.selectExpr("token", "id", "n as n2", "pos as p2", "component as k2", *(f"{b} as r_{b}" for b in _SKETCH))
+    # Similar sets differ in at most a ninth of their shingles together.
+    apart = " + ".join(f"bit_count(l_{b} ^ r_{b})" for b in _SKETCH) + " <= (n1 + n2) div 9"
     reach = "9 * (1 + least(n1 - 1 - p1, n2 - 1 - p2) + least(p1, p2)) >= 4 * (n1 + n2)"
-    pairs = left.join(right, "token").where(f"hub < id and k1 <> k2 and {_SIZES_FIT} and {reach}")
+    pairs = left.join(right, "token").where(f"hub < id and k1 <> k2 and {_SIZES_FIT} and {reach} and {apart}")
     known = tested.selectExpr("least(hub, id) as hub", "greatest(hub, id) as id")
     rest = _links(docs, _bounded(pairs).join(known, ["hub", "id"], "left_anti"))
     group = components(group.selectExpr("id as a", "component as b").unionByName(rest))
 
-    classes = sets.where("n > 0").groupBy("identity").agg(F.min("doc_id").alias("class_id"))
     classes = classes.join(group.withColumnRenamed("id", "class_id"), "class_id", "left").select(
         "identity", "class_id", F.coalesce("component", "class_id").alias("component")
     )
