@@ -171,7 +171,7 @@ def _later_orders(s: np.ndarray, orders: int) -> list[np.ndarray]:
     """The set's prefixes under the further orders."""
     p, out = prefix_size(len(s)), []
     for k in range(orders):
-        v = s.view(np.uint64) * (_MIX + np.uint64(2 * k * 0x2545F4914F6CDD1D & (2**64 - 1)))
+        v = s.view(np.uint64) * np.uint64((int(_MIX) + 2 * k * 0x2545F4914F6CDD1D) % 2**64)
         v ^= v >> np.uint64(31)
         out.append(np.sort(np.partition(v, p - 1)[:p]))
     return out

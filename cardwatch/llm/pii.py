@@ -176,20 +176,20 @@ def personal_spans(documents: DataFrame, **settings) -> DataFrame:
 def redact(documents: DataFrame, **settings) -> DataFrame:
     """The documents with every span of their texts replaced by its kind, like ``[EMAIL]``.
 
-    Overlapping spans become one, named after the first. Columns stay as they are;
+    Overlapping spans become one, named after the first, of equal starts the longest. Columns stay as they are;
     n_chars, where there is one, follows the text.
     """
     spans = personal_spans(documents, **settings).where("size(base) + size(found) > 0")
     spans = stash(spans.select(
         F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"),
-        F.expr("array_sort(transform(concat(base, found), s -> struct(s.start as start, s.end as end, s.kind as kind)))").alias("_spans"),
+        F.expr("array_sort(transform(concat(base, found), s -> struct(s.start as start, -s.end as back, s.end as end, s.kind as kind)))").alias("_spans"),
     ).dropDuplicates(["_id", "_hash"]), "spans")
     joined = documents.join(
         spans, documents["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(documents["text"].cast("string")) == F.col("_hash")), "left"
     )
-    one = "array<struct<start:bigint,end:bigint,kind:string>>"
+    one = "array<struct<start:bigint,back:bigint,end:bigint,kind:string>>"
     merged = f"""aggregate(_spans, cast(array() as {one}), (a, s) -> if(size(a) > 0 and element_at(a, -1).end > s.start,
-        concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, s.end), 'kind', element_at(a, -1).kind))),
+        concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'back', element_at(a, -1).back, 'end', greatest(element_at(a, -1).end, s.end), 'kind', element_at(a, -1).kind))),
         concat(a, array(s))))"""
     pieces = """array_join(transform(sequence(0, size(_spans)), i -> concat(
         substring(text, cast(if(i = 0, 0L, _spans[i - 1].end) as int) + 1,
