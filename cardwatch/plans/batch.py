@@ -23,6 +23,7 @@ from cardwatch.operators.rules import (
     reputation_rule,
 )
 from cardwatch.plans import inputs
+from cardwatch.session import work_dir
 from cardwatch.sources import bank, replay, sinks, tables
 from cardwatch.streaming import flows
 
@@ -338,10 +339,12 @@ def rejects_by_ruleset(spark: SparkSession, sf: str) -> DataFrame:
 
 @registered
 def outcome_history(spark: SparkSession, sf: str) -> DataFrame:
-    """The outcome tables together, newest kept per outcome when retention is applied later."""
+    """Verdicts written by outcome, and the outcome tables read back as one."""
     columns = ["id", "acct_number", "merchant_id", "amount", "final_status"]
     judged = inputs.judged(spark, sf).select(*columns)
-    return judged.where(F.col("final_status").isin(*OUTCOMES))
+    folder = work_dir(spark, "outcomes")
+    sinks.write_outcomes(judged, folder)
+    return sinks.history(*[sinks.read_outcome(spark, folder, o, judged.schema) for o in OUTCOMES])
 
 
 @registered

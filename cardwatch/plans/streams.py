@@ -61,14 +61,14 @@ def stream_envelopes(spark: SparkSession, sf: str) -> DataFrame:
 def stream_throughput(spark: SparkSession, sf: str) -> DataFrame:
     folder = work_dir(spark, "throughput")
     counts = flows.throughput_stream(streamed_transactions(spark, sf))
-    runs.drain(runs.start_batches(counts, flows.versions(f"{folder}/rows"), f"{folder}/checkpoint"))
+    runs.drain(runs.start_batches(counts, flows.versions(f"{folder}/rows", "window_end_s"), f"{folder}/checkpoint"))
     return sinks.read_newest(spark, f"{folder}/rows", "window_end_s")
 
 
 def _streamed_slices(spark: SparkSession, sf: str) -> DataFrame:
     folder = work_dir(spark, "averages")
     slices = flows.slice_stream(streamed_transactions(spark, sf))
-    runs.drain(runs.start_batches(slices, flows.versions(f"{folder}/rows"), f"{folder}/checkpoint"))
+    runs.drain(runs.start_batches(slices, flows.versions(f"{folder}/rows", "merchant_id", "slice"), f"{folder}/checkpoint"))
     return sinks.read_newest(spark, f"{folder}/rows", "merchant_id", "slice")
 
 
@@ -92,7 +92,7 @@ def stream_assembly(spark: SparkSession, sf: str) -> DataFrame:
     postings = inputs.post(streamed_verdicts(spark, sf), default_registry())
     assembled = flows.assembly_stream(postings, inputs.ruleset_names())
     done = verdicts.complete(assembled).select("item_id", "n_posted")
-    runs.drain(runs.start_batches(done, flows.versions(f"{folder}/rows"), f"{folder}/checkpoint"))
+    runs.drain(runs.start_batches(done, flows.versions(f"{folder}/rows", "item_id"), f"{folder}/checkpoint"))
     return sinks.read_newest(spark, f"{folder}/rows", "item_id")
 
 

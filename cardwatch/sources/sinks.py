@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 
 def write_outcomes(verdicts: DataFrame, path: str, mode: str = "append") -> None:
@@ -12,8 +12,10 @@ def write_outcomes(verdicts: DataFrame, path: str, mode: str = "append") -> None
     verdicts.write.mode(mode).partitionBy("final_status").parquet(path)
 
 
-def read_outcome(spark: SparkSession, path: str, status: str) -> DataFrame:
-    return spark.read.parquet(path).where(F.col("final_status") == status)
+def read_outcome(spark: SparkSession, path: str, status: str, schema: T.StructType | None = None) -> DataFrame:
+    """One outcome's table; a given schema serves a table that may be empty."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(path).where(F.col("final_status") == status)
 
 
 def history(*outcomes: DataFrame) -> DataFrame:
@@ -36,9 +38,43 @@ def newest_per_key(rows: DataFrame, keys: list[str], *version: str) -> DataFrame
     return rows.groupBy(*keys).agg(newest.alias("row")).select(*keys, "row.*")
 
 
+def _numbers(spark: SparkSession, folder: str, prefix: str, mark: str = "") -> list[int]:
+    """Numbers of the folders named by a prefix and a number (that hold a mark, if one is named)."""
+    glob = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{prefix}*{mark}")
+    found = glob.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(glob) or []
+    paths = [f.getPath().getParent() if mark else f.getPath() for f in found]
+    return sorted(int(p.getName().removeprefix(prefix)) for p in paths)
+
+
+def _unfolded(spark: SparkSession, path: str) -> tuple[int, list[int]]:
+    """The newest finished snapshot (-1 if none) and the batches after it."""
+    snapshot = max(_numbers(spark, f"{path}_snapshots", "upto=", "/_SUCCESS"), default=-1)
+    return snapshot, [n for n in _numbers(spark, path, "batch_id=") if n > snapshot]
+
+
+def _versions(spark: SparkSession, path: str) -> DataFrame:
+    snapshot, later = _unfolded(spark, path)
+    parts = [spark.read.parquet(f"{path}/batch_id={n}").withColumn("batch_id", F.lit(n).cast("long")) for n in later]
+    if snapshot >= 0:
+        parts.insert(0, spark.read.parquet(f"{path}_snapshots/upto={snapshot}"))
+    return history(*parts)
+
+
 def read_newest(spark: SparkSession, path: str, *keys: str) -> DataFrame:
     """The upserted table: each key's row from its newest batch."""
-    return newest_per_key(spark.read.parquet(path), list(keys), "batch_id").drop("batch_id")
+    return newest_per_key(_versions(spark, path), list(keys), "batch_id").drop("batch_id")
+
+
+def compact(spark: SparkSession, path: str, keys: Sequence[str], batch_id: int) -> None:
+    """Fold all versions up to a batch into one row per key.
+
+    The snapshot counts once its success mark is there, so a fold that breaks off, or a
+    batch that is repeated, does no harm. Reads then take the snapshot and the batches
+    behind it, so what they read is bounded by the keys and the batches between folds.
+    """
+    newest_per_key(_versions(spark, path), list(keys), "batch_id").write.mode("overwrite").parquet(
+        f"{path}_snapshots/upto={batch_id}"
+    )
 
 
 def write_lines(lines: DataFrame, path: str, batch_id: int) -> None:

@@ -18,9 +18,18 @@ from cardwatch.sources import sinks
 BatchWriter = Callable[[DataFrame, int], None]
 
 
-def versions(path: str) -> BatchWriter:
-    """Write each micro-batch as one version of the keyed table at ``path``."""
-    return lambda rows, batch_id: sinks.write_version(rows, path, batch_id)
+def versions(path: str, *keys: str, fold_every: int = 20) -> BatchWriter:
+    """Write each micro-batch as one version of the keyed table at ``path``.
+
+    With keys, the versions are folded into a snapshot every so many batches.
+    """
+
+    def write(rows: DataFrame, batch_id: int) -> None:
+        sinks.write_version(rows, path, batch_id)
+        if keys and batch_id % fold_every == fold_every - 1:
+            sinks.compact(rows.sparkSession, path, keys, batch_id)
+
+    return write
 
 
 def with_ingestion_time(rows: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from cardwatch import session
 from cardwatch.operators import retention
 from cardwatch.sources import bank, replay, schemas, sinks, tables
+from cardwatch.streaming import flows
 
 
 def test_formats_read_back(spark, sf, tmp_path):
@@ -84,6 +85,19 @@ def test_versions_upsert_and_repeat(spark, tmp_path):
     assert sorted(tuple(r) for r in sinks.read_newest(spark, path, "k").collect()) == [("a", 1), ("b", 2), ("c", 2)]
 
 
+def test_folded_versions_bound_what_is_read(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    writer = flows.versions(path, "k", fold_every=3)
+    for batch_id in [0, 1, 2, 2, 3, 4, 5, 6, 6]:
+        rows = [("same", batch_id), (f"k{batch_id}", batch_id)]
+        writer(spark.createDataFrame(rows, "k string, v int").coalesce(1), batch_id)
+    found = {r.k: r.v for r in sinks.read_newest(spark, path, "k").collect()}
+    assert found == {"same": 6} | {f"k{n}": n for n in range(7)}
+    assert sinks._unfolded(spark, path) == (5, [6])
+    read = sinks.read_newest(spark, path, "k").inputFiles()
+    assert not any(f"batch_id={n}/" in f for n in range(6) for f in read)
+
+
 def test_errors(spark):
     rows = spark.createDataFrame([("x", 1, 5), ("x", 2, -1), ("y", 3, None), ("y", 4, 7)], "c string, n int, v int")
     checked = sinks.with_error(rows, {"missing": F.col("v").isNull(), "negative": F.col("v") < 0})
