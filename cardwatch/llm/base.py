@@ -7,8 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Rows of one Arrow batch. Texts of 100,000 characters then make batches of 50 MB.
-BATCH_ROWS = 512
+# Rows of one Arrow batch. Texts of 100,000 characters then make batches of 25 MB.
+BATCH_ROWS = 256
 
 # Bytes of words made of letters, digits and everything beyond ASCII, lower-cased.
 _ALNUM = bytes(

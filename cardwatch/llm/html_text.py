@@ -33,6 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cardwatch.llm.base import stash
 from cardwatch.llm.url_filter import HOST
 
 LEAST_PAGES = 3
@@ -233,9 +234,10 @@ def templates(pages: DataFrame) -> DataFrame:
 
     pages: host, page, html.
     """
-    seen = pages.dropDuplicates(["host", "page"]) if "page" in pages.columns else pages
-    tokens = seen.mapInArrow(_page_tokens, "host string, page long, token long, n long, place long")
-    sizes = seen.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= LEAST_PAGES)
+    tokens = pages.mapInArrow(_page_tokens, "host string, page long, token long, n long, place long")
+    # Repeated pages fold here, where no html has to move.
+    tokens = tokens.groupBy("host", "page", "token").agg(F.max("n").alias("n"), F.min("place").alias("place"))
+    sizes = pages.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= LEAST_PAGES)
     vectors = tokens.groupBy("host", "token").agg(
         F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.count(F.lit(1)).alias("on"), F.avg("n").alias("times"),
         F.avg(F.when(F.col("place") < 0, -1 - F.col("place")).otherwise(F.col("place"))).alias("place"), F.min(F.col("place") < 0).alias("is_text"),
@@ -277,7 +279,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     own = own.withColumn("host", F.expr(f"coalesce({HOST}, '')"))
-    found = templates(own.select("host", F.col("page_id").alias("page"), "html"))
+    # Written first: its size is then known, and the join broadcasts it only if it is small.
+    found = stash(templates(own.select("host", F.col("page_id").alias("page"), "html")), "templates")
     return own.join(found, "host", "left").select("page_id", "url", "host", "html", "tokens").mapInArrow(
         _extract, "page_id long, url string, text string, n_chars long"
     )

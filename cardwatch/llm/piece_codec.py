@@ -31,8 +31,8 @@ from pyspark.sql import types as T
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MOST_PIECES = 1_000_000
-BATCH_CHARS = 8_000_000
-CELLS = 2_000_000
+BATCH_CHARS = 2_000_000
+CELLS = 500_000
 
 _SPACE = "▁"
 _PART = re.compile(rb"\n| +[^ \n]*|[^ \n]+")
