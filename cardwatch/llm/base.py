@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 # Rows of one Arrow batch. Texts of 100,000 characters then make batches of 25 MB.
@@ -53,6 +57,21 @@ def stash(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A batch function that gives memory back when its task ends; worker processes live on."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return wrapped
+
+
 def plain_words(text: str | None) -> list[bytes]:
     """Lower-cased (A-Z) words ``[^\\x20\\x09-\\x0D]+``; none of a null."""
     return text.encode().lower().split() if text else []

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cardwatch.llm.base import alnum_words
+from cardwatch.llm.base import alnum_words, lean
 from cardwatch.llm.fm_index import FMIndex
 
 WINDOW = 13
@@ -142,7 +142,7 @@ def _scan(known):
                 names=["doc_id", "n_words", "spans", "items"],
             )
 
-    return run
+    return lean(run)
 
 
 def _keep(known, column):
@@ -155,7 +155,7 @@ def _keep(known, column):
                 k += len(words)
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
-    return run
+    return lean(run)
 
 
 def removal_spans(documents: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:

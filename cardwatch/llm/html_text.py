@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cardwatch.llm.base import stash
+from cardwatch.llm.base import lean, stash
 from cardwatch.llm.url_filter import HOST
 
 LEAST_PAGES = 3
@@ -211,6 +211,7 @@ def main_text(html: str | None, template: dict[int, tuple[int, int]], constant:
     return "\n\n".join(chosen)
 
 
+@lean
 def _page_tokens(batches):
     for batch in batches:
         columns: list[list] = [[], [], [], [], []]
@@ -256,6 +257,7 @@ def templates(pages: DataFrame) -> DataFrame:
     return each.groupBy("host").agg(F.collect_list("t").alias("tokens"))
 
 
+@lean
 def _extract(batches):
     ready: dict = {}
     for batch in batches:

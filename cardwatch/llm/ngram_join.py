@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cardwatch.llm.base import plain_words, stash
+from cardwatch.llm.base import lean, plain_words, stash
 from cardwatch.llm.components import components
 
 WORDS = 5
@@ -85,6 +85,7 @@ def parities(s: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
+@lean
 def _sets(batches):
     for batch in batches:
         size, identity, front, sketch = [], [], [], []
@@ -193,6 +194,7 @@ def similar(a: np.ndarray, b: np.ndarray, a_orders: list[np.ndarray], b_orders:
     return 100 * both >= 80 * (len(a) + len(b) - both)
 
 
+@lean
 def _compare(batches):
     """Rows come by hub, the hub's own row first."""
     hub, own, own_orders = None, None, None
@@ -237,6 +239,7 @@ def _bounded(pairs: DataFrame) -> DataFrame:
 _SIZES_FIT = "5 * n1 >= 4 * n2 and 5 * n2 >= 4 * n1"
 
 
+@lean
 def _all_tokens(batches):
     for batch in batches:
         sets = [shingles(text.as_py()) for text in batch.column(1)]

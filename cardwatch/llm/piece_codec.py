@@ -29,6 +29,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from cardwatch.llm.base import lean
+
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MOST_PIECES = 1_000_000
 BATCH_CHARS = 2_000_000
@@ -239,7 +241,7 @@ def _encode(vocabulary, column):
                     [*batch.columns, pa.array(np.diff(own), pa.int64()), lists], names=[*batch.schema.names, "n_tokens", "token_ids"]
                 )
 
-    return run
+    return lean(run)
 
 
 def _decode(vocabulary, column, name):
@@ -249,7 +251,7 @@ def _decode(vocabulary, column, name):
             texts = [decode_ids(x.values.to_numpy() if x.is_valid else None, pieces) for x in ids]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, name])
 
-    return run
+    return lean(run)
 
 
 def _without(df: DataFrame, *names: str) -> DataFrame:

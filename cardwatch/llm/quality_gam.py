@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cardwatch.llm.base import lean
 from cardwatch.llm.text_stats import STATS, statistics
 from cardwatch.llm.toxicity import training_sample
 
@@ -157,6 +158,7 @@ def predict(x: np.ndarray, model: dict) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(total, -500, 500)))
 
 
+@lean
 def _sample_features(batches):
     for batch in batches:
         x = features([statistics(t) for t in batch.column(0).to_pylist()])
@@ -185,7 +187,7 @@ def _score(model):
             x = features([statistics(t) for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(predict(x, model.value), pa.float64())], names=["doc_id", "score"])
 
-    return run
+    return lean(run)
 
 
 def scores(documents: DataFrame, model: dict) -> DataFrame:

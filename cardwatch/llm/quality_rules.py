@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cardwatch.llm.base import stash
+from cardwatch.llm.base import lean, stash
 from cardwatch.llm.text_stats import STATS, statistics
 
 # (name, good if, bad if, noise): SQL over the statistics; bad comes first, and a rule abstains if
@@ -48,6 +48,7 @@ ROUNDS = 200
 _SCHEMA = "doc_id long, " + ", ".join(f"{name} long" for name in STATS)
 
 
+@lean
 def _stats(batches):
     for batch in batches:
         rows = [statistics(t.as_py()) for t in batch.column(1)]

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cardwatch.llm.base import stash
+from cardwatch.llm.base import lean, stash
 from cardwatch.llm.lexicon_automaton import LexiconAutomaton
 from cardwatch.llm.ngram_join import shingles
 
@@ -114,6 +114,7 @@ def training_sample(documents: DataFrame, labels: DataFrame, label: str, rows: i
     return stash(sample.select("text", "y"), "training")
 
 
+@lean
 def _least_shingles(batches):
     for batch in batches:
         sets = [shingles(t) for t in batch.column(0).to_pylist()]
@@ -123,6 +124,7 @@ def _least_shingles(batches):
         )
 
 
+@lean
 def _units(batches):
     for batch in batches:
         units, ys = [], []
@@ -172,7 +174,7 @@ def _hits_by_edits(model):
                 rows += [(k, e, y) for e, k in set(map(match, words_of(text))) - {None}]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int32()) for i in range(3)], names=["k", "e", "y"])
 
-    return run
+    return lean(run)
 
 
 def _sums(model):
@@ -181,7 +183,7 @@ def _sums(model):
             x = [math.log1p(total(find_hits(t, model.value), model.value)) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), batch.column(1)], names=["x", "y"])
 
-    return run
+    return lean(run)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, shrink: float = 0.05, rounds: int = 50) -> tuple[float, float]:
@@ -244,7 +246,7 @@ def _score(model):
                 names=["doc_id", "score", "hits"],
             )
 
-    return run
+    return lean(run)
 
 
 def scores(documents: DataFrame, model: dict) -> DataFrame:
@@ -262,7 +264,7 @@ def _keep(model, column, threshold):
             fine = [score_of(find_hits(t.as_py(), model.value), model.value) < threshold for t in batch.column(column)]
             yield batch.filter(pa.array(fine, pa.bool_()))
 
-    return run
+    return lean(run)
 
 
 def clean_rows(documents: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:

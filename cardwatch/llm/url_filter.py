@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cardwatch.llm.base import lean
+
 TRIE_RULES = 100_000
 TRIE_CHARS = 8_000_000
 DEFAULT = "allow"
@@ -87,7 +89,7 @@ def _judge(trie, default):
                 names=["page_id", "host", "path", "rule", "verdict"],
             )
 
-    return run
+    return lean(run)
 
 
 def judge_urls(
