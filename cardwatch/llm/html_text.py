@@ -11,11 +11,11 @@ as menus, headers, footers, sidebars, notices, adverts, forms or comments are le
 wherever they are, as are scripts, styles and markup.
 
 A vector is kept as the exclusive or of a hash of (page, count), so a host's pages are
-never gathered: tokens are summed by (host, token), then by (host, vector). A host's
-template has at most ``TEMPLATE_TOKENS`` tokens by construction (each is on at least a
-share of ``SUPPORT`` of the pages, and a page hands in at most ``PAGE_TOKENS`` distinct ones
-for the template; its text is read in full). A host with too few pages has no template,
-and its pages are read by their own structure.
+never gathered: tokens are summed by (host, token), then by (host, vector). Every token
+of a page counts. Each token of a host's template is on at least a share of ``SUPPORT`` of
+the pages, so a template has at most the mean number of different tokens of a page, divided
+by ``SUPPORT``. A host with too few pages has no template, and its pages are read by their
+own structure.
 
 Defined cases: a null or empty html gives an empty text; a null url has the host ''.
 Repeated pages give repeated rows and count once for the template. Unclosed elements end
@@ -39,9 +39,9 @@ from cardwatch.llm.url_filter import HOST
 LEAST_PAGES = 3
 SUPPORT = 0.3
 CLASS_TOKENS = 2
-PAGE_TOKENS = 1000
-TEMPLATE_TOKENS = int(PAGE_TOKENS / SUPPORT)
 CONSTANT = 0.5
+# Rows of one batch of page tokens, so that long pages don't add up.
+TOKEN_ROWS = 50_000
 
 # Names of elements and of the parts they mark.
 BLOCKS = frozenset(
@@ -183,6 +183,7 @@ def slots(items: list[tuple], valid: set[int] | None) -> list[tuple[bool, list[t
     valid: the template tokens of the page; None takes every tag for one.
     """
     out: list[tuple[bool, list[tuple]]] = []
+    # One entry for each open element; those that aren't the template's hold what is around them.
     around = [(False, False)]
     for item in items:
         kind, _, _, gone, article = item
@@ -191,11 +192,13 @@ def slots(items: list[tuple], valid: set[int] | None) -> list[tuple[bool, list[t
                 if not out or out[-1][0] != (article or around[-1][1]):
                     out.append((article or around[-1][1], []))
                 out[-1][1].append(item)
-        elif valid is None or token_of(item) in valid:
-            if kind == "open":
-                around.append((gone, article))
-            elif len(around) > 1:
-                around.pop()
+            continue
+        known = valid is None or token_of(item) in valid
+        if kind == "open":
+            around.append((gone, article) if known else around[-1])
+        else:
+            around.pop()
+        if known:
             out.append((around[-1][1], []))
     return out
 
@@ -213,6 +216,11 @@ def main_text(html: str | None, template: dict[int, tuple[int, int]], constant:
 
 @lean
 def _page_tokens(batches):
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+
+    def batch_of(columns):
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["host", "page", "token", "n", "place"])
+
     for batch in batches:
         columns: list[list] = [[], [], [], [], []]
         for host, page, html in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
@@ -221,13 +229,15 @@ def _page_tokens(batches):
                 token = token_of(item)
                 if token in counts:
                     counts[token][0] += 1
-                elif len(counts) < PAGE_TOKENS:
+                else:
                     counts[token] = [1, place, item[0] == "text"]
             for token, (n, place, is_text) in counts.items():
                 for column, value in zip(columns, (host, page, token, n, place if not is_text else -1 - place), strict=True):
                     column.append(value)
-        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["host", "page", "token", "n", "place"])
+            if len(columns[0]) >= TOKEN_ROWS:
+                yield batch_of(columns)
+                columns = [[], [], [], [], []]
+        yield batch_of(columns)
 
 
 def templates(pages: DataFrame) -> DataFrame:

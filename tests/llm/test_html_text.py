@@ -66,3 +66,18 @@ def test_empty_table_and_further_columns(frame):
     assert html_text.extract(frame([], PAGES + ", host string, text string, tokens string")).collect() == []
     one = html_text.extract(frame([(1, "http://a/", "<p>x</p>", "h", "t")], PAGES + ", host string, text string")).first()
     assert (one.text, one.n_chars, one.url) == ("x", 1, "http://a/")
+
+
+def test_long_pages_keep_the_text_behind_a_thousand_entries(frame):
+    def long_page(k):
+        entries = "".join(f"<li>Entry {k} {j}</li>" for j in range(1100))
+        return f"<html><body><nav><ul>{entries}</ul></nav><article><p>Own text {k}</p></article><div><p>Behind {k}</p></div></body></html>"
+
+    found = {r.page_id: r.text for r in html_text.extract(frame([(k, "http://long.org/x", long_page(k)) for k in range(4)], PAGES)).collect()}
+    assert found == {k: f"Own text {k}" for k in range(4)}
+
+
+def test_an_open_tag_without_its_close_in_the_template_ends_with_its_element():
+    items = html_text.read_page("<nav><p>menu</p></nav><article><p>text</p></article>")
+    only_open = {html_text.token_of(items[0])}
+    assert [i[2] for _, texts in html_text.slots(items, only_open) for i in texts] == ["text"]
