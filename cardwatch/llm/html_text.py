@@ -4,11 +4,15 @@ Tags (with the way from the root) and whole text blocks are the tokens of a page
 that occur equally often on every page of a host share an occurrence vector and form an
 equivalence class. Classes with enough tokens and pages make up the host's template. On
 a page, a class is valid if its tokens come in the template's order, turn by turn, and the
-valid classes nest: what lies between their tags are slots. Slots of the article hold the
-main text; blocks that belong to the template themselves (the same text on most pages) are
-not slots, where a page has no article. Elements that their tag, class, id or role names
-as menus, headers, footers, sidebars, notices, adverts, forms or comments are left out
-wherever they are, as are scripts, styles and markup.
+valid classes nest: what lies between their tags are slots. Which slots are the article
+is told by the names of elements (``article``, ``main``), since menus and footers have
+slots of their own. Blocks that belong to the template themselves (the same text on most
+pages) are not slots, in an article only if their class is valid on the page. An article
+that would lose more than half of its text that way (pages that are near copies of each
+other) loses only blocks that are on every page of the host, and never its whole text.
+Elements that their tag, class, id or role names as menus, headers, footers, sidebars,
+notices, adverts, forms or comments are left out wherever they are, as are scripts, styles
+and markup.
 
 A vector is kept as the exclusive or of a hash of (page, count), so a host's pages are
 never gathered: tokens are summed by (host, token), then by (host, vector). Every token
@@ -203,15 +207,24 @@ def slots(items: list[tuple], valid: set[int] | None) -> list[tuple[bool, list[t
     return out
 
 
-def main_text(html: str | None, template: dict[int, tuple[int, int]], constant: frozenset[int]) -> str:
-    """The article's slots; without an article, all slots but for blocks that are constant on the host."""
+def main_text(
+    html: str | None, template: dict[int, tuple[int, int]], constant: frozenset[int], everywhere: frozenset[int] = frozenset()
+) -> str:
+    """The article's slots, without an article all slots, but for blocks that are constant on the host.
+
+    everywhere: the constant blocks that are on every page of the host.
+    """
     items = read_page(html)
     valid = valid_tokens(items, template)
     found = slots(items, valid or None)
-    chosen = [i[2] for article, texts in found if article for i in texts]
-    if not chosen:
-        chosen = [i[2] for _, texts in found for i in texts if token_of(i) not in constant]
-    return "\n\n".join(chosen)
+    whole = [i for article, texts in found if article for i in texts]
+    if not whole:
+        return "\n\n".join(i[2] for _, texts in found for i in texts if token_of(i) not in constant)
+    for known in (constant & valid, everywhere & valid):
+        chosen = [i for i in whole if token_of(i) not in known]
+        if 2 * sum(len(i[2]) for i in chosen) >= sum(len(i[2]) for i in whole):
+            break
+    return "\n\n".join(i[2] for i in chosen or whole)
 
 
 @lean
@@ -241,7 +254,7 @@ def _page_tokens(batches):
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, tokens (token, class, place in the class, constant) of every host with enough pages.
+    """host, tokens (token, class, place in the class, constant, everywhere) of every host with enough pages.
 
     pages: host, page, html.
     """
@@ -262,6 +275,7 @@ def templates(pages: DataFrame) -> DataFrame:
         F.struct(
             F.col("m.token").alias("token"), F.col("vector").alias("of_class"), F.col("at").cast("long").alias("place"),
             (F.col("m.is_text") & (F.col("on") >= CONSTANT * F.col("pages"))).alias("constant"),
+            (F.col("m.is_text") & (F.col("on") == F.col("pages"))).alias("everywhere"),
         ).alias("t"),
     )
     return each.groupBy("host").agg(F.collect_list("t").alias("tokens"))
@@ -278,7 +292,8 @@ def _extract(batches):
                     ready.clear()
                 known = tokens.as_py() or []
                 ready[host] = (
-                    {t["token"]: (t["of_class"], t["place"]) for t in known}, frozenset(t["token"] for t in known if t["constant"])
+                    {t["token"]: (t["of_class"], t["place"]) for t in known}, frozenset(t["token"] for t in known if t["constant"]),
+                    frozenset(t["token"] for t in known if t["everywhere"]),
                 )
             texts.append(main_text(html, *ready[host]))
         yield pa.RecordBatch.from_arrays(

@@ -81,3 +81,21 @@ def test_an_open_tag_without_its_close_in_the_template_ends_with_its_element():
     items = html_text.read_page("<nav><p>menu</p></nav><article><p>text</p></article>")
     only_open = {html_text.token_of(items[0])}
     assert [i[2] for _, texts in html_text.slots(items, only_open) for i in texts] == ["text"]
+
+
+def test_blocks_of_the_template_leave_articles(frame):
+    def article(k, own):
+        return f"<body><article><p>Read us every day.</p><p>{own}</p><div>All rights kept.</div></article><p>x{k}</p></body>"
+
+    rows = [(k, "http://bar.org/x", article(k, f"Own text of the page {k} that says much more than the lines around it")) for k in range(5)]
+    rows += [(10 + k, "http://short.org/x", article(k, f"Own {k}")) for k in range(5)]
+    # Copies of one article: what is on every page is all there is.
+    rows += [(20 + k, "http://copy.org/x", article(0, "Copied")) for k in range(4)]
+    # Half of the pages near copies of each other: their own text stays.
+    rows += [(30 + k, "http://near.org/x", f"<body><article><p>{'The same long paragraph. ' * 4}</p><p>Part {k}</p></article></body>") for k in range(3)]
+    rows += [(33 + k, "http://near.org/x", f"<body><article><p>Another {k}</p></article></body>") for k in range(3)]
+    found = {r.page_id: r.text for r in html_text.extract(frame(rows, PAGES)).collect()}
+    assert found[2] == "Own text of the page 2 that says much more than the lines around it"
+    assert found[12] == "Own 2"
+    assert found[22] == "Read us every day.\n\nCopied\n\nAll rights kept."
+    assert found[31] == " ".join(["The same long paragraph."] * 4) + "\n\nPart 1"
