@@ -8,12 +8,13 @@ search finds all phrases at once, sampled suffix positions locate them, and thei
 ranges merge into removal spans.
 
 Benchmark items are read in blocks of at most ``BLOCK_CHARS`` characters, so what is
-broadcast has a fixed bound whatever the benchmark's size; blocks after the first add a
-pass each, and the spans of all passes are merged per document.
+broadcast has a fixed bound whatever the benchmark's size. With more than one block the
+documents are written once with a key for each row, every block is a pass over them, and
+the spans of all passes are merged by that key, so rows are the same as with one block.
 
 Defined cases: a null or empty text has no words, no hits and is clean; a null or empty
 benchmark text gives no phrase; without phrases nothing is contaminated. Repeated
-documents give repeated rows (with a further block: one row for each id and text hash).
+documents give repeated rows, and each row is judged by its own text, whatever its id.
 Repeated items count by distinct id; an item without id is matched but not counted.
 Further columns of either input are ignored.
 """
@@ -21,13 +22,14 @@ Further columns of either input are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cardwatch.llm.base import alnum_words, lean
+from cardwatch.llm.base import alnum_words, lean, stash
 from cardwatch.llm.fm_index import FMIndex
 
 WINDOW = 13
@@ -37,6 +39,7 @@ SHARD_WORDS = 300_000
 SCHEMA = (
     "doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
 )
+N_HIT = "aggregate(spans, 0L, (a, s) -> a + s.end - s.start)"
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
@@ -158,19 +161,14 @@ def _keep(known, column):
     return lean(run)
 
 
-def removal_spans(documents: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """doc_id, n_words, merged word spans (end exclusive) to remove, and the items found."""
-    spark = documents.sparkSession
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    passes = [
-        docs.mapInArrow(_scan(spark.sparkContext.broadcast(phrases(block))), SCHEMA)
-        for block in item_blocks(benchmark, block_chars)
-    ]
-    if len(passes) == 1:
-        return passes[0]
-    found = passes[0]
-    for one in passes[1:]:
-        found = found.unionByName(one)
+def _merged(docs: DataFrame, blocks: Iterator[list[tuple]]) -> DataFrame:
+    """doc_id (here a key that no two rows share), n_words, spans and items over all blocks."""
+    sc = docs.sparkSession.sparkContext
+    found = None
+    for block in blocks:
+        one = docs.mapInArrow(_scan(sc.broadcast(phrases(block))), SCHEMA)
+        # The first pass keeps a row for every document.
+        found = one if found is None else found.unionByName(one.where("size(spans) > 0"))
     gathered = found.groupBy("doc_id", "n_words").agg(
         F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
@@ -182,16 +180,46 @@ def removal_spans(documents: DataFrame, benchmark: DataFrame, block_chars: int =
     return gathered.select("doc_id", "n_words", F.expr(merged).alias("spans"), "items")
 
 
+def _keyed(documents: DataFrame) -> tuple[DataFrame, str]:
+    """The documents, written with a key for each row, and the key's name."""
+    key = "_row"
+    while key in documents.columns:
+        key = "_" + key
+    return stash(documents.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
+
+
+def _blocks(benchmark: DataFrame, block_chars: int) -> tuple[list[tuple], Iterator[list[tuple]] | None]:
+    """The first block, and all of them if there are more."""
+    blocks = item_blocks(benchmark, block_chars)
+    first, second = next(blocks), next(blocks, None)
+    return first, None if second is None else chain((first, second), blocks)
+
+
+def removal_spans(documents: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """doc_id, n_words, merged word spans (end exclusive) to remove, and the items found."""
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    first, blocks = _blocks(benchmark, block_chars)
+    if blocks is None:
+        return docs.mapInArrow(_scan(documents.sparkSession.sparkContext.broadcast(phrases(first))), SCHEMA)
+    keyed, key = _keyed(docs)
+    found = _merged(keyed.select(F.col(key).alias("doc_id"), "text"), blocks).withColumnRenamed("doc_id", "_found")
+    return keyed.select("doc_id", key).join(found, F.col(key) == F.col("_found")).select("doc_id", "n_words", "spans", "items")
+
+
+def _verdict(n_hit: Column) -> Column:
+    return (n_hit > 0) & (20 * n_hit >= F.col("n_words"))
+
+
 def contamination(documents: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Per document: words, hit words, items with an occurring phrase, and the verdict."""
-    n_hit = F.expr("aggregate(spans, 0L, (a, s) -> a + s.end - s.start)")
+    n_hit = F.expr(N_HIT)
     return removal_spans(documents, benchmark, block_chars).select(
         "doc_id",
         "n_words",
         n_hit.alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"),
-        ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
+        _verdict(n_hit).alias("contaminated"),
         "spans",
     )
 
@@ -200,12 +228,13 @@ def clean_rows(documents: DataFrame, benchmark: DataFrame, block_chars: int = BL
     """The documents that are not contaminated, unchanged.
 
     With one block of items the rows are filtered where they lie. With more, hits of all
-    blocks are added up first and contaminated documents leave by a join.
+    blocks are added up first and contaminated rows leave by a join on their key.
     """
-    blocks = item_blocks(benchmark, block_chars)
-    first, more = next(blocks), next(blocks, None)
-    if more is None:
+    first, blocks = _blocks(benchmark, block_chars)
+    if blocks is None:
         known = documents.sparkSession.sparkContext.broadcast(phrases(first))
         return documents.mapInArrow(_keep(known, documents.columns.index("text")), documents.schema)
-    verdicts = contamination(documents, benchmark, block_chars).where("contaminated").select(F.col("doc_id").alias("_hit")).distinct()
-    return documents.join(verdicts, documents["doc_id"].eqNullSafe(F.col("_hit")), "left_anti")
+    keyed, key = _keyed(documents)
+    found = _merged(keyed.select(F.col(key).alias("doc_id"), F.col("text").cast("string").alias("text")), blocks)
+    hit = stash(found.where(_verdict(F.expr(N_HIT))).select(F.col("doc_id").alias("_hit")), "contaminated")
+    return keyed.join(hit, F.col(key) == F.col("_hit"), "left_anti").select(*documents.columns)

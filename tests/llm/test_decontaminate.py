@@ -81,3 +81,15 @@ def test_index_finds_and_locates_every_occurrence():
         expected = [k for k in range(len(row)) if list(row[k : k + size]) == list(pattern)]
         found = sorted(index.locate(np.arange(low[0], high[0])).tolist()) if len(which) else []
         assert found == expected
+
+
+@pytest.mark.parametrize("block", [10**6, 5])
+def test_rows_of_one_id_or_none_keep_their_own_verdict(frame, block):
+    hit, fine = "a b c d e f", "u v w x y z"
+    docs = [(1, hit), (1, fine), (1, fine), (None, hit), (None, fine), (None, fine), (2, "g h i q r s")]
+    bench = frame([(1, "a b c"), (2, "d e f"), (3, "g h i")], "item_id long, text string")
+    found = decontaminate.contamination(frame(docs), bench, block).collect()
+    assert sorted((r.doc_id or -1, r.n_hit, r.contaminated, r.n_items) for r in found) == sorted([(1, 6, True, 2), (1, 0, False, 0), (1, 0, False, 0), (-1, 6, True, 2), (-1, 0, False, 0), (-1, 0, False, 0), (2, 3, True, 1)])
+    assert [[tuple(s) for s in r.spans] for r in found if r.n_hit == 6] == [[(0, 6)]] * 2
+    kept = decontaminate.clean_rows(frame(docs), bench, block).collect()
+    assert sorted((r.doc_id or -1, r.text) for r in kept) == [(-1, fine), (-1, fine), (1, fine), (1, fine)]
