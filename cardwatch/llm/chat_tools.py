@@ -16,8 +16,12 @@ later one are places passed on, round by round, until they stand still; the numb
 rounds is the longest chain of such calls. ``order_key`` sorts a conversation.
 
 Defined cases: null texts hold no call. A call without an id gets none of the results and
-keeps its place. Of calls, or results, with the same id in a conversation the first
-counts, the others are reported as duplicates; repeated rows are one. Results without a
+keeps its place. Repeated rows are one. Different calls, or results, with the same id in a
+conversation all count with ``every``: runs of calls and the results behind them belong
+together, the first call with the first result and so on; a call after the first of its id
+is reported as a duplicate, and a result beyond the calls of its run is a row of its own.
+What needs such an id needs the last such call before it. Without ``every``, the first call
+and result of an id are linked and the others only reported as duplicates. Results without a
 call are reported as orphans. Arguments that aren't a JSON object are reported. Calls in
 a circle, or behind one, are reported. Null conversation ids are one conversation.
 Further columns are ignored; an empty table gives no rows.
@@ -25,7 +29,7 @@ Further columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardwatch.llm.base import stash
@@ -99,30 +103,76 @@ def _firsts(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     )
 
 
+def _numbered(calls: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every different call and result, with ``run`` and ``at``, by which they are linked, and ``k``, the call's number in its id.
+
+    Both have ``copies``, over 1 for duplicates; results have ``known``, whether their id has a call.
+    """
+    none = ["run", "at", "k"]
+    sides = [(calls, CALL_COLUMNS, 0), (results, RESULT_COLUMNS, 1)]
+    shape = {"name": "string", "arguments": "string", "after": "array<string>", "content": "string"}
+    events = [
+        rows.where("call_id is not null").select(*columns).distinct().select(
+            "conv_id", "call_id", "turn", "place", F.lit(kind).alias("kind"),
+            *((F.col(c) if c in columns else F.lit(None)).cast(t).alias(c) for c, t in shape.items()),
+        )
+        for rows, columns, kind in sides
+    ]
+    of_id = Window.partitionBy("conv_id", "call_id")
+    in_order = ("turn", "kind", "place", *shape)
+    found = events[0].unionByName(events[1])
+    found = found.withColumn("starts", F.expr("kind = 0") & (F.coalesce(F.lag("kind").over(of_id.orderBy(*in_order)), F.lit(1)) == 1))
+    found = found.withColumn("run", F.sum(F.col("starts").cast("long")).over(of_id.orderBy(*in_order).rowsBetween(Window.unboundedPreceding, 0)))
+    # Results before the first call serve it only if none behind it does.
+    found = found.withColumn("early", F.col("run") == 0).withColumn("run", F.greatest("run", F.lit(1)))
+    of_run = Window.partitionBy("conv_id", "call_id", "run")
+    found = found.select(
+        "*", F.row_number().over(Window.partitionBy("conv_id", "call_id", "run", "kind").orderBy("early", *in_order)).cast("long").alias("at"),
+        F.row_number().over(Window.partitionBy("conv_id", "call_id", "kind").orderBy(*in_order)).cast("long").alias("k"),
+        F.count_if(F.expr("kind = 0")).over(of_run).alias("in_run"), (F.count_if(F.expr("kind = 0")).over(of_id) > 0).alias("known"),
+    )
+    copies = {0: F.col("k"), 1: F.when(F.col("at") > F.greatest("in_run", F.lit(1)), 2).otherwise(1).cast("long")}
+    out = []
+    for rows, columns, kind in sides:
+        named = found.where(F.col("kind") == kind).select(*columns, *none, copies[kind].alias("copies"), "known")
+        nameless = rows.where("call_id is null").select(*columns).distinct().select(
+            *columns, *(F.lit(1).cast("long").alias(c) for c in (*none, "copies")), F.lit(False).alias("known")
+        )
+        out.append(named.unionByName(nameless))
+    return out[0], out[1]
+
+
 def _order(calls: DataFrame) -> DataFrame:
-    """conv_id, call_id, k_turn, k_place, hops, circle of the calls whose place others move."""
-    edges = calls.where("call_id is not null").select("conv_id", "call_id", "turn", "place", F.explode("after").alias("needs"))
-    places = calls.where("call_id is not null").select("conv_id", F.col("call_id").alias("needs"), F.col("turn").alias("n_turn"), F.col("place").alias("n_place"))
+    """conv_id, call_id, k, k_turn, k_place, hops, circle of the calls whose place others move."""
+    calls = calls.where("call_id is not null")
+    edges = calls.select("conv_id", "call_id", "k", "turn", "place", F.explode("after").alias("needs"))
+    places = calls.where("k = 1").select("conv_id", F.col("call_id").alias("needs"), F.col("turn").alias("n_turn"), F.col("place").alias("n_place"))
     same = (edges["conv_id"].eqNullSafe(places["conv_id"])) & (edges["needs"] == places["needs"])
-    known = edges.join(places, same).select(edges["conv_id"], "call_id", "turn", "place", edges["needs"], "n_turn", "n_place")
+    known = edges.join(places, same).select(edges["conv_id"], "call_id", "k", "turn", "place", edges["needs"], "n_turn", "n_place")
     later = stash(known.where("struct(n_turn, n_place) >= struct(turn, place)").select(F.coalesce("conv_id", F.lit(-1)).alias("c")).distinct(), "later")
-    schema = "conv_id long, call_id string, k_turn long, k_place long, hops long, circle boolean"
+    schema = "conv_id long, call_id string, k long, k_turn long, k_place long, hops long, circle boolean"
     if later.isEmpty():
         return calls.sparkSession.createDataFrame([], schema)
-    edges = stash(known.join(later, F.coalesce("conv_id", F.lit(-1)) == F.col("c"), "left_semi").selectExpr("coalesce(conv_id, -1) as c", "call_id", "needs"), "needs")
-    own = calls.where("call_id is not null").selectExpr("coalesce(conv_id, -1) as c", "conv_id", "call_id", "struct(turn, place, 0L as hops) as label").join(later, "c", "left_semi")
+    own = calls.selectExpr("coalesce(conv_id, -1) as c", "conv_id", "call_id", "k", "turn", "place").join(later, "c", "left_semi")
+    # Of the calls of a needed id the last before, or else the first.
+    wanted = known.selectExpr("coalesce(conv_id, -1) as c", "needs", "turn", "place", "cast(null as long) as n", "call_id", "k").join(later, "c", "left_semi")
+    given = own.selectExpr("c", "call_id as needs", "turn", "place", "k as n", "cast(null as string) as call_id", "cast(null as long) as k")
+    before = Window.partitionBy("c", "needs").orderBy("turn", "place", F.col("n").isNotNull(), "n").rowsBetween(Window.unboundedPreceding, 0)
+    edges = wanted.unionByName(given).withColumn("needs_k", F.coalesce(F.last("n", True).over(before), F.lit(1).cast("long")))
+    edges = stash(edges.where("call_id is not null").select("c", "call_id", "k", "needs", "needs_k"), "needs")
+    own = own.selectExpr("c", "conv_id", "call_id", "k", "struct(turn, place, 0L as hops) as label")
     sizes = own.groupBy("c").agg(F.count(F.lit(1)).alias("size"))
     labels = stash(own.join(sizes, "c").withColumn("circle", F.lit(False)), "labels")
     while True:
-        heard = edges.join(labels.select("c", F.col("call_id").alias("needs"), F.col("label").alias("of")), ["c", "needs"])
-        heard = heard.groupBy("c", "call_id").agg(F.max(F.expr("struct(of.turn as turn, of.place as place, of.hops + 1 as hops)")).alias("heard"))
-        new = labels.join(heard, ["c", "call_id"], "left").withColumn("next", F.when(F.col("circle"), F.col("label")).otherwise(F.greatest("label", F.coalesce("heard", "label"))))
+        heard = edges.join(labels.select("c", F.col("call_id").alias("needs"), F.col("k").alias("needs_k"), F.col("label").alias("of")), ["c", "needs", "needs_k"])
+        heard = heard.groupBy("c", "call_id", "k").agg(F.max(F.expr("struct(of.turn as turn, of.place as place, of.hops + 1 as hops)")).alias("heard"))
+        new = labels.join(heard, ["c", "call_id", "k"], "left").withColumn("next", F.when(F.col("circle"), F.col("label")).otherwise(F.greatest("label", F.coalesce("heard", "label"))))
         new = new.withColumn("circle", F.col("circle") | (F.col("next.hops") > F.col("size")))
-        new = stash(new.select("c", "conv_id", "call_id", F.col("next").alias("label"), "size", "circle", (F.col("next") != F.col("label")).alias("moved")), "labels")
+        new = stash(new.select("c", "conv_id", "call_id", "k", F.col("next").alias("label"), "size", "circle", (F.col("next") != F.col("label")).alias("moved")), "labels")
         labels = new.drop("moved")
         if new.where("moved").isEmpty():
             break
-    return labels.select("conv_id", "call_id", F.col("label.turn").alias("k_turn"), F.col("label.place").alias("k_place"), "label.hops", "circle")
+    return labels.select("conv_id", "call_id", "k", F.col("label.turn").alias("k_turn"), F.col("label.place").alias("k_place"), "label.hops", "circle")
 
 
 def _kind(value: str) -> str:
@@ -151,22 +201,29 @@ def _checked(calls: DataFrame, tools: DataFrame) -> DataFrame:
     return given.withColumn("errors", F.expr(errors))
 
 
-def link(calls: DataFrame, results: DataFrame, tools: DataFrame) -> DataFrame:
+def link(calls: DataFrame, results: DataFrame, tools: DataFrame, every: bool = False) -> DataFrame:
     """A row per call, with its result, and per result without a call.
 
-    conv_id, turn, call_id, status (answered, unanswered, orphan), n_errors, order_key and
-    the canonical JSON line.
+    conv_id, turn, call_id, status (answered, unanswered, orphan; duplicate for a result beyond
+    the calls of its id), n_errors, order_key and the canonical JSON line. every: see above.
     """
-    calls = _firsts(calls.select(*CALL_COLUMNS), CALL_COLUMNS)
-    results = _firsts(results.select(*RESULT_COLUMNS), RESULT_COLUMNS).selectExpr(
-        "conv_id as r_conv", "call_id as r_id", "turn as r_turn", "place as r_place", "content", "copies as r_copies"
+    calls, results = calls.select(*CALL_COLUMNS), results.select(*RESULT_COLUMNS)
+    if every:
+        calls, results = _numbered(calls, results)
+        calls = calls.drop("known")
+    else:
+        one = {c: F.lit(1).cast("long") for c in ("run", "at", "k")}
+        calls, results = _firsts(calls, CALL_COLUMNS).withColumns(one), _firsts(results, RESULT_COLUMNS).withColumns(one | {"known": F.lit(False)})
+    results = results.selectExpr(
+        "conv_id as r_conv", "call_id as r_id", "turn as r_turn", "place as r_place", "content", "copies as r_copies", "run as r_run", "at as r_at", "known"
     )
-    order = _order(calls).selectExpr("conv_id as o_conv", "call_id as o_id", "k_turn", "k_place", "hops", "circle")
+    order = _order(calls).selectExpr("conv_id as o_conv", "call_id as o_id", "k as o_k", "k_turn", "k_place", "hops", "circle")
     calls = _checked(calls, tools)
-    calls = calls.join(order, calls["conv_id"].eqNullSafe(order["o_conv"]) & (calls["call_id"] == order["o_id"]), "left")
-    both = calls.join(results, calls["conv_id"].eqNullSafe(results["r_conv"]) & (calls["call_id"] == results["r_id"]), "full")
+    calls = calls.join(order, calls["conv_id"].eqNullSafe(order["o_conv"]) & (calls["call_id"] == order["o_id"]) & (calls["k"] == order["o_k"]), "left")
+    same = calls["conv_id"].eqNullSafe(results["r_conv"]) & (calls["call_id"] == results["r_id"]) & (calls["run"] == results["r_run"]) & (calls["at"] == results["r_at"])
+    both = calls.join(results, same, "full")
     # In a full join of null-safe keys, place tells a call's side and r_place a result's.
-    both = both.withColumn("status", F.expr("case when place is null then 'orphan' when r_place is null then 'unanswered' else 'answered' end"))
+    both = both.withColumn("status", F.expr("case when place is null then if(known, 'duplicate', 'orphan') when r_place is null then 'unanswered' else 'answered' end"))
     extra = """array_compact(array(if(copies > 1, 'duplicate_call', null), if(r_copies > 1, 'duplicate_result', null),
         if(circle, 'circle', null), if(status = 'orphan', 'orphan', null), if(status = 'answered' and struct(r_turn, r_place) < struct(turn, place), 'early_result', null)))"""
     both = both.withColumn("errors", F.expr(f"array_sort(concat(coalesce(errors, cast(array() as array<string>)), {extra}))"))

@@ -30,6 +30,7 @@ def op1_chat_tool_links(spark: SparkSession, sf_dir: str) -> DataFrame:
         chat_tools.turn_calls(messages).unionByName(chat_tools.marked_calls(messages)),
         chat_tools.turn_results(messages).unionByName(chat_tools.marked_results(messages)),
         tools,
+        every=True,
     )
 
 

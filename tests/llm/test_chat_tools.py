@@ -73,3 +73,26 @@ def test_plans_hold_no_python(frame, lm, sf):
     for name in ("op1_chat_tool_links", "op7_pii"):
         plan = registered.queries()[name](lm, sf)._jdf.queryExecution().executedPlan().toString()
         assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
+
+
+def test_every_call_and_result_of_an_identifier_is_kept(lm, tmp_path):
+    from cardwatch.llm import queries
+
+    def c(a, **more):
+        return "assistant", call(id="call_0", name="answer", arguments={"prompt": a, "turn": 1}, **more)
+
+    rows = [
+        (1, 0, *c("first")), (1, 1, "tool", result(id="call_0", content="r1")), (1, 2, *c("second")), (1, 3, *c("third", after=["call_0"])),
+        (1, 4, "tool", result(id="call_0", content="r2")), (1, 5, "tool", result(id="call_0", content="r3")), (1, 6, "tool", result(id="call_0", content="more")),
+        (1, 7, *c("last")), (1, 7, *c("last")),
+        (2, 1, "user", "one"), (2, 1, "user", "other"), (2, 2, "assistant", "to one"), (2, 2, "assistant", "to other"),
+        (3, 0, *c("late", after=["call_1"])), (3, 1, "assistant", call(id="call_1", name="answer", arguments={})), (3, 2, *c("again")),
+    ]
+    lm.createDataFrame(rows, MESSAGES).write.parquet(f"{tmp_path}/conversations.parquet")
+    found = [(r, json.loads(r.line)) for r in queries.op1_chat_tool_links(lm, str(tmp_path)).collect()]
+    assert sorted((r.turn, r.status, (x["arguments"] or {}).get("prompt"), x["result"], x["errors"]) for r, x in found if r.conv_id == 1) == [
+        (0, "answered", "first", "r1", []), (2, "answered", "second", "r2", ["duplicate_call"]), (3, "answered", "third", "r3", ["duplicate_call"]),
+        (6, "duplicate", None, "more", ["duplicate_result"]), (7, "unanswered", "last", None, ["duplicate_call"]),
+    ]
+    assert sorted((x["arguments"]["prompt"], x["result"]) for r, x in found if r.conv_id == 2) == [("one", "to one"), ("other", "to other")]
+    assert [x["arguments"].get("prompt") for r, x in sorted(found, key=lambda f: f[0].order_key) if r.conv_id == 3] == [None, "late", "again"]
