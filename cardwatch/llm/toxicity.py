@@ -1,8 +1,9 @@
 """Toxicity: a learned lexicon, matched with misspellings, judged in its context.
 
 Training (``fit``) reads at most ``TRAIN_ROWS`` labelled documents of each class, those
-with the smallest hash of their id. Words and word beginnings that toxic documents have
-and clean ones don't become the lexicon. An entry may be misspelled by so many edits as
+with the smallest hash of their id. Words and word beginnings that are in far more toxic
+documents than clean ones, by their log odds, become the lexicon; a clean document that
+only quotes a term counts as a part (``QUOTED``) of one. An entry may be misspelled by so many edits as
 catch hardly any clean training document. Scoring runs every word through a Levenshtein
 automaton intersected with the lexicon trie. A hit counts with its weight, less for each
 edit, and less when its context window shows a quotation: the term stands between
@@ -65,6 +66,11 @@ def is_quoted(text: str, start: int, end: int) -> bool:
     return any(w in _REPORTING for w in near)
 
 
+def _may_quote(lower: str) -> bool:
+    """Whether is_quoted can hold anywhere in the text."""
+    return any(c in lower for c in '>"' + _OPENING) or not _REPORTING.isdisjoint(_WORD.findall(lower))
+
+
 def _automaton(model: dict) -> LexiconAutomaton:
     """Built once per worker process, with the broadcast model it belongs to."""
     if "automaton" not in model:
@@ -124,19 +130,26 @@ def _least_shingles(batches):
         )
 
 
+def _units_of(word: str) -> set[str]:
+    own = {word} if len(word) >= BEGINNINGS[0] else set()
+    return own | {word[:k] + "*" for k in BEGINNINGS if len(word) > k}
+
+
 @lean
 def _units(batches):
     for batch in batches:
-        units, ys = [], []
+        units, ys, counts = [], [], []
         for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own = set()
-            for w in words_of(text):
-                if len(w) >= BEGINNINGS[0]:
-                    own.add(w)
-                own.update(w[:k] + "*" for k in BEGINNINGS if len(w) > k)
+            lower = (text or "").lower()
+            own = set().union(*map(_units_of, words_of(text)))
+            addressed = own
+            # Where quotations have marks or a reporting word, each occurrence is looked at.
+            if not y and _may_quote(lower):
+                addressed = set().union(*(_units_of(m[0]) for m in _WORD.finditer(lower) if not is_quoted(lower, m.start(), m.end())))
             units += own
             ys += [y] * len(own)
-        yield pa.RecordBatch.from_arrays([pa.array(units, pa.string()), pa.array(ys, pa.int32())], names=["unit", "y"])
+            counts += [1.0 if u in addressed else QUOTED for u in own]
+        yield pa.RecordBatch.from_arrays([pa.array(units, pa.string()), pa.array(ys, pa.int32()), pa.array(counts, pa.float64())], names=["unit", "y", "n"])
 
 
 def _lexicon(counts: list, n_toxic: int, n_clean: int) -> list[tuple[str, bool, int, float]]:
@@ -144,7 +157,7 @@ def _lexicon(counts: list, n_toxic: int, n_clean: int) -> list[tuple[str, bool,
     weight = {}
     for unit, toxic, clean in counts:
         odds = math.log((toxic + 0.5) / (n_toxic + 1)) - math.log((clean + 0.5) / (n_clean + 1))
-        if odds >= LEAST_LOG_ODDS and clean <= CLEAN_SHARE * n_clean:
+        if odds >= LEAST_LOG_ODDS:
             weight[unit] = (odds, toxic)
     kept = {}
     for unit, (odds, toxic) in weight.items():
@@ -210,11 +223,13 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", rows: int
     if not n_toxic or not n_clean:
         share = n_toxic / (n_toxic + n_clean) if n else 0.0
         return {"entries": [], "intercept": 30.0 if share == 1 else -30.0, "slope": 0.0}
-    units = sample.mapInArrow(_units, "unit string, y int").groupBy("unit")
+    units = sample.mapInArrow(_units, "unit string, y int, n double").groupBy("unit")
     least = max(LEAST_DOCS, LEAST_SHARE * n_toxic)
-    counts = units.agg(F.sum("y").alias("toxic"), F.count_if(F.col("y") == 0).alias("clean")).where(F.col("toxic") >= least)
+    counts = units.agg(F.sum("y").alias("toxic"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0.0)).alias("clean")).where(F.col("toxic") >= least)
+    # The least odds of _lexicon, and a little less, so that rounding decides nothing here.
+    worth = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1)) >= LEAST_LOG_ODDS - 0.01
     # At most (units of a document / LEAST_SHARE) rows come back.
-    model = {"entries": _lexicon([tuple(r) for r in counts.where(F.col("clean") <= CLEAN_SHARE * n_clean).collect()], n_toxic, n_clean)}
+    model = {"entries": _lexicon([tuple(r) for r in counts.where(worth).collect()], n_toxic, n_clean)}
     caught = sample.mapInArrow(_hits_by_edits(sc.broadcast(dict(model))), "k int, e int, y int").where("y = 0 and e > 0")
     clean = {(r["k"], r["e"]): r["count"] for r in caught.groupBy("k", "e").count().collect()}
     entries = []

@@ -89,3 +89,15 @@ def test_edge_cases(frame):
         assert len(found) == 4 and all(0 <= r.score <= 1 for r in found)
         assert toxicity.clean_rows(docs, model).columns == docs.columns
     assert toxicity.scores(frame([]), MODEL).collect() == []
+
+
+def test_a_term_that_clean_documents_quote_is_learned(frame):
+    rows = corpus()
+    # One clean document in 18 reports the term.
+    rows = [(d, t + (' they said "vileterm" there' if k % 20 == 1 else ""), y) for k, (d, t, y) in enumerate(rows)]
+    assert 3 <= sum("vileterm" in t for _, t, y in rows if not y)
+    docs = frame([r[:2] for r in rows])
+    model = toxicity.fit(docs, frame([(d, int(y)) for d, _, y in rows], "doc_id long, toxic int"))
+    assert "vileterm" in {e[0] for e in model["entries"]}
+    found = {r.doc_id: r.score >= toxicity.THRESHOLD for r in toxicity.scores(docs, model).collect()}
+    assert found == {d: y for d, _, y in rows}
