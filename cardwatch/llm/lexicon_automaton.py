@@ -35,6 +35,7 @@ class LexiconAutomaton:
         self.next: list[dict[str, int]] = []
         self.at_end: list[tuple[int, int] | None] = []
         self.at_once: list[tuple[int, int] | None] = []
+        self.hits: list[list[tuple[int, int, bool]]] = []
         self._state({0: 0})
 
     def _state(self, edits: dict[int, int]) -> int:
@@ -54,6 +55,7 @@ class LexiconAutomaton:
             self.ids[key] = len(self.states)
             self.states.append(key)
             self.next.append({})
+            self.hits.append(hits)
             self.at_end.append(min(((e, k) for e, k, _ in hits), default=None))
             self.at_once.append(min(((e, k) for e, k, begins in hits if begins), default=None))
         return self.ids[key]
@@ -87,3 +89,17 @@ class LexiconAutomaton:
         if self.at_end[state] is not None and (best is None or self.at_end[state] < best):
             best = self.at_end[state]
         return best
+
+    def match_all(self, word: str) -> dict[int, int]:
+        """entry -> fewest edits, of every entry that matches."""
+        state, found = 0, {}
+        for place in range(len(word) + 1):
+            for e, k, begins in self.hits[state]:
+                if begins or place == len(word):
+                    found[k] = min(e, found.get(k, e))
+            if place < len(word):
+                to = self.next[state].get(word[place])
+                state = self._step(state, word[place]) if to is None else to
+                if state < 0:
+                    break
+        return found

@@ -5,7 +5,8 @@ with the smallest hash of their id. Words and word beginnings that are in far mo
 documents than clean ones, by their log odds, become the lexicon; a clean document that
 only quotes a term counts as a part (``QUOTED``) of one. An entry may be misspelled by so many edits as
 catch hardly any clean training document. Scoring runs every word through a Levenshtein
-automaton intersected with the lexicon trie. A hit counts with its weight, less for each
+automaton intersected with the lexicon trie, and tokens with digits or symbols among their
+letters as a whole, unless a word in them is a hit already. A hit counts with its weight, less for each
 edit, and less when its context window shows a quotation: the term stands between
 quotation marks, in a quoted line, or beside a word that reports speech. A logistic curve
 fitted on the training documents turns the sum into a score.
@@ -41,6 +42,8 @@ QUOTED = 0.4
 EDIT = 0.7
 
 _WORD = re.compile(r"[^\W\d_]+")
+# Runs of letters, digits and the symbols that stand for letters; inside, other symbols, too.
+_TOKEN = re.compile(r"[\w@$*!]+(?:[.'+|#%&^~-][\w@$*!]+)*")
 _REPORTING = frozenset("said says wrote writes called calls quote quoted quoting according reported reports term word".split())
 _OPENING, _CLOSING = "«“„‹", "»”“›"
 
@@ -49,6 +52,17 @@ def words_of(text: str | None) -> set[str]:
     return set(_WORD.findall(text.lower())) if text else set()
 
 
+def disguised_of(text: str) -> list[tuple[int, int, str, list[str]]]:
+    """(start, end, token, its words) of the tokens of a lower-cased text with digits or symbols among their letters."""
+    out = []
+    for m in _TOKEN.finditer(text):
+        token = m[0].rstrip("!*")
+        if len(token) >= BEGINNINGS[0] and not token.isalpha() and (words := _WORD.findall(token)):
+            if words != [token.strip("_'")]:
+                out.append((m.start(), m.start() + len(token), token, words))
+    return out
+
+
 def is_quoted(text: str, start: int, end: int) -> bool:
     """The context window of text[start:end] shows a quotation rather than an address."""
     line = text.rfind("\n", 0, start) + 1
@@ -81,15 +95,13 @@ def _automaton(model: dict) -> LexiconAutomaton:
 def find_hits(text: str | None, model: dict) -> list[tuple[int, int, int, int, bool]]:
     """(start, end, entry, edits, quoted) of every lexicon hit."""
     match = _automaton(model).match
+    lower = (text or "").lower()
     found = {w: hit for w in words_of(text) if (hit := match(w)) is not None}
-    if not found:
-        return []
-    lower = text.lower()
-    return [
-        (m.start(), m.end(), found[m[0]][1], found[m[0]][0], is_quoted(lower, m.start(), m.end()))
-        for m in _WORD.finditer(lower)
-        if m[0] in found
-    ]
+    places = [(m.start(), m.end(), found[m[0]]) for m in _WORD.finditer(lower) if m[0] in found] if found else []
+    for start, end, token, words in disguised_of(lower):
+        if found.keys().isdisjoint(words) and (hit := match(token)) is not None:
+            places.append((start, end, hit))
+    return [(start, end, k, e, is_quoted(lower, start, end)) for start, end, (e, k) in sorted(places)]
 
 
 def total(hits: list, model: dict) -> float:
@@ -174,7 +186,7 @@ def _lexicon(counts: list, n_toxic: int, n_clean: int) -> list[tuple[str, bool,
         if any(stem[:k] in beginnings for k in range(1, len(stem) + (not unit.endswith("*")))):
             continue
         size = len(stem)
-        out.append((stem, unit.endswith("*"), 0 if size < 5 else 1 if size < 8 else 2, odds))
+        out.append((stem, unit.endswith("*"), 1 if size < 8 else 2, odds))
     return out
 
 
@@ -183,8 +195,12 @@ def _hits_by_edits(model):
         for batch in batches:
             rows = []
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                match = _automaton(model.value).match
-                rows += [(k, e, y) for e, k in set(map(match, words_of(text))) - {None}]
+                # Every entry that catches a token counts, since another with fewer edits may be narrowed.
+                match, least = _automaton(model.value).match_all, {}
+                for token in words_of(text) | {token for _, _, token, _ in disguised_of((text or "").lower())}:
+                    for k, e in match(token).items():
+                        least.setdefault(k, set()).add(e)
+                rows += [(k, e, y) for k, edits in least.items() for e in edits]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int32()) for i in range(3)], names=["k", "e", "y"])
 
     return lean(run)

@@ -101,3 +101,28 @@ def test_a_term_that_clean_documents_quote_is_learned(frame):
     assert "vileterm" in {e[0] for e in model["entries"]}
     found = {r.doc_id: r.score >= toxicity.THRESHOLD for r in toxicity.scores(docs, model).collect()}
     assert found == {d: y for d, _, y in rows}
+
+
+def test_digits_and_symbols_inside_a_term_are_edits():
+    model = {"entries": [("idiot", False, 1, 6.0), ("scum", False, 1, 6.0), ("skunk", True, 0, 6.0)], "intercept": -3.0, "slope": 3.0}
+    text = "You id1ot, i_diot! s*um, sc.um @t 3rd skunk-like x1y2z3 _scum_ $cum"
+    hits = toxicity.find_hits(text, model)
+    assert [(text[a:b], e) for a, b, _, e, _ in hits] == [
+        ("id1ot", 1), ("diot", 1), ("s*um", 1), ("sc.um", 1), ("skunk", 0), ("scum", 0), ("cum", 1)
+    ]
+
+
+def test_short_terms_may_have_an_edit_where_clean_documents_allow_it(frame):
+    rows = [(d, t.replace("vileterm", "scum"), y) for d, t, y in corpus()]
+    labels = frame([(d, int(y)) for d, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.fit(frame([r[:2] for r in rows]), labels)
+    assert [toxicity.find_hits(t, model) != [] for t in ("scumm", "sccum", "sc0m")] == [True] * 3
+    near = [(d, t if y else t + " scam", y) for d, t, y in rows]
+    model = toxicity.fit(frame([r[:2] for r in near]), labels)
+    assert toxicity.find_hits("scam", model) == [] != toxicity.find_hits("scum", model)
+
+
+def test_every_entry_that_matches_is_told():
+    automaton = LexiconAutomaton([("scum", False, 1), ("slum", False, 1), ("sc", True, 0)])
+    assert automaton.match_all("scum") == {0: 0, 1: 1, 2: 0}
+    assert automaton.match_all("sum") == {0: 1, 1: 1}
