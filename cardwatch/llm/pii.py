@@ -7,8 +7,10 @@ their digits. They are the seeds of a bootstrapped extraction: the words around
 are its lexical patterns, tokens that look like identifiers are further instances, and the
 graph of patterns and instances is scored in rounds. A pattern is trusted as far as the
 instances it brings are; an instance as far as its patterns are. Unknown instances in
-patterns that are trusted enough, and that enough different seeds confirm, become spans of
-kind ``id``.
+patterns that are trusted enough, and that enough different instances confirm, become spans
+of kind ``id``. Seeds confirm a pattern, and so do instances found by others once they are
+trusted enough, so a pattern needs no seed of its own. Rounds go on until no more patterns
+or instances pass.
 
 How positions are found: every match is set between marks, and the text split there, so
 one pass gives the matches and what lies between them. Marks in a text are replaced by
@@ -130,14 +132,17 @@ def trusted_patterns(
     """pattern, score of the patterns worth following.
 
     Patterns no seed has can't gain trust before an instance of theirs has, so each round
-    is two grouped sums over the edges, pre-aggregated before the shuffle.
+    is two grouped sums over the edges, pre-aggregated before the shuffle. Scores and beliefs
+    only grow. After ``rounds`` rounds, further ones follow as long as one brings a pattern or
+    an instance over a threshold.
     """
     edges = stash(_edges(scanned), "edges")
     belief = edges.groupBy("instance").agg(F.max("seed").alias("seed")).select("instance", F.col("seed").cast("double").alias("belief"))
-    for _ in range(rounds):
+    done, passed, before = 0, None, None
+    while done < rounds or passed != before:
         score = (
             edges.join(belief, "instance").groupBy("pattern")
-            .agg(F.sum("belief").alias("sure"), F.count(F.lit(1)).alias("n"), F.count_if("seed").alias("seeds"))
+            .agg(F.sum("belief").alias("sure"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("belief") >= trust).alias("seeds"))
             .select("pattern", (F.col("sure") / (F.col("n") + 1)).alias("score"), "seeds")
         )
         score = stash(score, "patterns")
@@ -148,6 +153,11 @@ def trusted_patterns(
             .select("instance", F.when(F.col("seed"), 1.0).otherwise(1 - F.exp("doubt")).alias("belief"))
         )
         belief = stash(belief, "beliefs")
+        done += 1
+        if done >= rounds - 1:
+            before, passed = passed, (
+                *strong.agg(F.count(F.lit(1)), F.count_if(F.col("score") >= trust)).first(), belief.where(F.col("belief") >= trust).count()
+            )
     return score.where((F.col("seeds") >= least_seeds) & (F.col("score") >= trust)).select("pattern", "score")
 
 

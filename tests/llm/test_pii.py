@@ -78,3 +78,15 @@ def test_overlapping_spans_become_one(frame):
 def test_empty_table(frame):
     assert pii.personal_spans(frame([])).collect() == []
     assert pii.redact(frame([])).collect() == []
+
+
+def test_found_identifiers_confirm_further_contexts(frame):
+    rows = [(k, f"please write to user{k}@mail.org now") for k in range(60)]
+    rows += [(100 + k, f"please write to member-77{k} now") for k in range(10)]
+    # A context beside found identifiers only, and one beside what that one finds.
+    rows += [(200 + k, f"our member no member-77{k} today") for k in range(10)] + [(300 + k, f"our member no card-55{k} today") for k in range(1)]
+    rows += [(400, "some other no card-999 later")]
+    found = {r.doc_id: [tuple(s) for s in r.found] for r in pii.personal_spans(frame(rows)).collect()}
+    assert found[100] == [("id", 16, 26)] and found[200] == [("id", 14, 24)]
+    assert found[300] == [("id", 14, 22)]
+    assert found[400] == []
