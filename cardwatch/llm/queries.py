@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardwatch.llm import chat_tools, decontaminate, html_text, ngram_join, piece_codec, pii, quality_gam, quality_rules, toxicity, url_filter
+from cardwatch.llm import (
+    chat_tools, decontaminate, html_text, line_runs, merkle_log, ngram_join, piece_codec, pii, prefix_trie, quality_gam,
+    quality_rules, toxicity, url_filter,
+)
 from cardwatch.llm.base import prepare, table
 
 URL_RULES = [
@@ -99,6 +102,23 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_log.proofs(table(spark, sf_dir, "documents"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_runs.drop_lines(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256")
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_chat_tool_links, op2_ngram_jaccard_join, op3_url_filters, op4_quality_rules, op5_quality_gam, op6_html_extraction, op7_pii, op8_sentencepiece, op9_toxicity, op10_decontamination)
+    every = (
+        op1_chat_tool_links, op2_ngram_jaccard_join, op3_url_filters, op4_quality_rules, op5_quality_gam, op6_html_extraction, op7_pii,
+        op8_sentencepiece, op9_toxicity, op10_decontamination, op11_conversation_prefix_trie, op12_merkle_manifest, op13_line_dedup,
+    )
     return {f.__name__: (lambda spark, sf_dir, f=f: f(prepare(spark), sf_dir)) for f in every}
