@@ -162,7 +162,9 @@ def rollup(walked: DataFrame, values: DataFrame, deepest: int, band: int = BAND)
     raised = F.expr(f"depth div {band}")
     roots = values.where(band_roots).select(*_KEY, *_CONV, raised.alias("depth"))
     above = walked.where(band_roots).select(*_CONV, raised.alias("depth"), *_KEY)
-    completed = stash(rollup(above, roots.join(within, _KEY), deepest // band, band), "band-totals")
+    # A root without anything in its band still stands for what is below the band.
+    raised_values = roots.join(within, _KEY, "left").fillna(0, ["leaves", "saved"])
+    completed = stash(rollup(above, raised_values, deepest // band, band), "band-totals")
     crossing = roots.where("depth > 0").join(completed, _KEY).withColumn("band", F.col("depth") - 1)
     handed = crossing.drop(*_KEY).join(paths, [*_CONV, "band"]).select(F.explode("path").alias("p"), "leaves", "saved")
     return _totals(within.unionByName(handed.select("p.k1", "p.k2", "leaves", "saved")))

@@ -12,8 +12,8 @@ def test_query_matches_sql(lm, sf, name):
     assert differences(registered.queries()[name](lm, sf), connection(sf), oracle.oracle_sql()[name]) == []
 
 
-def test_all_ten_and_the_pipeline_are_registered():
+def test_all_thirteen_and_the_pipeline_are_registered():
     names = set(registered.queries())
-    assert {n.split("_")[0] for n in queries.queries()} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.queries()} == {f"op{k}" for k in range(1, 14)}
     assert set(queries.queries()) | {"pipeline"} <= names
     assert set(oracle.oracle_sql()) <= set(registered.oracle_sql())
