@@ -8,7 +8,14 @@ Of equal scores the longer last piece wins.
 No piece holds a space behind another character (checked when the vocabulary is read), so
 a text falls apart before every run of spaces, and at line ends, without a change of the
 result. The parts of a batch are encoded together, each distinct part once, position by
-position over arrays.
+position over arrays. A very long part (a text without spaces) is cut into windows that run
+together, too: each begins some way before its own stretch, and counts only if its scores
+there differ from those of the window before by one constant, over as many positions as the
+longest piece has bytes. From there on both would choose alike, so the result is that of one
+pass; a window that fails begins further back. Scores are multiples of 2 ** -20, so sums are exact.
+
+The automaton is built once, on the driver, and written to the shared folder. Workers map
+the file, so all workers of a machine share its pages and none holds a copy.
 
 Encoding puts one space in front (as the vocabulary expects) and keeps every other
 character: decoding gives back the exact text. Spaces are the vocabulary's own sign; that
@@ -25,16 +32,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from cardwatch.llm.base import lean
+from cardwatch.llm.shared_arrays import SharedArrays, share
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MOST_PIECES = 1_000_000
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 1_000_000
 CELLS = 500_000
+# Bytes of a part that is cut into windows, of a window's own stretch, and of its way before that.
+LONG = 4096
+STRETCH = 1024
+LEAD = 256
+_GRID = 2.0**20
 
 _SPACE = "▁"
 _PART = re.compile(rb"\n| +[^ \n]*|[^ \n]+")
@@ -42,6 +54,8 @@ _PART = re.compile(rb"\n| +[^ \n]*|[^ \n]+")
 
 def read_vocabulary(path: str = VOCABULARY) -> dict:
     """Pieces as bytes (spaces as spaces) by id, their scores, and the ids of the 256 bytes."""
+    import sentencepiece  # the driver alone reads the file
+
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     size = model.get_piece_size()
     if size > MOST_PIECES:
@@ -59,7 +73,7 @@ def read_vocabulary(path: str = VOCABULARY) -> dict:
                 raise ValueError(f"piece {k} crosses a word boundary")
             pieces.append(name.replace(_SPACE, " ").encode())
             usable.append(k)
-        scores.append(model.get_score(k))
+        scores.append(round(model.get_score(k) * _GRID) / _GRID)
     if len(byte_ids) != 256:
         raise ValueError("the vocabulary has no piece for some bytes")
     least = min((scores[k] for k in usable if scores[k] > -1e8), default=0.0)
@@ -95,7 +109,7 @@ def build_automaton(vocabulary: dict) -> dict:
             order.append(child)
     piece_at = np.array(piece_at, np.int32)
     return {
-        "step": step.reshape(-1),
+        "step": step.reshape(-1).astype(np.uint16 if n <= 1 << 16 else np.int32),
         # The first state along the failure chain, itself included, where a piece ends; 0 if none.
         "output": np.where(piece_at >= 0, np.arange(n), link).astype(np.int32),
         "link": link,
@@ -103,19 +117,13 @@ def build_automaton(vocabulary: dict) -> dict:
         "length": np.array([len(p) for p in pieces], np.int32),
         "score": np.array(vocabulary["scores"], np.float64),
         "bytes": np.array(vocabulary["bytes"], np.int32),
-        "fallback": vocabulary["fallback"],
+        "fallback": np.array([vocabulary["fallback"]]),
+        "longest": np.array([max((len(pieces[k]) for k in vocabulary["usable"]), default=1)]),
     }
 
 
-def _automaton(vocabulary: dict) -> dict:
-    """Built once per worker process, with the broadcast vocabulary it belongs to."""
-    if "automaton" not in vocabulary:
-        vocabulary["automaton"] = build_automaton(vocabulary)
-    return vocabulary["automaton"]
-
-
-def _viterbi(parts: list[bytes], auto: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Token counts of the parts and their tokens in one row. Parts have similar lengths."""
+def _tables(parts: list[bytes], auto: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each part its length, and for each of its positions the best score up to there, the last token and its bytes."""
     size = np.array([len(p) for p in parts], np.int64)
     m, width = len(parts), int(size.max())
     text = np.zeros((m, width), np.uint8)
@@ -151,10 +159,17 @@ def _viterbi(parts: list[bytes], auto: dict) -> tuple[np.ndarray, np.ndarray]:
             rows, at = rows[at > 0], at[at > 0]
         rows = np.flatnonzero(~alone & inside[:, i])
         if len(rows):
-            score = best[rows, first[rows, i]] + auto["fallback"]
+            score = best[rows, first[rows, i]] + auto["fallback"][0]
             better = score > best[rows, i + 1]
             r = rows[better]
             best[r, i + 1], token[r, i + 1], back[r, i + 1] = score[better], auto["bytes"][text[r, i]], 1
+    return size, best, token, back
+
+
+def _viterbi(parts: list[bytes], auto: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Token counts of the parts and their tokens in one row. Parts have similar lengths."""
+    size, _, token, back = _tables(parts, auto)
+    m = len(parts)
     # Back from the ends, all parts at once.
     count, steps = np.zeros(m, np.int64), []
     rows, place = np.arange(m), size.copy()
@@ -170,10 +185,64 @@ def _viterbi(parts: list[bytes], auto: dict) -> tuple[np.ndarray, np.ndarray]:
     return count, out
 
 
+def _long_viterbi(part: bytes, auto: dict) -> np.ndarray:
+    """The tokens of one long part, from windows that run together."""
+    n, longest = len(part), int(auto["longest"][0])
+    starts = np.flatnonzero((np.frombuffer(part, np.uint8) & 0xC0) != 0x80)
+
+    def start_before(place: int) -> int:
+        """Where the last character begins that begins there or before."""
+        return int(starts[max(0, np.searchsorted(starts, place, side="right") - 1)])
+
+    cuts = sorted({0, *(start_before(c) for c in range(STRETCH, n, STRETCH))}) + [n]
+    token, back = np.zeros(n + 1, np.int32), np.ones(n + 1, np.int32)
+    before: np.ndarray | None = None  # the true scores at the last positions up to the cut, but for a constant
+
+    def run(wanted: list[tuple[int, int, int]]) -> list[tuple]:
+        _, best, tokens, backs = _tables([part[s:e] for s, _, e in wanted], auto)
+        return list(zip(best, tokens, backs))
+
+    def fits(best: np.ndarray, first: int, cut: int) -> bool:
+        own = best[max(0, cut - longest - first) : cut - first + 1]
+        if before is None or len(own) < len(before):
+            return before is None
+        known = before[len(before) - len(own) :]
+        finite = np.isfinite(known)
+        if not np.array_equal(finite, np.isfinite(own)):
+            return False
+        apart = known[finite] - own[finite]
+        return bool((apart == apart[0]).all())
+
+    windows = [(start_before(max(0, c - LEAD)), c, e) for c, e in zip(cuts, cuts[1:])]
+    together = max(1, CELLS // (STRETCH + LEAD))
+    for k in range(0, len(windows), together):
+        group = windows[k : k + together]
+        for (first, cut, end), found in zip(group, run(group)):
+            lead = LEAD
+            while first and not fits(found[0], first, cut):
+                lead *= 4
+                first = start_before(max(0, cut - lead))
+                found = run([(first, cut, end)])[0]
+            best, tokens, backs = found
+            token[cut + 1 : end + 1] = tokens[cut - first + 1 : end - first + 1]
+            back[cut + 1 : end + 1] = backs[cut - first + 1 : end - first + 1]
+            before = best[max(0, end - first - longest) : end - first + 1].copy()
+    out, place, tokens, backs = [], n, token.tolist(), back.tolist()
+    while place > 0:
+        out.append(tokens[place])
+        place -= backs[place]
+    return np.array(out[::-1], np.int32)
+
+
 def encode_parts(parts: list[bytes], auto: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and count of each part's tokens in a common row of tokens."""
-    order = sorted(range(len(parts)), key=lambda k: len(parts[k]))
+    order = sorted((k for k in range(len(parts)) if len(parts[k]) < LONG), key=lambda k: len(parts[k]))
     start, count, rows, k, at = np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64), [], 0, 0
+    for long in (k for k in range(len(parts)) if len(parts[k]) >= LONG):
+        tokens = _long_viterbi(parts[long], auto)
+        start[long], count[long] = at, len(tokens)
+        rows.append(tokens)
+        at += len(tokens)
     while k < len(order):
         short, stop = len(parts[order[k]]), k
         while stop < len(order) and len(parts[order[stop]]) <= short * 1.25 + 1 and (stop - k) * len(parts[order[stop]]) <= CELLS:
@@ -188,7 +257,7 @@ def encode_parts(parts: list[bytes], auto: dict) -> tuple[np.ndarray, np.ndarray
     return start, count, np.concatenate(rows) if rows else np.empty(0, np.int32)
 
 
-def encode_texts(texts: list[str | None], vocabulary: dict) -> tuple[np.ndarray, np.ndarray]:
+def encode_texts(texts: list[str | None], auto: dict) -> tuple[np.ndarray, np.ndarray]:
     """Where each text's ids end, and the ids of all texts in a row."""
     numbers: dict[bytes, int] = {}
     used, ends = [], []
@@ -196,7 +265,7 @@ def encode_texts(texts: list[str | None], vocabulary: dict) -> tuple[np.ndarray,
         if text:
             used += [numbers.setdefault(p, len(numbers)) for p in _PART.findall(b" " + text.encode())]
         ends.append(len(used))
-    start, count, tokens = encode_parts(list(numbers), _automaton(vocabulary))
+    start, count, tokens = encode_parts(list(numbers), auto)
     used = np.array(used, np.int64)
     times = count[used]
     after = np.cumsum(times)
@@ -225,10 +294,11 @@ def _chunks(batches, column: int) -> Iterator[tuple[list, list]]:
         yield kept, texts
 
 
-def _encode(vocabulary, column):
+def _encode(automaton: SharedArrays, column: int):
     def run(batches):
+        arrays = automaton.load()
         for kept, texts in _chunks(batches, column):
-            stop, ids = encode_texts(texts, vocabulary.value)
+            stop, ids = encode_texts(texts, arrays)
             bounds, at = np.concatenate([[0], stop]), 0
             for batch in kept:
                 own = bounds[at : at + batch.num_rows + 1]
@@ -263,7 +333,7 @@ def _without(df: DataFrame, *names: str) -> DataFrame:
 def encode(documents: DataFrame, vocabulary: dict) -> DataFrame:
     """The documents with n_tokens and token_ids of their texts (columns of these names are replaced)."""
     docs = _without(documents, "n_tokens", "token_ids")
-    known = docs.sparkSession.sparkContext.broadcast(dict(vocabulary))
+    known = share(docs.sparkSession, build_automaton(vocabulary), "pieces")
     schema = T.StructType([*docs.schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("token_ids", T.ArrayType(T.IntegerType()))])
     return docs.mapInArrow(_encode(known, docs.columns.index("text")), schema)
 
@@ -271,6 +341,6 @@ def encode(documents: DataFrame, vocabulary: dict) -> DataFrame:
 def decode(encoded: DataFrame, vocabulary: dict, name: str = "decoded") -> DataFrame:
     """The rows with the text of their token_ids."""
     rows = _without(encoded, name)
-    known = rows.sparkSession.sparkContext.broadcast(dict(vocabulary))
+    known = rows.sparkSession.sparkContext.broadcast({"pieces": vocabulary["pieces"]})
     schema = T.StructType([*rows.schema.fields, T.StructField(name, T.StringType())])
     return rows.mapInArrow(_decode(known, rows.columns.index("token_ids"), name), schema)

@@ -1,13 +1,17 @@
 """Encoding against a plain Viterbi, and exact round trips."""
 
+import random
+import time
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from cardwatch.llm import base, piece_codec
+from cardwatch.llm import base, piece_codec, shared_arrays
 
 VOCABULARY = piece_codec.read_vocabulary()
+AUTOMATON = piece_codec.build_automaton(VOCABULARY)
 BY_TEXT = {}
 for _k in VOCABULARY["usable"]:
     BY_TEXT.setdefault(VOCABULARY["pieces"][_k], _k)
@@ -34,7 +38,7 @@ def brute(text):
 
 
 def encoded(texts):
-    stop, ids = piece_codec.encode_texts(texts, VOCABULARY)
+    stop, ids = piece_codec.encode_texts(texts, AUTOMATON)
     bounds = [0, *stop.tolist()]
     return [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)]
 
@@ -73,6 +77,41 @@ def test_edge_cases(frame):
     assert piece_codec.encode(frame([]), VOCABULARY).collect() == []
 
 
+def _unbroken(kind, n, chance):
+    letters = {"latin": "etaoinshrdlucmfw", "same": "a", "han": "日本語中文字符的是不了人我在有他这", "mixed": "abé日😀▁x0", "dots": ".", "period": "ababab"}[kind]
+    return "".join(chance.choice(letters) for _ in range(n)) if kind != "period" else "abc" * (n // 3)
+
+
+@pytest.mark.parametrize("kind", ["latin", "same", "han", "mixed", "dots", "period"])
+def test_long_texts_without_spaces_equal_plain_viterbi(kind, monkeypatch):
+    """Windows of a long part give what one pass gives, also where they must begin further back."""
+    monkeypatch.setattr(piece_codec, "LONG", 200)
+    monkeypatch.setattr(piece_codec, "STRETCH", 64)
+    chance = random.Random(kind)
+    for lead in (1, 20, 256):
+        monkeypatch.setattr(piece_codec, "LEAD", lead)
+        texts = [_unbroken(kind, n, chance) for n in (199, 200, 333, 2000)]
+        assert encoded(texts) == [brute(t) for t in texts]
+
+
+def test_long_texts_keep_the_pace():
+    """A text of one word is no slower by far than a text of many."""
+    chance = random.Random(1)
+    long = _unbroken("latin", 200_000, chance)
+    start = time.perf_counter()
+    ids = encoded([long, _unbroken("han", 100_000, chance)])
+    took = time.perf_counter() - start
+    assert [piece_codec.decode_ids(i, VOCABULARY) for i in ids][0] == long
+    assert took < 5
+
+
+def test_workers_map_the_arrays(lm, tmp_path):
+    held = shared_arrays.share(lm, {"a": np.arange(7, dtype=np.uint16), "b": np.array([[1.5, 2.5]])}, "test")
+    read = held.load()
+    assert read["a"].tolist() == list(range(7)) and read["b"].tolist() == [[1.5, 2.5]]
+    assert not read["a"].flags.writeable
+
+
 def test_unknown_ids_fail():
     with pytest.raises(IndexError):
         piece_codec.decode_ids([10**6], VOCABULARY)
