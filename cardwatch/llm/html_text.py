@@ -6,13 +6,17 @@ equivalence class. Classes with enough tokens and pages make up the host's templ
 a page, a class is valid if its tokens come in the template's order, turn by turn, and the
 valid classes nest: what lies between their tags are slots. Which slots are the article
 is told by the names of elements (``article``, ``main``), since menus and footers have
-slots of their own. Blocks that belong to the template themselves (the same text on most
-pages) are not slots, in an article only if their class is valid on the page. An article
-that would lose more than half of its text that way (pages that are near copies of each
-other) loses only blocks that are on every page of the host, and never its whole text.
-Elements that their tag, class, id or role names as menus, headers, footers, sidebars,
-notices, adverts, forms or comments are left out wherever they are, as are scripts, styles
-and markup.
+slots of their own. A block that belongs to the template itself (the same text on nearly all
+pages, its class valid on this one) is no slot. An article loses such blocks before and
+behind its own text only, so what pages share in the middle of their text stays, and an
+article of nothing else stays whole.
+
+Elements whose tag says that they are menus, headers, footers, sidebars or forms are left
+out, as are scripts, styles and markup, and elements that have the attribute ``hidden``.
+Containers that a whole class, an id or a role names as such (``sidebar``, ``cookie-notice``,
+not ``has-sidebar``) are left out, too, but no heading is, and no name speaks about an article
+that isn't inside another: where a page's only article stands in a form or a container so
+named, it is the article.
 
 A vector is kept as the exclusive or of a hash of (page, count), so a host's pages are
 never gathered: tokens are summed by (host, token), then by (host, vector). Every token
@@ -43,7 +47,7 @@ from cardwatch.llm.url_filter import HOST
 LEAST_PAGES = 3
 SUPPORT = 0.3
 CLASS_TOKENS = 2
-CONSTANT = 0.5
+NEARLY_ALL = 0.9
 # Rows of one batch of page tokens, so that long pages don't add up.
 TOKEN_ROWS = 50_000
 
@@ -72,24 +76,42 @@ ENDED_BY = {
 # A tag ends at the first > outside quotes, or, where its quotes don't close in time, at the first of all.
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]{0,4096}"|'[^']{0,4096}')*+)>""")
 _OTHER = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<", re.S)
-_NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+# Elements whose class, id or role says nothing about what they are.
+NAMELESS = frozenset("html body article main h1 h2 h3 h4 h5 h6 p".split())
+# How far a part is left out: not, by a name or a form around it (an article inside is none the less), for good.
+KEPT, NAMED, GONE = 0, 1, 2
+# Whether a part is in no article, in one, or in one that a named part holds.
+OUTSIDE, ARTICLE_PART, NAMED_ARTICLE = 0, 1, 2
 
 
-def _names(attributes: str) -> set[str]:
-    if not attributes:
-        return set()
-    return {w for m in _NAMED.finditer(attributes) for w in re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower()) if w}
+def _attributes(text: str) -> dict[str, str]:
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(text):
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return found
+
+
+def _names(attributes: dict[str, str]) -> set[str]:
+    """Whole classes, the id and the role, lower-cased."""
+    return {name for a in ("class", "id", "role") for name in attributes.get(a, "").lower().split()}
+
+
+def _is_left_out(name: str) -> bool:
+    """All words of the name are listed; numbers don't matter."""
+    words = [w for w in re.split(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])", name) if w and not w.isdigit()]
+    return bool(words) and all(w in LEFT_OUT_NAMES for w in words)
 
 
 def read_page(html: str | None) -> list[tuple]:
     """The page in order: ('open' or 'close' or 'text', way, element or text, left out, in article).
 
     way: hash of the elements from the root. Text is one block, references decoded and white
-    space made single. What is left out and in an article holds for the inside of an element.
+    space made single. What is left out (KEPT, NAMED, GONE) and in an article (OUTSIDE,
+    ARTICLE_PART, NAMED_ARTICLE) holds for the inside of an element.
     """
     out: list[tuple] = []
-    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
+    stack: list[tuple[str, int, int, int]] = [("", 0, KEPT, OUTSIDE)]
     pieces: list[str] = []
 
     def end_block():
@@ -138,10 +160,18 @@ def read_page(html: str | None) -> list[tuple]:
             continue
         while len(stack) > 1 and name in ENDED_BY.get(stack[-1][0], ()):
             pop()
-        names = _names(m[3])
+        attributes = _attributes(m[3]) if m[3] else {}
+        names = _names(attributes)
         way = xxhash.xxh3_64_intdigest(f"{stack[-1][1]}/{name}.{' '.join(sorted(names))}") >> 1
-        gone = stack[-1][2] or name in LEFT_OUT or bool(names & LEFT_OUT_NAMES) or bool(m[3] and _HIDDEN.search(m[3]))
-        article = stack[-1][3] or name in ARTICLE
+        gone, article = stack[-1][2], stack[-1][3]
+        if name in ARTICLE and article == OUTSIDE and gone != GONE:
+            article, gone = (NAMED_ARTICLE if gone == NAMED else ARTICLE_PART), KEPT
+        elif "hidden" in attributes or name in LEFT_OUT and name != "form":
+            gone = GONE
+        elif name == "form" or (name not in NAMELESS or article and name in ARTICLE) and any(map(_is_left_out, names)):
+            gone = max(gone, GONE if article else NAMED)
+        if "hidden" in attributes:
+            gone = GONE
         out.append(("open", way, name, gone, article))
         if name in VOID:
             out.append(("close", way, name, gone, article))
@@ -181,14 +211,14 @@ def valid_tokens(items: list[tuple], template: dict[int, tuple[int, int]]) -> se
     return valid
 
 
-def slots(items: list[tuple], valid: set[int] | None) -> list[tuple[bool, list[tuple]]]:
-    """(in article, text items) of what lies between the template's tags, without what is left out.
+def slots(items: list[tuple], valid: set[int] | None) -> list[tuple[int, list[tuple]]]:
+    """(which article part, text items) of what lies between the template's tags, without what is left out.
 
     valid: the template tokens of the page; None takes every tag for one.
     """
-    out: list[tuple[bool, list[tuple]]] = []
+    out: list[tuple[int, list[tuple]]] = []
     # One entry for each open element; those that aren't the template's hold what is around them.
-    around = [(False, False)]
+    around = [(KEPT, OUTSIDE)]
     for item in items:
         kind, _, _, gone, article = item
         if kind == "text":
@@ -207,24 +237,25 @@ def slots(items: list[tuple], valid: set[int] | None) -> list[tuple[bool, list[t
     return out
 
 
-def main_text(
-    html: str | None, template: dict[int, tuple[int, int]], constant: frozenset[int], everywhere: frozenset[int] = frozenset()
-) -> str:
-    """The article's slots, without an article all slots, but for blocks that are constant on the host.
+def _without_frame(texts: list[tuple], known: frozenset[int] | set[int]) -> list[tuple]:
+    """The blocks from the first to the last that isn't known; all if every block is."""
+    own = [k for k, item in enumerate(texts) if token_of(item) not in known]
+    return texts[own[0] : own[-1] + 1] if own else texts
 
-    everywhere: the constant blocks that are on every page of the host.
+
+def main_text(html: str | None, template: dict[int, tuple[int, int]], constant: frozenset[int]) -> str:
+    """The article's slots, without an article all slots, but for blocks of the host's template.
+
+    constant: the template's blocks of text that are on nearly all pages.
     """
     items = read_page(html)
     valid = valid_tokens(items, template)
     found = slots(items, valid or None)
-    whole = [i for article, texts in found if article for i in texts]
-    if not whole:
-        return "\n\n".join(i[2] for _, texts in found for i in texts if token_of(i) not in constant)
-    for known in (constant & valid, everywhere & valid):
-        chosen = [i for i in whole if token_of(i) not in known]
-        if 2 * sum(len(i[2]) for i in chosen) >= sum(len(i[2]) for i in whole):
-            break
-    return "\n\n".join(i[2] for i in chosen or whole)
+    for part in (ARTICLE_PART, NAMED_ARTICLE):
+        whole = [i for article, texts in found if article == part for i in texts]
+        if whole:
+            return "\n\n".join(i[2] for i in _without_frame(whole, constant & valid))
+    return "\n\n".join(i[2] for _, texts in found for i in texts if token_of(i) not in constant)
 
 
 @lean
@@ -254,7 +285,7 @@ def _page_tokens(batches):
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, tokens (token, class, place in the class, constant, everywhere) of every host with enough pages.
+    """host, tokens (token, class, place in the class, constant) of every host with enough pages.
 
     pages: host, page, html.
     """
@@ -274,8 +305,7 @@ def templates(pages: DataFrame) -> DataFrame:
         "host",
         F.struct(
             F.col("m.token").alias("token"), F.col("vector").alias("of_class"), F.col("at").cast("long").alias("place"),
-            (F.col("m.is_text") & (F.col("on") >= CONSTANT * F.col("pages"))).alias("constant"),
-            (F.col("m.is_text") & (F.col("on") == F.col("pages"))).alias("everywhere"),
+            (F.col("m.is_text") & (F.col("on") >= NEARLY_ALL * F.col("pages"))).alias("constant"),
         ).alias("t"),
     )
     return each.groupBy("host").agg(F.collect_list("t").alias("tokens"))
@@ -293,7 +323,6 @@ def _extract(batches):
                 known = tokens.as_py() or []
                 ready[host] = (
                     {t["token"]: (t["of_class"], t["place"]) for t in known}, frozenset(t["token"] for t in known if t["constant"]),
-                    frozenset(t["token"] for t in known if t["everywhere"]),
                 )
             texts.append(main_text(html, *ready[host]))
         yield pa.RecordBatch.from_arrays(

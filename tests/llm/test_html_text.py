@@ -35,6 +35,33 @@ def test_single_pages(source, text):
     assert html_text.main_text(source, {}, frozenset()) == text
 
 
+@pytest.mark.parametrize("source", [
+    '<article title="The hidden cost of X"><p>kept</p></article>', '<article data-note="a hidden gem"><p>kept</p></article>',
+    '<body class="has-sidebar"><article><p>kept</p></article></body>', '<main class="main no-sidebar"><p>kept</p></main>',
+    '<article data-id="widget-7"><p>kept</p></article>', '<form id="aspnetForm"><article><p>kept</p></article></form>',
+    '<article><h1 id="search">kept</h1></article>', '<article class="promo"><p>kept</p></article>',
+    '<div class="sidebar"><article><p>kept</p></article></div>', '<div class="menu"><p>no</p></div><div><main><p>kept</p></main></div>',
+    '<article><p>kept</p><section class="comments"><article class="comment"><p>no</p></article></section></article>',
+    '<article><p>kept</p></article><div id="comments"><article><p>no</p></article></div>',
+    '<article><p>kept</p><div hidden>no</div><div hidden="">no</div><p HIDDEN>no</p></article>',
+    '<article><p>kept</p><div class="Cookie-Notice x">no</div><div id=widget-7>no</div><div role="navigation">no</div></article>',
+    '<article><p>kept</p><article class="comment"><p>no</p></article></article>', '<aside><article><p>no</p></article></aside><article>kept</article>',
+])
+def test_attributes_are_read_as_attributes(source):
+    assert html_text.main_text(source, {}, frozenset()) == "kept"
+
+
+def test_paragraphs_that_pages_share_stay(frame):
+    """Three of six pages share two paragraphs; five of five share one in the middle of their text."""
+    shared = "<p>A paragraph that some pages share.</p><p>And a second one.</p>"
+    rows = [(k, "http://six.org/x", f"<article><p>Own {k}</p>{shared if k < 3 else ''}<p>End {k}</p></article>") for k in range(6)]
+    rows += [(10 + k, "http://five.org/x", f"<article><p>Own {k}</p><p>In all of them.</p><p>End {k}</p></article>") for k in range(5)]
+    found = {r.page_id: r.text for r in html_text.extract(frame(rows, PAGES)).collect()}
+    assert found[1] == "Own 1\n\nA paragraph that some pages share.\n\nAnd a second one.\n\nEnd 1"
+    assert found[4] == "Own 4\n\nEnd 4"
+    assert found[12] == "Own 2\n\nIn all of them.\n\nEnd 2"
+
+
 def test_template_of_a_host_without_articles(frame):
     rows = [(k, "http://h.org/x", page(k, f"<div><p>Same line.</p><p>Own {k}</p>" + "<p>more</p>" * k + "</div>")) for k in range(8)]
     rows += [(100, "http://alone.org/", page(100, "<div><p>Same line.</p></div>")), (101, None, None), rows[0]]
