@@ -11,12 +11,18 @@ sorted, no white space, arguments as their own canonical JSON.
 
 Topological order without gathering a conversation: a call's place is the larger of its
 own and the places of the calls it needs (``after``). As long as calls need earlier ones,
-which is the rule, their own places are such an order already. Only where a call needs a
-later one are places passed on, round by round, until they stand still; the number of
-rounds is the longest chain of such calls. ``order_key`` sorts a conversation.
-
-Defined cases: null texts hold no call. A call without an id gets none of the results and
-keeps its place. Repeated rows are one. Different calls, or results, with the same id in a
+which is the rule, their own places are such an order already. Only between a call and a
+later one that it needs are places passed on, until they stand still. Each round passes them
+from need to call and jumps along one path of needs, twice as far each time, so a chain
+takes rounds by the logarithm of its length. A call that more hops reach than there are calls
+between is in a circle, or behind one. ``order_key`` sorts a conversation.
+
+All events of an identifier are brought together once, with their texts; numbering, runs and
+linking follow in place.
+
+Defined cases: null texts hold no call. A call whose markup is no JSON keeps its raw text as its
+arguments. Arguments given as a JSON text of an object are that object. A call without an id gets
+none of the results and keeps its place. Repeated rows are one. Different calls, or results, with the same id in a
 conversation all count with ``every``: runs of calls and the results behind them belong
 together, the first call with the first result and so on; a call after the first of its id
 is reported as a duplicate, and a result beyond the calls of its run is a row of its own.
@@ -61,9 +67,12 @@ def marked_calls(messages: DataFrame) -> DataFrame:
     """The calls in the markup of assistant turns."""
     found = _turns(messages).where("role = 'assistant' and contains(text, '<tool_call>')")
     found = found.select("conv_id", "turn", F.posexplode(F.regexp_extract_all("text", F.lit(CALL), F.lit(1))).alias("place", "raw"))
-    return found.withColumn("payload", F.expr("try_parse_json(raw)")).selectExpr(
+    given = found.selectExpr("*", "try_parse_json(raw) as payload").selectExpr("*", "try_variant_get(payload, '$.arguments', 'variant') as given")
+    given = given.selectExpr("*", "if(schema_of_variant(given) = 'STRING', cast(given as string), null) as said")
+    return given.selectExpr(
         "conv_id", "turn", "cast(place as long) as place", f"{_field('id')} as call_id", f"{_field('name')} as name",
-        "to_json(variant_get(payload, '$.arguments', 'variant')) as arguments",
+        """case when payload is null then to_json(named_struct('raw', raw))
+                when schema_of_variant(try_parse_json(said)) like 'OBJECT%' then said else to_json(given) end as arguments""",
         "coalesce(try_variant_get(payload, '$.after', 'array<string>'), cast(array() as array<string>)) as after",
     )
 
@@ -93,35 +102,32 @@ def turn_results(messages: DataFrame) -> DataFrame:
     )
 
 
-def _firsts(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """The first row of each id with ``copies``, how many different rows had it; rows without id as they are."""
-    rest = [c for c in columns if c not in ("conv_id", "call_id")]
-    named = rows.where("call_id is not null").groupBy(*columns).agg(F.lit(1).alias("one"))
-    first = named.groupBy("conv_id", "call_id").agg(F.min(F.struct(*rest)).alias("s"), F.count("one").alias("copies"))
-    return first.select("conv_id", "call_id", "s.*", "copies").unionByName(
-        rows.where("call_id is null").select(*columns).distinct().withColumn("copies", F.lit(1).cast("long"))
-    )
-
+_CALL = {"name": "string", "arguments": "string", "after": "array<string>"}
+_NOTHING = "cast(null as {kind}) as {name}"
 
-def _numbered(calls: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Every different call and result, with ``run`` and ``at``, by which they are linked, and ``k``, the call's number in its id.
 
-    Both have ``copies``, over 1 for duplicates; results have ``known``, whether their id has a call.
-    """
-    none = ["run", "at", "k"]
-    sides = [(calls, CALL_COLUMNS, 0), (results, RESULT_COLUMNS, 1)]
-    shape = {"name": "string", "arguments": "string", "after": "array<string>", "content": "string"}
-    events = [
-        rows.where("call_id is not null").select(*columns).distinct().select(
+def _events(calls: DataFrame, results: DataFrame) -> DataFrame:
+    """Every different call (kind 0) and result (kind 1) that has an id, all of one id in one partition."""
+    shape = {**_CALL, "content": "string"}
+    parts = [
+        rows.where("call_id is not null").select(
             "conv_id", "call_id", "turn", "place", F.lit(kind).alias("kind"),
-            *((F.col(c) if c in columns else F.lit(None)).cast(t).alias(c) for c, t in shape.items()),
+            *((F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c) for c, t in shape.items()),
         )
-        for rows, columns, kind in sides
+        for kind, rows in enumerate((calls, results))
     ]
+    together = parts[0].unionByName(parts[1]).repartition("conv_id", "call_id")
+    return together.distinct()
+
+
+def _numbered(events: DataFrame) -> DataFrame:
+    """Events with ``run`` and ``at``, by which they are linked, and ``k``, the number of a call in its id.
+
+    ``copies`` is over 1 for duplicates; ``known`` tells whether the id has a call.
+    """
     of_id = Window.partitionBy("conv_id", "call_id")
-    in_order = ("turn", "kind", "place", *shape)
-    found = events[0].unionByName(events[1])
-    found = found.withColumn("starts", F.expr("kind = 0") & (F.coalesce(F.lag("kind").over(of_id.orderBy(*in_order)), F.lit(1)) == 1))
+    in_order = ("turn", "kind", "place", *_CALL, "content")
+    found = events.withColumn("starts", F.expr("kind = 0") & (F.coalesce(F.lag("kind").over(of_id.orderBy(*in_order)), F.lit(1)) == 1))
     found = found.withColumn("run", F.sum(F.col("starts").cast("long")).over(of_id.orderBy(*in_order).rowsBetween(Window.unboundedPreceding, 0)))
     # Results before the first call serve it only if none behind it does.
     found = found.withColumn("early", F.col("run") == 0).withColumn("run", F.greatest("run", F.lit(1)))
@@ -131,48 +137,114 @@ def _numbered(calls: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFram
         F.row_number().over(Window.partitionBy("conv_id", "call_id", "kind").orderBy(*in_order)).cast("long").alias("k"),
         F.count_if(F.expr("kind = 0")).over(of_run).alias("in_run"), (F.count_if(F.expr("kind = 0")).over(of_id) > 0).alias("known"),
     )
-    copies = {0: F.col("k"), 1: F.when(F.col("at") > F.greatest("in_run", F.lit(1)), 2).otherwise(1).cast("long")}
-    out = []
-    for rows, columns, kind in sides:
-        named = found.where(F.col("kind") == kind).select(*columns, *none, copies[kind].alias("copies"), "known")
-        nameless = rows.where("call_id is null").select(*columns).distinct().select(
-            *columns, *(F.lit(1).cast("long").alias(c) for c in (*none, "copies")), F.lit(False).alias("known")
-        )
-        out.append(named.unionByName(nameless))
-    return out[0], out[1]
+    surplus = F.when(F.col("at") > F.greatest("in_run", F.lit(1)), 2).otherwise(1).cast("long")
+    return found.withColumn("copies", F.when(F.col("kind") == 0, F.col("k")).otherwise(surplus))
+
+
+def _firsts(events: DataFrame) -> DataFrame:
+    """The first call and the first result of every id, numbered alike, with ``copies`` of either."""
+    rest = ("turn", "place", *_CALL, "content")
+    first = events.groupBy("conv_id", "call_id", "kind").agg(F.min(F.struct(*rest)).alias("s"), F.count(F.lit(1)).alias("copies"))
+    one = F.lit(1).cast("long")
+    return first.select("conv_id", "call_id", "kind", "s.*", "copies", *[one.alias(c) for c in ("run", "at", "k")], F.lit(False).alias("known"))
+
+
+def _linked(numbered: DataFrame, calls: DataFrame, results: DataFrame) -> DataFrame:
+    """A row per call with its result, and per result without a call. A side that is missing has no place."""
+    sides = [
+        F.max(F.when(F.col("kind") == kind, F.struct("turn", "place", "copies", *fields))).alias(side)
+        for kind, side, fields in ((0, "call", ("k", *_CALL)), (1, "result", ("content", "known")))
+    ]
+    both = numbered.groupBy("conv_id", "call_id", "run", "at").agg(*sides).select(
+        "conv_id", "call_id", "call.turn", "call.place", "call.name", "call.arguments", "call.after", "call.k", "call.copies",
+        F.col("result.turn").alias("r_turn"), F.col("result.place").alias("r_place"), F.col("result.content").alias("content"),
+        F.col("result.copies").alias("r_copies"), F.coalesce("result.known", F.lit(False)).alias("known"),
+    )
+
+    def nothing(**kinds: str) -> list[str]:
+        return [_NOTHING.format(name=name, kind=kind) for name, kind in kinds.items()]
+
+    lone_calls = calls.where("call_id is null").select(*CALL_COLUMNS).distinct().selectExpr(
+        *CALL_COLUMNS, "1L as k", "1L as copies", *nothing(r_turn="long", r_place="long", content="string", r_copies="long"), "false as known"
+    )
+    lone_results = results.where("call_id is null").select(*RESULT_COLUMNS).distinct().selectExpr(
+        "conv_id", "call_id", *nothing(turn="long", place="long", **_CALL, k="long", copies="long"),
+        "turn as r_turn", "place as r_place", "content", "1L as r_copies", "false as known",
+    )
+    return both.unionByName(lone_calls).unionByName(lone_results)
+
+
+_KEY = "coalesce(cast(conv_id as string), '') as c"  # no number is the empty text
+_ORDER = "c string, call_id string, k long, k_turn long, k_place long, hops long, circle boolean"
+
+
+def _needing_later(calls: DataFrame) -> DataFrame:
+    """The conversations (c) in which some call needs one that isn't before it, told by the first call of each id."""
+    slim = calls.where("call_id is not null").selectExpr(_KEY, "call_id", "struct(turn, place) as own", "after")
+    first = slim.groupBy("c", F.col("call_id").alias("needs")).agg(F.min("own").alias("first"))
+    needs = slim.select("c", "own", F.explode("after").alias("needs"))
+    return stash(needs.join(first, ["c", "needs"]).where("first >= own").select("c").distinct(), "later")
 
 
 def _order(calls: DataFrame) -> DataFrame:
-    """conv_id, call_id, k, k_turn, k_place, hops, circle of the calls whose place others move."""
+    """The places of calls that others move, by c, call_id and k. calls: c, call_id, k, turn, place, after."""
     calls = calls.where("call_id is not null")
-    edges = calls.select("conv_id", "call_id", "k", "turn", "place", F.explode("after").alias("needs"))
-    places = calls.where("k = 1").select("conv_id", F.col("call_id").alias("needs"), F.col("turn").alias("n_turn"), F.col("place").alias("n_place"))
-    same = (edges["conv_id"].eqNullSafe(places["conv_id"])) & (edges["needs"] == places["needs"])
-    known = edges.join(places, same).select(edges["conv_id"], "call_id", "k", "turn", "place", edges["needs"], "n_turn", "n_place")
-    later = stash(known.where("struct(n_turn, n_place) >= struct(turn, place)").select(F.coalesce("conv_id", F.lit(-1)).alias("c")).distinct(), "later")
-    schema = "conv_id long, call_id string, k long, k_turn long, k_place long, hops long, circle boolean"
-    if later.isEmpty():
-        return calls.sparkSession.createDataFrame([], schema)
-    own = calls.selectExpr("coalesce(conv_id, -1) as c", "conv_id", "call_id", "k", "turn", "place").join(later, "c", "left_semi")
+    wanted = calls.select("c", F.explode("after").alias("needs"), "turn", "place", F.lit(None).cast("long").alias("n"), "call_id", "k")
+    given = calls.selectExpr("c", "call_id as needs", "turn", "place", "k as n", "cast(null as string) as call_id", "cast(null as long) as k")
     # Of the calls of a needed id the last before, or else the first.
-    wanted = known.selectExpr("coalesce(conv_id, -1) as c", "needs", "turn", "place", "cast(null as long) as n", "call_id", "k").join(later, "c", "left_semi")
-    given = own.selectExpr("c", "call_id as needs", "turn", "place", "k as n", "cast(null as string) as call_id", "cast(null as long) as k")
     before = Window.partitionBy("c", "needs").orderBy("turn", "place", F.col("n").isNotNull(), "n").rowsBetween(Window.unboundedPreceding, 0)
     edges = wanted.unionByName(given).withColumn("needs_k", F.coalesce(F.last("n", True).over(before), F.lit(1).cast("long")))
-    edges = stash(edges.where("call_id is not null").select("c", "call_id", "k", "needs", "needs_k"), "needs")
-    own = own.selectExpr("c", "conv_id", "call_id", "k", "struct(turn, place, 0L as hops) as label")
-    sizes = own.groupBy("c").agg(F.count(F.lit(1)).alias("size"))
-    labels = stash(own.join(sizes, "c").withColumn("circle", F.lit(False)), "labels")
+    edges = edges.where("call_id is not null").selectExpr("c", "call_id", "k", "struct(turn, place) as own", "needs", "needs_k")
+    places = calls.selectExpr("c", "call_id as needs", "k as needs_k", "struct(turn, place) as of_need")
+    edges = stash(edges.join(places, ["c", "needs", "needs_k"]), "needs")
+    members = stash(_between(calls, edges), "members")
+    schema_of_label = "struct(own.turn as turn, own.place as place, 0L as hops)"
+    inside = members.select("c", "call_id", "k", "size")
+    needed = inside.selectExpr("c", "call_id as needs", "k as needs_k")
+    edges = stash(edges.join(inside.drop("size"), ["c", "call_id", "k"]).join(needed, ["c", "needs", "needs_k"]).select(
+        "c", "call_id", "k", "needs", "needs_k", "of_need"
+    ), "edges")
+    # A path to jump along: first to the need that comes last.
+    jump = edges.groupBy("c", "call_id", "k").agg(F.max(F.struct("of_need", "needs", "needs_k")).alias("to"))
+    labels = members.join(jump, ["c", "call_id", "k"], "left").selectExpr(
+        "c", "call_id", "k", "size", f"{schema_of_label} as label", "to.needs as to_id", "to.needs_k as to_k", "1L as far", "false as circle"
+    )
+    labels = stash(labels, "labels")
     while True:
-        heard = edges.join(labels.select("c", F.col("call_id").alias("needs"), F.col("k").alias("needs_k"), F.col("label").alias("of")), ["c", "needs", "needs_k"])
-        heard = heard.groupBy("c", "call_id", "k").agg(F.max(F.expr("struct(of.turn as turn, of.place as place, of.hops + 1 as hops)")).alias("heard"))
-        new = labels.join(heard, ["c", "call_id", "k"], "left").withColumn("next", F.when(F.col("circle"), F.col("label")).otherwise(F.greatest("label", F.coalesce("heard", "label"))))
-        new = new.withColumn("circle", F.col("circle") | (F.col("next.hops") > F.col("size")))
-        new = stash(new.select("c", "conv_id", "call_id", "k", F.col("next").alias("label"), "size", "circle", (F.col("next") != F.col("label")).alias("moved")), "labels")
+        of = labels.selectExpr("c", "call_id as needs", "k as needs_k", "label as of")
+        heard = edges.join(of, ["c", "needs", "needs_k"]).groupBy("c", "call_id", "k").agg(
+            F.max(F.expr("struct(of.turn as turn, of.place as place, of.hops + 1 as hops)")).alias("heard")
+        )
+        ahead = labels.selectExpr("c", "call_id as to_id", "k as to_k", "label as there", "to_id as next_id", "to_k as next_k", "far as further")
+        new = labels.join(heard, ["c", "call_id", "k"], "left").join(ahead, ["c", "to_id", "to_k"], "left")
+        jumped = F.expr("if(there is null, null, struct(there.turn as turn, there.place as place, there.hops + far as hops))")
+        new = new.withColumn("best", F.when(F.col("circle"), F.col("label")).otherwise(F.greatest("label", "heard", jumped)))
+        new = stash(new.selectExpr(
+            "c", "call_id", "k", "size", "best as label", "next_id as to_id", "next_k as to_k",
+            "if(next_id is null, 0L, least(far + further, size + 1)) as far", "circle or best.hops > size as circle", "best <> label as moved",
+        ), "labels")
         labels = new.drop("moved")
         if new.where("moved").isEmpty():
             break
-    return labels.select("conv_id", "call_id", "k", F.col("label.turn").alias("k_turn"), F.col("label.place").alias("k_place"), "label.hops", "circle")
+    return labels.select("c", "call_id", "k", F.col("label.turn").alias("k_turn"), F.col("label.place").alias("k_place"), "label.hops", "circle")
+
+
+def _between(calls: DataFrame, edges: DataFrame) -> DataFrame:
+    """The calls from one that needs a later one up to that one, with how many lie in the same stretch: only these can move."""
+    back = edges.where("of_need >= own").select("c", F.col("own").alias("low"), F.col("of_need").alias("high"))
+    along = Window.partitionBy("c").orderBy("low", "high")
+    reach = F.max("high").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    parts = back.withColumn("opens", (reach.isNull() | (F.col("low") > reach)).cast("long"))
+    parts = parts.withColumn("stretch", F.sum("opens").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = parts.groupBy("c", "stretch").agg(F.min("low").alias("at"), F.max("high").alias("high"))
+    none = {"call_id": "string", "k": "long"}
+    marks = parts.select("c", "at", F.lit(0).alias("is_call"), "stretch", "high", *[F.lit(None).cast(t).alias(c) for c, t in none.items()])
+    own = calls.selectExpr("c", "struct(turn, place) as at", "1 as is_call", "cast(null as long) as stretch", "cast(null as struct<turn:long,place:long>) as high", "call_id", "k")
+    so_far = Window.partitionBy("c").orderBy("at", "is_call").rowsBetween(Window.unboundedPreceding, 0)
+    found = marks.unionByName(own).withColumns({c: F.last(c, True).over(so_far) for c in ("stretch", "high")})
+    found = found.where("is_call = 1 and at <= high")
+    sizes = found.groupBy("c", "stretch").agg(F.count(F.lit(1)).alias("size"))
+    return found.join(sizes, ["c", "stretch"]).selectExpr("c", "call_id", "k", "at as own", "size")
 
 
 def _kind(value: str) -> str:
@@ -208,30 +280,27 @@ def link(calls: DataFrame, results: DataFrame, tools: DataFrame, every: bool = F
     the calls of its id), n_errors, order_key and the canonical JSON line. every: see above.
     """
     calls, results = calls.select(*CALL_COLUMNS), results.select(*RESULT_COLUMNS)
-    if every:
-        calls, results = _numbered(calls, results)
-        calls = calls.drop("known")
+    events = _events(calls, results)
+    both = _linked(_numbered(events) if every else _firsts(events), calls, results)
+    later = _needing_later(calls)
+    moved = {"k_turn": "long", "k_place": "long", "hops": "long", "circle": "boolean"}
+    if later.isEmpty():
+        both = both.selectExpr("*", *[_NOTHING.format(name=c, kind=t) for c, t in moved.items()])
     else:
-        one = {c: F.lit(1).cast("long") for c in ("run", "at", "k")}
-        calls, results = _firsts(calls, CALL_COLUMNS).withColumns(one), _firsts(results, RESULT_COLUMNS).withColumns(one | {"known": F.lit(False)})
-    results = results.selectExpr(
-        "conv_id as r_conv", "call_id as r_id", "turn as r_turn", "place as r_place", "content", "copies as r_copies", "run as r_run", "at as r_at", "known"
-    )
-    order = _order(calls).selectExpr("conv_id as o_conv", "call_id as o_id", "k as o_k", "k_turn", "k_place", "hops", "circle")
-    calls = _checked(calls, tools)
-    calls = calls.join(order, calls["conv_id"].eqNullSafe(order["o_conv"]) & (calls["call_id"] == order["o_id"]) & (calls["k"] == order["o_k"]), "left")
-    same = calls["conv_id"].eqNullSafe(results["r_conv"]) & (calls["call_id"] == results["r_id"]) & (calls["run"] == results["r_run"]) & (calls["at"] == results["r_at"])
-    both = calls.join(results, same, "full")
-    # In a full join of null-safe keys, place tells a call's side and r_place a result's.
+        both = stash(both, "linked").selectExpr("*", _KEY)
+        order = _order(both.where("place is not null").select("c", "call_id", "k", "turn", "place", "after").join(later, "c", "left_semi"))
+        both = both.join(order, ["c", "call_id", "k"], "left").drop("c")
+    both = _checked(both, tools)
+    both = both.withColumn("errors", F.expr("if(place is null, cast(array() as array<string>), errors)"))
     both = both.withColumn("status", F.expr("case when place is null then if(known, 'duplicate', 'orphan') when r_place is null then 'unanswered' else 'answered' end"))
     extra = """array_compact(array(if(copies > 1, 'duplicate_call', null), if(r_copies > 1, 'duplicate_result', null),
         if(circle, 'circle', null), if(status = 'orphan', 'orphan', null), if(status = 'answered' and struct(r_turn, r_place) < struct(turn, place), 'early_result', null)))"""
     both = both.withColumn("errors", F.expr(f"array_sort(concat(coalesce(errors, cast(array() as array<string>)), {extra}))"))
-    line = """to_json(named_struct('after', after, 'arguments', args, 'conv_id', coalesce(conv_id, r_conv), 'errors', errors, 'id', coalesce(call_id, r_id),
+    line = """to_json(named_struct('after', after, 'arguments', args, 'conv_id', conv_id, 'errors', errors, 'id', call_id,
         'name', name, 'result', content, 'status', status, 'turn', coalesce(turn, r_turn)), map('ignoreNullFields', 'false'))"""
     key = """concat_ws('.', lpad(coalesce(k_turn, turn, r_turn), 12, '0'), lpad(coalesce(k_place, place, r_place), 8, '0'),
         lpad(coalesce(hops, 0L), 8, '0'), lpad(coalesce(turn, r_turn), 12, '0'), lpad(coalesce(place, r_place), 8, '0'))"""
     return both.selectExpr(
-        "coalesce(conv_id, r_conv) as conv_id", "coalesce(turn, r_turn) as turn", "coalesce(call_id, r_id) as call_id", "status",
+        "conv_id", "coalesce(turn, r_turn) as turn", "call_id", "status",
         "cast(size(errors) as long) as n_errors", f"{key} as order_key", f"{line} as line",
     )

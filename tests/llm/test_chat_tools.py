@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 from cardwatch.llm import chat_tools
 
@@ -96,3 +97,62 @@ def test_every_call_and_result_of_an_identifier_is_kept(lm, tmp_path):
     ]
     assert sorted((x["arguments"]["prompt"], x["result"]) for r, x in found if r.conv_id == 2) == [("one", "to one"), ("other", "to other")]
     assert [x["arguments"].get("prompt") for r, x in sorted(found, key=lambda f: f[0].order_key) if r.conv_id == 3] == [None, "late", "again"]
+
+
+def chained(n, back):
+    """A conversation of n calls, each needing the one before, and call 0 a later one."""
+    needs = {k: [k - 1] for k in range(1, n)} | {0: [back]}
+    return [(1, k, "assistant", call(id=str(k), name="f", arguments={"a": k}, after=[str(j) for j in needs[k]])) for k in range(n)]
+
+
+def rounds_of(monkeypatch):
+    counted, plain = [], chat_tools.stash
+    monkeypatch.setattr(chat_tools, "stash", lambda df, purpose: counted.append(purpose) or plain(df, purpose))
+    return lambda: counted.count("labels") - 1
+
+
+def test_a_small_circle_in_a_long_conversation_takes_few_rounds(frame, monkeypatch):
+    rounds = rounds_of(monkeypatch)
+    rows = [(1, k, "assistant", call(id=str(k), name="f", arguments={"a": k}, after=[str(k - 1)] if k else [])) for k in range(400)]
+    rows += [(1, 400, "assistant", call(id="x", name="f", arguments={"a": 1}, after=["y"]) + call(id="y", name="f", arguments={"a": 1}, after=["x"]))]
+    rows += [(1, 401, "assistant", call(id="z", name="f", arguments={"a": 1}, after=["y"]))]
+    errors = {r.call_id: json.loads(r.line)["errors"] for r in linked(frame, rows).collect()}
+    assert {k for k, e in errors.items() if e} == {"x", "y"} and rounds() <= 4
+
+
+def test_a_circle_of_all_calls_and_a_long_chain_take_few_rounds(frame, monkeypatch):
+    rounds = rounds_of(monkeypatch)
+    rows = linked(frame, chained(300, 299)).collect()
+    assert all(json.loads(r.line)["errors"] == ["circle"] for r in rows) and rounds() <= 14
+    rows = [r for r in chained(300, 300)] + [(1, 300, "assistant", call(id="300", name="f", arguments={"a": 1}))]
+    found = sorted(linked(frame, rows).collect(), key=lambda r: r.order_key)
+    assert [r.call_id for r in found] == ["300"] + [str(k) for k in range(300)]
+    assert all(json.loads(r.line)["errors"] == [] for r in found) and rounds() <= 28
+
+
+def test_null_conversation_is_apart_from_minus_one(frame):
+    def two(conv):
+        return [(conv, 0, "assistant", call(id="a", name="f", arguments={"a": 1}, after=["b"])), (conv, 5 if conv else 2, "assistant", call(id="b", name="f", arguments={"a": 1}))]
+
+    found = {(r.conv_id, r.call_id): r.order_key for r in linked(frame, two(-1) + two(None)).collect()}
+    assert found[-1, "a"].startswith("000000000005.") and found[None, "a"].startswith("000000000002.")
+
+
+def test_broken_calls_keep_their_text_and_texts_of_objects_are_objects(frame):
+    rows = [
+        (1, 0, "assistant", "<tool_call>{broken</tool_call>"), (1, 1, "assistant", call(id="s", name="f", arguments='{"a": 3}')),
+        (1, 2, "assistant", call(id="t", name="f", arguments="plain")), (1, 3, "assistant", call(id="u", name="f")),
+    ]
+    found = {r.turn: json.loads(r.line) for r in linked(frame, rows).collect()}
+    assert found[0]["arguments"] == {"raw": "{broken"} and found[0]["errors"] == ["no_name"]
+    assert found[1]["arguments"] == {"a": 3} and found[1]["errors"] == []
+    assert found[2]["errors"] == ["no_object"] and found[3]["errors"] == ["no_object"]
+
+
+def test_texts_are_shuffled_once(lm, sf):
+    import __spark_entry__ as registered
+
+    plan = registered.queries()["op1_chat_tool_links"](lm, sf)._jdf.queryExecution().executedPlan().toString()
+    # Events of an id come together once; the other exchange is for calls without an id.
+    assert len(re.findall(r"Exchange hashpartitioning\(conv_id#\d+L, call_id#\d+, \d+\)", plan)) == 1
+    assert plan.count("Exchange hashpartitioning(conv_id") == 2
