@@ -108,12 +108,12 @@ def _scanned(documents: DataFrame) -> DataFrame:
 
 
 def _patterns(s: str) -> str:
-    """Lexical patterns of a span: the two words before it; the words on both sides."""
+    """Lexical patterns of a span: the two words before it; the words on both sides. One without a letter says nothing."""
     words = f"filter(split(lower(regexp_replace({s}.before, '[0-9]', '0')), '[\\\\x20\\\\x09-\\\\x0D]+'), w -> w <> '')"
     right = f"try_element_at(filter(split(lower(regexp_replace({s}.after, '[0-9]', '0')), '[\\\\x20\\\\x09-\\\\x0D]+'), w -> w <> ''), 1)"
     return f"""filter(array(
         if(size({words}) > 1, concat('2 ', array_join(slice({words}, -2, 2), ' ')), null),
-        if(size({words}) > 0, concat('1 ', element_at({words}, -1), ' _ ', {right}), null)), x -> x is not null)"""
+        if(size({words}) > 0, concat('1 ', element_at({words}, -1), ' _ ', {right}), null)), x -> x rlike '\\\\p{{L}}')"""
 
 
 def _edges(scanned: DataFrame) -> DataFrame:

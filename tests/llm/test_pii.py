@@ -90,3 +90,10 @@ def test_found_identifiers_confirm_further_contexts(frame):
     assert found[100] == [("id", 16, 26)] and found[200] == [("id", 14, 24)]
     assert found[300] == [("id", 14, 22)]
     assert found[400] == []
+
+
+def test_a_context_without_a_letter_is_no_context(frame):
+    """Bars of a table around cards and around numbers that are none."""
+    rows = [(k, f"| 4111 1111 1111 1111 | {k}") for k in range(3)] + [(10 + k, f"| 555555555555444{k} |") for k in range(10)]
+    rows += [(30 + k, f"| user{k}@mail.org |") for k in range(9)] + [(50, "| 1234567890123456 |")]
+    assert not any(r.found for r in pii.personal_spans(frame(rows)).collect())
