@@ -11,7 +11,7 @@ Training reads at most ``TRAIN_ROWS`` labelled documents of each class (by the h
 their ids, without near copies), weighted back to the classes' true shares.
 
 Defined cases: a null or empty text has zero features and gets their score. Null labels
-are left out; with one class only, every score is the share of label 1 (0.5 without
+are left out, and so is an id with both labels; with one class only, every score is the share of label 1 (0.5 without
 labels). Repeated documents give repeated rows; further columns are ignored.
 """
 

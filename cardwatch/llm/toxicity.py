@@ -12,7 +12,7 @@ quotation marks, in a quoted line, or beside a word that reports speech. A logis
 fitted on the training documents turns the sum into a score.
 
 Defined cases: a null or empty text has no hits and gets the score of hitless documents.
-Labels that are null are left out; without toxic or without clean training documents the
+Labels that are null are left out, and so is an id with both labels; without toxic or without clean training documents the
 lexicon is empty and every score is the share of toxic labels (0 without labels). Repeated
 documents give repeated rows; further columns of either input are ignored.
 """
@@ -115,17 +115,19 @@ def score_of(hits: list, model: dict) -> float:
 def training_sample(documents: DataFrame, labels: DataFrame, label: str, rows: int = TRAIN_ROWS) -> DataFrame:
     """text, y of at most so many labelled texts of either class, by the hash of the id.
 
-    Of texts that share their least shingle under one of two orders (copies and near
-    copies, as a rule) one stays, so that a group of copies can't pass for evidence.
+    A label given twice counts once, and an id with both labels is left out. Of texts that
+    share their least shingle under one of two orders (copies and near copies, as a rule) one
+    stays, so that a group of copies can't pass for evidence.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
+    known = known.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("most")).where("y = most").drop("most")
     chosen = None
     for y in (0, 1):
         one = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
         chosen = one if chosen is None else chosen.unionByName(one)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # At most 2 * rows ids: a proven bound for the broadcast.
-    sample = docs.join(F.broadcast(chosen.dropDuplicates(["doc_id"])), "doc_id").select("text", "y")
+    sample = docs.join(F.broadcast(chosen), "doc_id").select("text", "y")
     sample = sample.mapInArrow(_least_shingles, "text string, y int, h1 long, h2 long")
     for h in ("h1", "h2"):
         sample = sample.groupBy(h).agg(F.min(F.struct(F.xxhash64("text"), "text", "y", "h2")).alias("s")).select("s.text", "s.y", "s.h2")

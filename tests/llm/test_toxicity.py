@@ -126,3 +126,12 @@ def test_every_entry_that_matches_is_told():
     automaton = LexiconAutomaton([("scum", False, 1), ("slum", False, 1), ("sc", True, 0)])
     assert automaton.match_all("scum") == {0: 0, 1: 1, 2: 0}
     assert automaton.match_all("sum") == {0: 1, 1: 1}
+
+
+def test_ids_with_both_labels_and_repeated_labels(frame):
+    """Whatever the order of rows, an id with both labels teaches nothing and a repeated one counts once."""
+    docs = frame([(k, f"own words of the document number {k} and nothing else {k * k}") for k in range(6)])
+    labels = [(0, 1), (1, 0), (2, 1), (2, 0), (3, 0), (3, 0), (4, None), (5, 1), (None, 1)]
+    for rows in (labels, labels[::-1], labels * 2):
+        sample = toxicity.training_sample(docs, frame(rows, "doc_id long, toxic int"), "toxic")
+        assert sorted((r.text.split()[6], r.y) for r in sample.collect()) == [("0", 1), ("1", 0), ("3", 0), ("5", 1)]
