@@ -140,7 +140,7 @@ def _metric(name: Column, value: Column, is_count: bool) -> Column:
     )
 
 
-def _reading_counters(registry: Registry) -> list[str]:
+def reading_counters(registry: Registry) -> list[str]:
     """The counters a reading is made of. Completions are the items with a latency."""
     return [
         "rejected_fraud_events", *[f"n_{name}" for name in MERCHANT_GROUPS],
@@ -160,7 +160,7 @@ def snapshot(ticks: DataFrame, registry: Registry, time: str = "epoch_s") -> Dat
     of its interval.
     """
     totals = ticks.agg(
-        *[F.sum(c).alias(c) for c in _reading_counters(registry)],
+        *[F.sum(c).alias(c) for c in reading_counters(registry)],
         F.max_by("latency_items", "tick").alias("interval_completions"),
         F.unix_seconds(F.max("last_ts")).alias("epoch_s"),
         _tick_end(F.max("tick")).alias("tick_s"),
@@ -178,7 +178,7 @@ def reading(totals: DataFrame, registry: Registry, previous_completions: Column)
 
 def series(ticks: DataFrame, registry: Registry) -> DataFrame:
     """What the metric pump reports at each interval with activity: (tick_s, name, value)."""
-    counters = _reading_counters(registry)
+    counters = reading_counters(registry)
     per_interval = ticks.withColumn("interval_completions", F.col("latency_items"))
     running = running_totals(per_interval, "tick", counters, _BLOCK)
     return _readings(running, registry)
@@ -189,25 +189,35 @@ def _readings(running: DataFrame, registry: Registry) -> DataFrame:
     return _listed(ended, registry, "tick_s").drop("is_count")
 
 
-def panel(ticks: DataFrame, registry: Registry) -> DataFrame:
+def tick_readings(running: DataFrame, registry: Registry) -> DataFrame:
+    """Readings with the end of their tick and the time of its newest item."""
+    ended = running.select(
+        "*", F.struct(_tick_end(F.col("tick")).alias("tick_s"), F.unix_seconds("last_ts").alias("epoch_s")).alias("at")
+    )
+    return _listed(ended, registry, "at").select("at.*", "name", "value", "is_count")
+
+
+def panel(timed: DataFrame, registry: Registry, newest: Column) -> DataFrame:
     """The readings of a dashboard panel: its span before the newest reading.
 
-    Everything before the span is one row of totals; only the span's few ticks
-    are accumulated.
+    ``newest`` is the time of the newest item. Everything before the span folds to one row as
+    the span's ticks fold to theirs, so the items are read once and only a span of rows is accumulated.
     """
-    counters = _reading_counters(registry)
-    start = ticks.agg(F.max("tick")).scalar() - DASHBOARD_SPAN_S // METRIC_INTERVAL_S
-    earlier = ticks.where(F.col("tick") <= start).agg(
-        F.struct(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counters])
-    )
+    counters = reading_counters(registry)
+    start = interval_number(newest, METRIC_INTERVAL_S) - DASHBOARD_SPAN_S // METRIC_INTERVAL_S
+    tick = F.greatest(interval_number(F.col("ts"), METRIC_INTERVAL_S), start).alias("tick")
+    folded = timed.groupBy(tick).agg(*all_counters(registry))
     so_far = Window.orderBy("tick").rowsBetween(Window.unboundedPreceding, 0)
-    recent = ticks.where(F.col("tick") > start).select(
-        "*", F.col("latency_items").alias("interval_completions"), earlier.scalar().alias("earlier")
-    )
-    running = recent.withColumns({
-        c: F.sum(c).over(so_far) + F.col(f"earlier.{c}") for c in counters
+    running = folded.withColumn("interval_completions", F.col("latency_items")).withColumns({
+        c: F.sum(c).over(so_far) for c in counters
     })
-    return _readings(running, registry)
+    return _readings(running.where(F.col("tick") > start), registry)
+
+
+def tick_completions(timed: DataFrame) -> DataFrame:
+    """Completions per metric interval."""
+    tick = interval_number(F.col("ts"), METRIC_INTERVAL_S).alias("tick")
+    return timed.groupBy(tick).agg(F.count("latency_ms").alias("latency_items"))
 
 
 def payment_rate(ticks: DataFrame) -> DataFrame:
@@ -266,12 +276,8 @@ def reject_counters(counters: DataFrame) -> DataFrame:
     return counters.where(~F.col("name").startswith(INTERNAL_COUNTER_PREFIX))
 
 
-def ruleset_throughput(postings: DataFrame) -> DataFrame:
-    """Items, elapsed time and whole items per second of every rule set."""
-    counted = postings.groupBy("ruleset").agg(
-        F.count(F.lit(1)).alias("n_items"),
-        (F.max("posted_ms") - F.min("posted_ms")).alias("elapsed_ms"),
-    )
+def _throughput(counted: DataFrame) -> DataFrame:
+    """Elapsed time as text and whole items per second, from n_items and elapsed_ms."""
     seconds = F.floor(F.col("elapsed_ms") / 1000)
     return counted.withColumns({
         "elapsed": scalars.elapsed_text(F.col("elapsed_ms")),
@@ -279,6 +285,29 @@ def ruleset_throughput(postings: DataFrame) -> DataFrame:
     })
 
 
+def ruleset_throughput(postings: DataFrame) -> DataFrame:
+    """Items, elapsed time and whole items per second of every rule set."""
+    return _throughput(postings.groupBy("ruleset").agg(
+        F.count(F.lit(1)).alias("n_items"),
+        (F.max("posted_ms") - F.min("posted_ms")).alias("elapsed_ms"),
+    ))
+
+
+# The stage that assembles the results of all sets.
+AGGREGATOR = "Aggregator"
+
+
+def stage_report(postings: DataFrame, timed: DataFrame) -> DataFrame:
+    """The throughput of every rule set and of the aggregator, which also has the mean latency of its items."""
+    sets = ruleset_throughput(postings).withColumnRenamed("ruleset", "stage").withColumn("avg_latency_ms", F.lit(None).cast("double"))
+    ended = timed.agg(
+        F.count(F.lit(1)).alias("n_items"),
+        (F.max("t_aggregator") - F.min("t_aggregator")).alias("elapsed_ms"),
+        F.avg("latency_ms").alias("avg_latency_ms"),
+    ).where("n_items > 0")
+    return sets.unionByName(_throughput(ended).withColumn("stage", F.lit(AGGREGATOR)))
+
+
 def run_summary(timed: DataFrame) -> DataFrame:
     """End-of-run line: elapsed, completions, whole items per second, whole mean latency."""
     totals = timed.agg(

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
+from itertools import groupby
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -110,17 +111,27 @@ class RuleSet:
 
 
 class Registry:
-    """Rule sets by name, in registration order."""
+    """Rule sets by name, in registration order.
+
+    A set gets its number when it is registered and keeps it; the number of a deleted set is
+    not given again, so columns named by it (``verdict_n``) mean the same set for ever.
+    """
 
     def __init__(self, rule_sets: Sequence[RuleSet] = ()) -> None:
         self._sets: dict[str, RuleSet] = {}
+        self._numbers: dict[str, int] = {}
+        self._next = 0
         for rule_set in rule_sets:
             self.add(rule_set)
 
-    def add(self, rule_set: RuleSet) -> None:
+    def add(self, rule_set: RuleSet, number: int | None = None) -> None:
         if rule_set.name in self._sets:
             raise ValueError(f"rule set {rule_set.name!r} is registered already")
-        self._sets[rule_set.name] = rule_set
+        number = self._next if number is None else number
+        if number in self._numbers.values():
+            raise ValueError(f"number {number} belongs to another rule set")
+        self._sets[rule_set.name], self._numbers[rule_set.name] = rule_set, number
+        self._next = max(self._next, number + 1)
 
     def update(self, rule_set: RuleSet) -> None:
         self.get(rule_set.name)
@@ -128,7 +139,7 @@ class Registry:
 
     def delete(self, name: str) -> None:
         self.get(name)
-        del self._sets[name]
+        del self._sets[name], self._numbers[name]
 
     def get(self, name: str) -> RuleSet:
         if name not in self._sets:
@@ -146,24 +157,59 @@ class Registry:
 
     def active(self) -> list[tuple[int, RuleSet]]:
         """Enabled sets with their registration number."""
-        return [(n, s) for n, s in enumerate(self._sets.values()) if s.enabled]
+        return [(self._numbers[name], s) for name, s in self._sets.items() if s.enabled]
 
     def outcomes(self) -> tuple[str, ...]:
         """Every outcome a registered set can post, approval first."""
         return tuple(dict.fromkeys((APPROVED, *(s.reject_status for s in self._sets.values()))))
 
     def to_df(self, spark: SparkSession) -> DataFrame:
+        """One row per rule, and one without rule for a set that has none; ``from_df`` reads them back."""
         rows = [
-            (n, s.name, s.qualified_name, s.category, s.enabled, rule.name,
-             rule.qualified_name(s.name), rule.enabled)
-            for n, s in enumerate(self._sets.values())
-            for rule in s.rules
+            (
+                self._numbers[name], place, name, s.qualified_name, s.category, s.enabled, s.kind, _roll_up_name(s.roll_up), s.rejects,
+                s.reject_status, s.reason, s.selects, dict(s.shared),
+                *((r.name, r.qualified_name(name), r.category, r.enabled, r.expression, r.precondition) if r else (None,) * 6),
+            )
+            for name, s in self._sets.items()
+            for place, r in enumerate(s.rules or (None,))
         ]
-        return spark.createDataFrame(
-            rows,
-            "ordinal int, ruleset string, qualified_ruleset string, category string, "
-            "ruleset_enabled boolean, rule string, qualified_rule string, rule_enabled boolean",
-        )
+        return spark.createDataFrame(rows, REGISTRY_COLUMNS)
+
+    @classmethod
+    def from_df(cls, rows: DataFrame) -> Registry:
+        """The registry a table of rules describes; the table is as small as the rules are few."""
+        registry = cls()
+        listed = sorted(rows.collect(), key=lambda r: (r.ordinal, r.place))
+        for number, group in groupby(listed, key=lambda r: r.ordinal):
+            of_set = list(group)
+            first = of_set[0]
+            rules = tuple(
+                Rule(r.rule, r.expression, r.rule_category, r.rule_enabled, r.precondition) for r in of_set if r.rule is not None
+            )
+            registry.add(
+                RuleSet(
+                    first.ruleset, rules, first.kind, ROLL_UPS[first.roll_up], first.rejects, first.category, first.reject_status,
+                    first.reason, first.selects, dict(first.shared or {}), first.ruleset_enabled,
+                ),
+                number,
+            )
+        return registry
+
+
+REGISTRY_COLUMNS = (
+    "ordinal int, place int, ruleset string, qualified_ruleset string, category string, ruleset_enabled boolean, "
+    "kind string, roll_up string, rejects string, reject_status string, reason string, selects string, "
+    "shared map<string,string>, rule string, qualified_rule string, rule_category string, rule_enabled boolean, "
+    "expression string, precondition string"
+)
+
+
+def _roll_up_name(roll_up: Callable[[Sequence[str]], str]) -> str:
+    for name, known in ROLL_UPS.items():
+        if known is roll_up:
+            return name
+    raise ValueError(f"roll-up {roll_up!r} has no name in ROLL_UPS")
 
 
 # --- roll-ups -----------------------------------------------------------------
@@ -187,6 +233,10 @@ def every(results: Sequence[str]) -> str:
     return " AND ".join(results) or "true"
 
 
+# The names under which roll-ups are kept in a table; one's own may be added.
+ROLL_UPS: dict[str, Callable[[Sequence[str]], str]] = {"total": total, "worst_risk": worst_risk, "every": every}
+
+
 # --- the rules the bank runs --------------------------------------------------
 
 def score_rule(mean: float, independent: bool = False) -> Rule:

@@ -7,7 +7,7 @@ as separate rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -160,20 +160,74 @@ def counter_columns(registry: Registry) -> list[Column]:
     ]
 
 
+def _reject_counts(registry: Registry) -> list[Column]:
+    return [
+        count_when(scalars.is_rejected(F.col(verdict_column(n))["outcome"])).alias(f"n_{n}")
+        for n, _ in registry.active()
+    ]
+
+
 def rejects_by_ruleset(evaluated: DataFrame, registry: Registry) -> DataFrame:
     """Reject count per set, counted in one pass without exploding the items."""
-    active = registry.active()
-    counted = evaluated.agg(*[
-        count_when(scalars.is_rejected(F.col(verdict_column(n))["outcome"])).alias(f"n_{n}")
-        for n, _ in active
-    ])
+    counted = evaluated.agg(*_reject_counts(registry))
     pairs = F.array(*[
         F.struct(F.lit(s.qualified_name).alias("ruleset"), F.col(f"n_{n}").alias("n_rejects"))
-        for n, s in active
+        for n, s in registry.active()
     ])
     return counted.select(F.inline(pairs)).where(F.col("n_rejects") > 0)
 
 
+def named_counters(evaluated: DataFrame, registry: Registry, internal: Mapping[str, str]) -> DataFrame:
+    """All counters by name, from one pass: the internal ones, and the rejects of every set that has any.
+
+    ``internal`` gives the column of ``counter_columns`` behind each internal name.
+    """
+    counted = evaluated.agg(*counter_columns(registry), *_reject_counts(registry))
+    own = [F.struct(F.lit(name).alias("name"), F.col(column).alias("value")) for name, column in internal.items()]
+    rejects = [
+        F.when(F.col(f"n_{n}") > 0, F.struct(F.lit(s.qualified_name).alias("name"), F.col(f"n_{n}").alias("value")))
+        for n, s in registry.active()
+    ]
+    return counted.select(F.inline(F.array_compact(F.array(*own, *rejects))))
+
+
+def _newest_of_sets(
+    postings: DataFrame, rulesets: Sequence[str], keys: Sequence[str], value: Column, newest: Callable[[Column], Column]
+) -> DataFrame:
+    """Per item ``n_applicable`` and the entries (key, value) of all sets that posted.
+
+    The known sets are one aggregate each, so they fold to one row per item before the
+    shuffle. A set that isn't known folds by its own name beside them; an item's list of
+    those holds each name once.
+    """
+    named = [(name, F.col("ruleset") == name) for name in rulesets]
+    other = F.when(F.col("ruleset").isin(list(rulesets)), F.lit("")).otherwise(F.coalesce("ruleset", F.lit(OTHER)))
+    folded = postings.withColumn("other_set", other).groupBy(*keys, "other_set").agg(
+        F.max("n_applicable").alias("n_applicable"),
+        *[newest(F.when(of_set, value)).alias(f"posted_{n}") for n, (_, of_set) in enumerate(named)],
+        newest(F.when(F.col("other_set") != "", value)).alias("posted_other"),
+    )
+    merged = folded.groupBy(*keys).agg(
+        F.max("n_applicable").alias("n_applicable"),
+        *[F.max(f"posted_{n}").alias(f"posted_{n}") for n, _ in enumerate(named)],
+        F.array_sort(F.collect_list(F.when(
+            F.col("other_set") != "", F.struct(F.col("other_set").alias("key"), F.col("posted_other").alias("value"))
+        ))).alias("others"),
+    )
+    known = F.array_compact(F.array(*[
+        F.when(F.col(f"posted_{n}").isNotNull(), F.struct(F.lit(name).alias("key"), F.col(f"posted_{n}").alias("value")))
+        for n, (name, _) in enumerate(named)
+    ]))
+    return merged.select(*keys, "n_applicable", F.concat(known, "others").alias("entries"))
+
+
+def _as_map(assembled: DataFrame, keys: Sequence[str], value: Callable[[Column], Column]) -> DataFrame:
+    entries = F.transform("entries", lambda e: F.struct(e["key"].alias("key"), value(e["value"]).alias("value")))
+    return assembled.select(
+        *keys, "n_applicable", F.size("entries").alias("n_posted"), F.map_from_entries(entries).alias("results")
+    )
+
+
 def assemble(
     postings: DataFrame,
     rulesets: Sequence[str],
@@ -183,31 +237,11 @@ def assemble(
 ) -> DataFrame:
     """Collect results posted as rows into one row per item; a set's newest result counts.
 
-    Needs columns ``item_id``, ``ruleset``, ``n_applicable`` and ``fields``. The
-    known sets become one aggregate each, so state per item is bounded, repeats
-    fold before the shuffle, and a single shuffle by item is enough. A stream adds
-    the item's event time to ``keys`` so that its state can expire.
+    Needs columns ``item_id``, ``ruleset``, ``n_applicable``, ``fields`` and ``order``. The
+    results are a map from the set's name to its whole result, of known and unknown sets.
     """
-    version = F.struct(*[F.col(c) for c in order])
-    row = F.struct(*[F.col(c) for c in fields])
-    newest = [
-        F.max_by(
-            F.when(F.col("ruleset") == name, row), F.when(F.col("ruleset") == name, version)
-        ).alias(f"posted_{n}")
-        for n, name in enumerate(rulesets)
-    ]
-    posted = [F.col(f"posted_{n}") for n in range(len(rulesets))]
-    merged = postings.groupBy(*keys).agg(F.max("n_applicable").alias("n_applicable"), *newest)
-    entries = F.array_compact(F.array(*[
-        F.when(value.isNotNull(), F.struct(F.lit(name).alias("key"), value.alias("value")))
-        for name, value in zip(rulesets, posted)
-    ]))
-    return merged.select(
-        *keys,
-        "n_applicable",
-        F.size(entries).alias("n_posted"),
-        F.map_from_entries(entries).alias("results"),
-    )
+    stamped = F.struct(F.struct(*order).alias("at"), F.struct(*fields).alias("row"))
+    return _as_map(_newest_of_sets(postings, rulesets, keys, stamped, F.max), keys, lambda v: v["row"])
 
 
 def assemble_outcomes(
@@ -220,8 +254,21 @@ def assemble_outcomes(
 
     Posting time and outcome share one number per set, so the newest outcome is a
     plain maximum and the aggregation stays hash based. Nothing posted is lost: a result
-    of an outcome not listed reads ``Other``, and results of sets not listed count as
-    posted under the one name ``Other``.
+    of an outcome not listed reads ``Other``, and a set not listed goes by its own name.
+    """
+    assembled = _newest_of_sets(postings, rulesets, keys, posting_stamp(outcomes), F.max)
+    return _as_map(assembled, keys, lambda v: stamped_outcome(v, outcomes))
+
+
+def assembled_stream_outcomes(
+    postings: DataFrame,
+    rulesets: Sequence[str],
+    keys: Sequence[str] = ("item_id",),
+    outcomes: Sequence[str] = OUTCOMES,
+) -> DataFrame:
+    """``assemble_outcomes`` as the one aggregation a stream's state allows.
+
+    Results of sets not listed count as posted under the one name ``Other``.
     """
     stamped = posting_stamp(outcomes)
     listed = F.col("ruleset").isin(list(rulesets))
@@ -243,7 +290,7 @@ def assemble_outcomes(
     )
 
 
-# What results are called whose set or outcome is not listed.
+# What an outcome that is not listed, or a set without a name, is called.
 OTHER = "Other"
 
 
@@ -283,18 +330,27 @@ def result_lists(
 ) -> DataFrame:
     """All results of an item, repeats kept as counts.
 
-    Every (set, outcome) pair is one counter, so an item with very many repeated
-    results still needs constant state; the list is the pairs that occurred. What is not
-    listed counts in one more entry, so no result is lost.
+    Every listed (set, outcome) pair is one counter, so an item with very many repeated
+    results folds to one row before the shuffle. Results of other sets or outcomes are
+    counted by their own names beside them; the list is the pairs that occurred.
     """
-    pairs = [(s, o) for s in rulesets for o in outcomes] + [(OTHER, OTHER)]
+    pairs = [(s, o) for s in rulesets for o in outcomes]
     listed = F.col("ruleset").isin(list(rulesets)) & F.col("outcome").isin(list(outcomes))
-    counted = postings.groupBy("item_id").agg(
+    named = F.struct(
+        F.coalesce("ruleset", F.lit(OTHER)).alias("ruleset"), F.coalesce("outcome", F.lit(OTHER)).alias("outcome")
+    )
+    counted = postings.withColumn("other", F.when(~F.coalesce(listed, F.lit(False)), named)).groupBy("item_id", "other").agg(
+        F.count(F.lit(1)).alias("n"),
         *[
             count_when((F.col("ruleset") == s) & (F.col("outcome") == o)).alias(f"n_{i}")
-            for i, (s, o) in enumerate(pairs[:-1])
+            for i, (s, o) in enumerate(pairs)
         ],
-        count_when(~F.coalesce(listed, F.lit(False))).alias(f"n_{len(pairs) - 1}"),
+    )
+    entry = F.struct("other.ruleset", "other.outcome", F.col("n").alias("copies"))
+    merged = counted.groupBy("item_id").agg(
+        F.sum("n").alias("n_results"),
+        *[F.max(f"n_{i}").alias(f"n_{i}") for i in range(len(pairs))],
+        F.array_sort(F.collect_list(F.when(F.col("other").isNotNull(), entry))).alias("others"),
     )
     entries = F.array_compact(F.array(*[
         F.when(
@@ -305,11 +361,7 @@ def result_lists(
         )
         for i, (s, o) in enumerate(pairs)
     ]))
-    return counted.select(
-        "item_id",
-        reduce(Column.__add__, [F.col(f"n_{i}") for i in range(len(pairs))]).alias("n_results"),
-        entries.alias("results"),
-    )
+    return merged.select("item_id", "n_results", F.concat(entries, "others").alias("results"))
 
 
 def running_all_true(

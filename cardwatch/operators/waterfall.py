@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cardwatch.fixed_values import (
@@ -50,6 +53,25 @@ def waterfall(transactions: DataFrame, merchants: DataFrame, accounts: DataFrame
     return rows.withColumns({"final_status": status, "error": error})
 
 
+@dataclass(frozen=True)
+class CreditRule:
+    """A rule of the credit flow and the rows it takes, both as SQL over an item with its account."""
+
+    name: str
+    passes: str
+    takes: str = "true"
+
+
+def running_credit_rules() -> list[CreditRule]:
+    """The credit limit for all payments, a reserve for larger ones, and a share of the limit for even items."""
+    limit = scalars.within_credit("account.balance", "amount", "account.credit_limit")
+    return [
+        CreditRule(CREDIT_LIMIT_RULE, limit),
+        CreditRule("CreditReserveRule", "account.balance + amount <= 0.9 * account.credit_limit", "amount >= 25"),
+        CreditRule("LimitShareRule", "amount <= 0.01 * account.credit_limit", "pmod(cast(id as bigint), 2) = 0"),
+    ]
+
+
 def credit_results(transactions: DataFrame, accounts: DataFrame, active: DataFrame) -> DataFrame:
     """Credit rule results with the rules expected for each item."""
     rows = with_account(with_active_rules(transactions, active, "rule"), accounts)
@@ -59,6 +81,18 @@ def credit_results(transactions: DataFrame, accounts: DataFrame, active: DataFra
     })
 
 
+def credit_entries(transactions: DataFrame, accounts: DataFrame, rules: Sequence[CreditRule], running: DataFrame) -> DataFrame:
+    """One row per item and rule that takes it: what the rule adds to the item's result list.
+
+    ``running`` names the rules that run, one row each; it says how many results an item may expect.
+    """
+    rows = with_account(with_active_rules(transactions, running, "rule"), accounts)
+    entries = ", ".join(
+        f"if({r.takes}, named_struct('rule', {scalars.sql_text(r.name)}, 'evaluation_result', {r.passes}), null)" for r in rules
+    )
+    return rows.select("id", "expected_rules", F.expr(f"inline(array({entries}))")).where("rule is not null")
+
+
 def monitor(received: Column, expected: Column, decides: Column) -> Column:
     """INTERMEDIATE while results are missing, then the deciding result's outcome."""
     return (

@@ -1,9 +1,9 @@
 """Time-window operators over transactions.
 
-The sliding average never expands rows to every window they fall in. Amounts are
-first folded to one (sum, count) per merchant and slide interval; that fold
-absorbs a merchant holding any share of the rows, and everything after it is
-bounded by merchants times elapsed intervals.
+No row is copied to every window it falls in. Amounts are first folded to one
+(sum, count) per merchant and slide interval; that fold absorbs a merchant holding
+any share of the rows, and everything after it is bounded by merchants times elapsed
+intervals. A window's state is then kept up by what enters and what leaves it.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from cardwatch.fixed_values import (
     SIGNIFICANT_CHANGE,
     THROUGHPUT_WINDOW_S,
 )
+from cardwatch.functions.aggregates import AVERAGE_AMOUNT, Aggregate, exact
 from cardwatch.functions.scalars import throughput_text
 from cardwatch.operators.blocks import carried, with_block, with_halo, with_previous
 
@@ -36,44 +37,55 @@ def merchant_slices(transactions: DataFrame) -> DataFrame:
 
 
 def _average(total: Column, n: Column) -> Column:
-    return F.round(F.try_divide(total, n), 6)
-
-
-def sliding_average(slices: DataFrame) -> DataFrame:
-    """Average per merchant for every sliding window that holds a transaction.
-
-    ``window_end_s`` is in epoch seconds and exclusive. Slices are placed by
-    merchant and day before they fan out to their windows, with the end of a day
-    copied into the next, so the fanned-out rows are merged where they arise.
+    return F.try_divide(total, n)
+
+
+def sliding_states(
+    slices: DataFrame,
+    key: str,
+    aggregate: Aggregate,
+    reach: int = SLICES_PER_WINDOW,
+    block: int = SLICES_PER_DAY,
+) -> DataFrame:
+    """State of every sliding window that holds a slice: key, ``end_slice`` (exclusive), the aggregate's fields.
+
+    slices: key, ``slice``, fields. A slice enters the window that ends behind it and leaves
+    ``reach`` windows later, so it makes two changes and not a copy for each of its windows. The
+    changes are summed along a key and block (the end of a block is copied into the
+    next), and between two changes the window says the same.
     """
-    nearby = with_halo(
-        with_block(slices, "slice", SLICES_PER_DAY), "slice", SLICES_PER_DAY, SLICES_PER_WINDOW
+    first, last = F.col("block") * block, (F.col("block") + 1) * block - 1
+    nearby = with_halo(with_block(slices, "slice", block), "slice", block, reach).repartition(key, "block")
+    fields = list(aggregate.fields)
+    enters = F.struct(F.greatest(F.col("slice") + 1, first).alias("at"), F.lit(1).alias("held"), *fields)
+    leaves = F.struct(
+        (F.col("slice") + reach + 1).alias("at"), F.lit(-1).alias("held"), *[(-F.col(f)).alias(f) for f in fields]
     )
-    first = F.greatest(F.col("slice") + 1, F.col("block") * SLICES_PER_DAY)
-    last = F.least(
-        F.col("slice") + SLICES_PER_WINDOW, (F.col("block") + 1) * SLICES_PER_DAY - 1
+    changes = nearby.select(key, "block", F.explode(F.array(enters, leaves)).alias("c")).select(key, "block", "c.*")
+    changes = changes.where(F.col("at") <= last).groupBy(key, "block", "at").agg(
+        F.sum("held").alias("held"), *aggregate.combine()
     )
-    ends = F.explode(F.when(first <= last, F.sequence(first, last)))
-    return (
-        nearby.repartition(_fan_out_tasks(slices), "merchant_id", "block")
-        .select("merchant_id", "block", ends.alias("end_slice"), "total", "n")
-        .groupBy("merchant_id", "block", "end_slice")
-        .agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
-        .select(
-            "merchant_id",
-            (F.col("end_slice") * AVERAGE_SLIDE_S).alias("window_end_s"),
-            _average(F.col("total"), F.col("n")).alias("avg_amount"),
-            F.col("n").alias("n_txns"),
-        )
+    inside = Window.partitionBy(key, "block").orderBy("at")
+    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
+    running = changes.select(
+        key, "at", F.coalesce(F.lead("at").over(inside) - 1, last).alias("until"),
+        *[F.sum(c).over(so_far).alias(c) for c in ("held", *fields)],
     )
+    return running.where("held > 0").select(key, F.explode(F.sequence("at", "until")).alias("end_slice"), *fields)
 
 
-def _fan_out_tasks(rows: DataFrame) -> int:
-    """Tasks for a step whose output is a fixed multiple of its input.
+def sliding_average(slices: DataFrame) -> DataFrame:
+    """Average per merchant for every sliding window that holds a transaction.
 
-    Given explicitly because adaptive execution would merge tasks by input size.
+    ``window_end_s`` is in epoch seconds and exclusive.
     """
-    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    exact_slices = slices.withColumn("total", F.expr(exact("total")))
+    return sliding_states(exact_slices, "merchant_id", AVERAGE_AMOUNT).select(
+        "merchant_id",
+        (F.col("end_slice") * AVERAGE_SLIDE_S).alias("window_end_s"),
+        AVERAGE_AMOUNT.finished("avg_amount"),
+        F.col("n").alias("n_txns"),
+    )
 
 
 def current_average(slices: DataFrame, now_slice: Column) -> DataFrame:
@@ -165,7 +177,8 @@ def average_changes(averages: DataFrame, merchants: DataFrame) -> DataFrame:
         F.col("avg_amount").alias("new_average"),
     )
     moved = F.abs(F.col("new_average") - F.col("old_average"))
-    return compared.where(F.round(moved, 6) > SIGNIFICANT_CHANGE)
+    # Nine digits: averages that differ by exactly the limit agree, however they were summed.
+    return compared.where(F.round(moved, 9) > SIGNIFICANT_CHANGE)
 
 
 def tumbling_counts(items: DataFrame, seconds: int = THROUGHPUT_WINDOW_S) -> DataFrame:

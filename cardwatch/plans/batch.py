@@ -25,7 +25,7 @@ from cardwatch.operators.rules import (
 from cardwatch.plans import inputs
 from cardwatch.session import work_dir
 from cardwatch.sources import bank, replay, sinks, tables
-from cardwatch.streaming import flows
+from cardwatch.streaming import changing, flows
 
 QUERIES: dict = {}
 
@@ -311,6 +311,16 @@ def assembled_results(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@registered
+def assembled_whole_results(spark: SparkSession, sf: str) -> DataFrame:
+    """The assembled items, one row a set with all that the set posted."""
+    rows = inputs.assembled_whole(spark, sf).select("item_id", "n_posted", F.explode("results").alias("ruleset", "r"))
+    return rows.select(
+        "item_id", "n_posted", "ruleset", "r.outcome", "r.reason",
+        scalars.six_decimals(F.col("r.result_double")).alias("result_double"), "r.result_risk",
+    )
+
+
 @registered
 def complete_items(spark: SparkSession, sf: str) -> DataFrame:
     return verdicts.complete(inputs.assembled(spark, sf)).select("item_id", "n_posted")
@@ -402,7 +412,7 @@ def running_all_true(spark: SparkSession, sf: str) -> DataFrame:
 @registered
 def running_all_true_of_account(spark: SparkSession, sf: str) -> DataFrame:
     """The same for one account, picked before its results are flattened."""
-    results = tables.lookup_one(inputs.account_results(spark, sf), "acct_number", "0000000042")
+    results = inputs.results_of_account(spark, sf, "0000000042")
     return verdicts.running_all_true(results, "acct_number", "item_id", "passed")
 
 
@@ -443,19 +453,14 @@ def fraud_credit_waterfall(spark: SparkSession, sf: str) -> DataFrame:
 
 @registered
 def credit_limit_lists(spark: SparkSession, sf: str) -> DataFrame:
-    """The credit flow: attach the active rules, enrich, evaluate, and list results per item."""
-    txns = bank.transactions(spark, sf)
-    active = spark.createDataFrame([(waterfall.CREDIT_LIMIT_RULE,)], "rule string")
-    rows = waterfall.credit_results(txns, bank.accounts(spark, sf), active)
-    results = F.array(F.struct("rule", "evaluation_result"))
-    message = F.transform(
-        results,
-        lambda r: F.concat(r["rule"], F.lit(" "), scalars.result_message(r["evaluation_result"])),
-    )
-    return rows.select(
-        "id", "expected_rules", F.size(results).alias("n_results"),
-        F.concat_ws("|", message).alias("results"),
-    )
+    """The credit flow: every rule appends its results to the lists of the items it takes, one batch a rule."""
+    folder = work_dir(spark, "credit-lists")
+    rules = waterfall.running_credit_rules()
+    running = inputs.rule_names(spark, rules)
+    for batch_id, rule in enumerate(rules):
+        entries = waterfall.credit_entries(bank.transactions(spark, sf), bank.accounts(spark, sf), [rule], running)
+        sinks.write_version(entries, folder, batch_id)
+    return inputs.credit_lists(spark, folder)
 
 
 @registered
@@ -531,9 +536,28 @@ def metric_series(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.series(inputs.ticks(spark, sf), default_registry())
 
 
+def _rule_versions():
+    """The usual rules, and from noon of the first day on without the location rules."""
+    later = default_registry()
+    later.disable(LOCATION_RULESET)
+    return [("2024-01-01 00:00:00", default_registry()), ("2024-01-01 12:00:00", later)]
+
+
+@registered
+def verdicts_by_rules_version(spark: SparkSession, sf: str) -> DataFrame:
+    """Verdicts by the rules in force at the time of the payment, kept in and read from a table of rules."""
+    table = changing.RuleTable(spark, work_dir(spark, "rules"))
+    versions = _rule_versions()
+    for number, (_, registry) in enumerate(versions):
+        table.save(registry, number)
+    read = [(start, table.load(number)) for number, (start, _) in enumerate(versions)]
+    rows = changing.judged_by_time(bank.transactions(spark, sf), bank.merchants(spark, sf), read)
+    return rows.select("id", "rules_version", "n_applicable", "final_status", "rejecting_ruleset")
+
+
 @registered
 def payment_rate(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.payment_rate(inputs.ticks(spark, sf))
+    return metrics.payment_rate(metrics.tick_completions(inputs.timed_transactions(spark, sf)))
 
 
 @registered
@@ -544,21 +568,15 @@ def dashboard_status(spark: SparkSession, sf: str) -> DataFrame:
 
 @registered
 def dashboard_panel(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.panel(inputs.ticks(spark, sf), default_registry())
+    return metrics.panel(inputs.timed(spark, sf), default_registry(), inputs.newest_time(spark, sf))
 
 
 @registered
 def ruleset_counters(spark: SparkSession, sf: str) -> DataFrame:
     """Rule-set counters found by name among all counters."""
-    judged = inputs.judged(spark, sf)
     registry = default_registry()
-    own = judged.agg(*verdicts.counter_columns(registry))
-    internal = own.select(F.inline(F.array(*[
-        F.struct(F.lit(name).alias("name"), F.col(column).alias("value"))
-        for name, column in INTERNAL_COUNTERS.items()
-    ])))
-    rejects = verdicts.rejects_by_ruleset(judged, registry).toDF("name", "value")
-    return metrics.reject_counters(internal.unionByName(rejects)).select(
+    counters = verdicts.named_counters(inputs.judged(spark, sf), registry, INTERNAL_COUNTERS)
+    return metrics.reject_counters(counters).select(
         "name", scalars.reject_metric_name(F.col("name")).alias("metric"), "value"
     )
 
@@ -567,7 +585,46 @@ def ruleset_counters(spark: SparkSession, sf: str) -> DataFrame:
 
 @registered
 def sliding_merchant_avg(spark: SparkSession, sf: str) -> DataFrame:
-    return windows.sliding_average(windows.merchant_slices(bank.transactions(spark, sf)))
+    return inputs.shown(windows.sliding_average(windows.merchant_slices(bank.transactions(spark, sf))), "avg_amount")
+
+
+# An aggregate that isn't built in: how payments spread, and how many of them are large.
+SPREAD = aggregates.Aggregate(
+    {
+        "n": "if(amount is null, 0, 1)",
+        "total": aggregates.exact("amount"),
+        "squares": aggregates.exact("amount * amount"),
+        "large": "if(amount >= 25, 1, 0)",
+    },
+    "named_struct("
+    "'spread', sqrt(greatest(0D, cast(squares as double) - cast(total as double) * cast(total as double) / n) / n), "
+    "'large_share', large / n)",
+)
+
+
+@registered
+def sliding_merchant_spread(spark: SparkSession, sf: str) -> DataFrame:
+    """An own aggregate over the sliding windows of each merchant."""
+    txns = bank.transactions(spark, sf).where(F.col("merchant_id").isNotNull())
+    number = windows.interval_number(F.col("ts"), AVERAGE_SLIDE_S).alias("slice")
+    slices = aggregates.fold(txns, ["merchant_id", number], SPREAD)
+    states = windows.sliding_states(slices, "merchant_id", SPREAD).select("*", SPREAD.finished("said"))
+    return states.select(
+        "merchant_id", (F.col("end_slice") * AVERAGE_SLIDE_S).alias("window_end_s"), "n",
+        F.round("said.spread", 4).alias("spread"), F.round("said.large_share", 6).alias("large_share"),
+    )
+
+
+@registered
+def spread_without_clicks(spark: SparkSession, sf: str) -> DataFrame:
+    """Per account the state of all payments with the part of one kind of event taken back."""
+    txns = bank.transactions(spark, sf)
+    whole = aggregates.fold(txns, ["acct_number"], SPREAD)
+    clicks = aggregates.fold(txns.where(F.col("event_type") == "click"), ["acct_number"], SPREAD)
+    left = aggregates.without(whole, clicks, ["acct_number"], SPREAD).where("n > 0").select("*", SPREAD.finished("said"))
+    return left.select(
+        "acct_number", "n", F.round(F.col("total").cast("double"), 4).alias("total"), F.round("said.spread", 4).alias("spread")
+    )
 
 
 @registered
@@ -580,20 +637,20 @@ def updated_merchants(spark: SparkSession, sf: str) -> DataFrame:
     txns = bank.transactions(spark, sf)
     now = txns.agg(windows.interval_number(F.max("ts"), AVERAGE_SLIDE_S)).scalar()
     averages = windows.current_average(windows.merchant_slices(txns), now)
-    return windows.updated_merchants(bank.merchants(spark, sf), averages)
+    return inputs.shown(windows.updated_merchants(bank.merchants(spark, sf), averages), "avg_txn_amount")
 
 
 @registered
 def average_changes(spark: SparkSession, sf: str) -> DataFrame:
     averages = windows.sliding_average(windows.merchant_slices(bank.transactions(spark, sf)))
-    return windows.average_changes(averages, bank.merchants(spark, sf))
+    return inputs.shown(windows.average_changes(averages, bank.merchants(spark, sf)), "old_average", "new_average")
 
 
 @registered
 def asof_feedback(spark: SparkSession, sf: str) -> DataFrame:
     """Amount risk against the average in force at the payment, else the stored one."""
     txns = bank.transactions(spark, sf)
-    return flows.score_live(txns, windows.merchant_slices(txns), bank.merchants(spark, sf))
+    return inputs.shown(flows.score_live(txns, windows.merchant_slices(txns), bank.merchants(spark, sf)), "average")
 
 
 # --- keyed tables, retention, errors --------------------------------------------
@@ -609,7 +666,8 @@ def newest_per_account(spark: SparkSession, sf: str) -> DataFrame:
 
 @registered
 def idle_retention(spark: SparkSession, sf: str) -> DataFrame:
-    rows = retention.not_idle(inputs.judged(spark, sf).select("id", "final_status", "ts"), "ts")
+    judged = inputs.judged(spark, sf).select("id", "final_status", "ts")
+    rows = retention.not_idle(judged, "ts", inputs.newest_time(spark, sf))
     return rows.select("id", "final_status")
 
 

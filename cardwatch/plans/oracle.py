@@ -75,7 +75,7 @@ posted AS (
 _WINDOWS = """
 windowed AS (
   SELECT merchant_id, (ts_s // 5 + k) * 5 AS window_end_s,
-         round(avg(amount), 6) AS avg_amount, count(*) AS n_txns
+         avg(amount) AS avg_amount, count(*) AS n_txns
   FROM txn, (SELECT unnest(generate_series(1, 20)) AS k)
   WHERE merchant_id IS NOT NULL GROUP BY ALL)
 """
@@ -254,6 +254,11 @@ SQL = {
           SELECT * FROM posted QUALIFY row_number() OVER (PARTITION BY item_id, ruleset ORDER BY posted_ms DESC) = 1)
         SELECT item_id, 2 AS n_applicable, count(*)::int AS n_posted,
                string_agg(ruleset || '=' || outcome, '|' ORDER BY ruleset) AS results FROM newest GROUP BY item_id"""),
+    "assembled_whole_results": _plain("""
+        SELECT id AS item_id, (CASE WHEN event_type = 'error' THEN 1 ELSE 2 END)::int AS n_posted, 'FraudRules:LocationBasedRules' AS ruleset,
+               loc_outcome AS outcome, loc_reason AS reason, loc_total AS result_double, NULL::varchar AS result_risk FROM judged
+        UNION ALL
+        SELECT id, 2, 'FraudRules:Merchant Rules', m_outcome, m_reason, NULL, m_risk FROM judged WHERE event_type <> 'error'"""),
     "complete_items": _plain(
         "SELECT id AS item_id, 2 AS n_posted FROM txn WHERE event_type <> 'error'"),
     "pending_items": _plain("""
@@ -313,9 +318,13 @@ SQL = {
                CASE WHEN amount_risk IS NULL THEN 'Merchant must be set' END AS error
         FROM scored"""),
     "credit_limit_lists": _plain("""
-        SELECT id, 1 AS expected_rules, 1 AS n_results,
-               'CreditLimitRule evaluated to: ' || CASE WHEN credit_ok THEN 'true' ELSE 'false' END AS results
-        FROM scored"""),
+        , said AS (
+          SELECT id, 'CreditLimitRule' AS rule, credit_ok AS ok FROM scored
+          UNION ALL SELECT id, 'CreditReserveRule', balance + amount <= 0.9 * credit_limit FROM scored WHERE amount >= 25
+          UNION ALL SELECT id, 'LimitShareRule', amount <= 0.01 * credit_limit FROM scored WHERE n % 2 = 0)
+        SELECT id, 3 AS expected_rules, count(*) AS n_results,
+               string_agg(rule || ' evaluated to: ' || CASE WHEN ok THEN 'true' ELSE 'false' END, '|' ORDER BY rule) AS results
+        FROM said GROUP BY id"""),
     "odd_even_split": _plain("""
         SELECT id, CASE WHEN n % 2 = 0 THEN 'waterfall' ELSE 'credit' END AS flow,
                CASE WHEN n % 2 = 0 AND amount_risk IS NULL THEN 'Pending'
@@ -353,6 +362,12 @@ SQL = {
         SELECT name, value, (SELECT max(ts_s) FROM txn) AS epoch_s FROM metric {_LAST_READING}"""),
     "metric_lines": _over(_TICKS, query=_LINES),
     "metric_series": _over(_TICKS, query="SELECT tick_s, name, value FROM metric"),
+    "verdicts_by_rules_version": _plain("""
+        SELECT id, (CASE WHEN later THEN 1 ELSE 0 END)::int AS rules_version, (CASE WHEN later THEN 1 ELSE 2 END)::int AS n_applicable,
+               CASE WHEN later THEN m_outcome ELSE final_status END AS final_status,
+               CASE WHEN NOT later AND loc_outcome <> 'Approved' THEN 'FraudRules:LocationBasedRules'
+                    WHEN m_outcome <> 'Approved' THEN 'FraudRules:Merchant Rules' END AS rejecting_ruleset
+        FROM (SELECT *, ts >= TIMESTAMP '2024-01-01 12:00:00' AS later FROM judged)"""),
     "payment_rate": _over(_TICKS, query="""
         SELECT ((tick + 1) * 5)::bigint AS tick_s, done::bigint AS completions,
                (done - lag(done, 1, 0) OVER (ORDER BY tick)) / 5.0::double AS payments_per_s FROM cumulative"""),
@@ -370,29 +385,36 @@ SQL = {
         UNION ALL
         SELECT 'FraudRules:Merchant Rules', 'bib.rejectedby.FraudRules_Merchant_Rules', count(*)
         FROM judged WHERE m_outcome <> 'Approved'"""),
-    "sliding_merchant_avg": _over(_WINDOWS, query="SELECT * FROM windowed"),
+    "sliding_merchant_avg": _over(_WINDOWS, query="SELECT merchant_id, window_end_s, round(avg_amount, 6) AS avg_amount, n_txns FROM windowed"),
+    "sliding_merchant_spread": _plain("""
+        SELECT merchant_id, (ts_s // 5 + k) * 5 AS window_end_s, count(*) AS n, round(stddev_pop(amount), 4) AS spread,
+               round(avg((amount >= 25)::int), 6) AS large_share
+        FROM txn, (SELECT unnest(generate_series(1, 20)) AS k) WHERE merchant_id IS NOT NULL GROUP BY ALL"""),
+    "spread_without_clicks": _plain("""
+        SELECT acct_number, count(*) AS n, round(sum(amount), 4) AS total, round(stddev_pop(amount), 4) AS spread
+        FROM txn WHERE event_type <> 'click' GROUP BY 1"""),
     "tumbling_tps": _plain("""
         SELECT (ts_s // 30 + 1) * 30 AS window_end_s, count(*) AS n_items,
                (count(*) // 30)::varchar || ' TPS' AS tps FROM txn GROUP BY ts_s // 30"""),
     "updated_merchants": _over(_WINDOWS, query="""
-        SELECT m.id, m.name, m.reputation, w.avg_amount AS avg_txn_amount, m.location, w.window_end_s
+        SELECT m.id, m.name, m.reputation, round(w.avg_amount, 6) AS avg_txn_amount, m.location, w.window_end_s
         FROM merchant m JOIN (
           SELECT * FROM windowed WHERE window_end_s <= (SELECT max(ts_s) FROM txn)
           QUALIFY row_number() OVER (PARTITION BY merchant_id ORDER BY window_end_s DESC) = 1) w
         ON m.id = w.merchant_id"""),
     "average_changes": _over(_WINDOWS, query="""
-        SELECT merchant_id, window_end_s, old_average, new_average FROM (
+        SELECT merchant_id, window_end_s, round(old_average, 6) AS old_average, round(new_average, 6) AS new_average FROM (
           SELECT w.merchant_id, w.window_end_s, w.avg_amount AS new_average,
                  coalesce(lag(w.avg_amount) OVER (PARTITION BY w.merchant_id ORDER BY w.window_end_s),
                           m.avg_txn_amount) AS old_average
           FROM windowed w JOIN merchant m ON w.merchant_id = m.id)
-        WHERE round(abs(new_average - old_average), 6) > 1.0"""),
+        WHERE round(abs(new_average - old_average), 9) > 1.0"""),
     "asof_feedback": _over(_WINDOWS, query="""
         , live AS (
           SELECT s.*, coalesce(w.avg_amount, s.avg_txn_amount) AS average
           FROM scored s ASOF LEFT JOIN windowed w
             ON s.merchant_id = w.merchant_id AND s.ts_s >= w.window_end_s)
-        SELECT id, CASE WHEN m_id IS NOT NULL THEN average END AS average,
+        SELECT id, CASE WHEN m_id IS NOT NULL THEN round(average, 6) END AS average,
                CASE WHEN m_id IS NULL THEN 'LOW'
                     WHEN amount BETWEEN average - trunc(average / 5) AND average + trunc(average / 5) THEN 'LOW'
                     WHEN amount BETWEEN average - 2 * trunc(average / 5) AND average + 2 * trunc(average / 5) THEN 'MEDIUM'
@@ -424,10 +446,26 @@ SQL |= {
     "stream_throughput": SQL["tumbling_tps"],
     "stream_merchant_avg": SQL["sliding_merchant_avg"],
     "stream_updated_merchants": SQL["updated_merchants"],
-    "stream_assembly": SQL["complete_items"],
+    # A signup is complete with its early approval; items that lack a result time out after 300 seconds.
+    "stream_assembly": _plain("""
+        , firsts AS (SELECT item_id, ruleset, min(posted_ms) AS f FROM posted GROUP BY ALL),
+        ended AS (SELECT item_id, CASE WHEN count(*) >= 2 THEN max(f) END AS ended_at FROM firsts GROUP BY 1),
+        counted AS (
+          SELECT item_id, ruleset, arg_max(outcome, posted_ms) AS outcome, any_value(ended_at) AS ended_at
+          FROM posted JOIN ended USING (item_id) WHERE ended_at IS NULL OR posted_ms <= ended_at GROUP BY ALL)
+        SELECT item_id, CASE WHEN ended_at IS NULL THEN 'TIMED_OUT' ELSE 'COMPLETE' END AS status, count(*)::int AS n_posted,
+               string_agg(ruleset || '=' || outcome, '|' ORDER BY ruleset) AS results
+        FROM counted JOIN txn ON txn.id = item_id
+        WHERE ended_at IS NOT NULL OR ts + INTERVAL 300 SECOND < (SELECT max(ts) FROM txn) GROUP BY item_id, ended_at"""),
     "stream_feedback": SQL["asof_feedback"],
     "stream_envelopes": _plain("SELECT id AS item_id, 2 AS n_applicable, t_routed, amount FROM judged"),
-    "stream_metrics": _over(_TICKS, query=f"""
-        SELECT name, value, (SELECT max(ts_s) FROM txn) AS epoch_s FROM metric {_LAST_READING}
-        AND name <> 'bib.payment.rate'"""),
+    "stream_metrics": SQL["metric_snapshot"],
+    "stream_metric_series": SQL["metric_series"],
+    "stream_credit_lists": SQL["credit_limit_lists"],
+    "stream_stage_report": """
+        SELECT stage, (SELECT count(*) FROM events) AS n_items, true AS in_order, CASE WHEN stage = 'Aggregator' THEN true END AS has_latency
+        FROM (SELECT unnest(['FraudRules:LocationBasedRules', 'FraudRules:Merchant Rules', 'Aggregator']) AS stage)""",
+    "stream_pending_items": _plain("""
+        SELECT item_id, 2 AS n_applicable, count(*) AS n_results, string_agg(ruleset || '=' || outcome, '|' ORDER BY ruleset, outcome) AS results
+        FROM posted GROUP BY item_id HAVING count(DISTINCT ruleset) < 2"""),
 }

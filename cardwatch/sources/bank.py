@@ -36,8 +36,10 @@ def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def account(spark: SparkSession, sf_dir: str, acct_number: str) -> DataFrame:
     """The account of that number; the filter is on the stored key, so it reaches the scan."""
-    stored = given(spark, sf_dir, "customer").where(F.col("c_custkey") == F.lit(int(acct_number)))
-    return _accounts_from(stored).where(F.col("acct_number") == acct_number)
+    stored = given(spark, sf_dir, "customer").where(
+        F.col("c_custkey") == F.lit(stored_number(acct_number, ACCOUNT_ID_DIGITS))
+    )
+    return _accounts_from(stored)
 
 
 def _accounts_from(customers: DataFrame) -> DataFrame:
@@ -84,6 +86,20 @@ def merchant_count(spark: SparkSession, sf_dir: str) -> Column:
     return given(spark, sf_dir, "supplier").agg(F.count(F.lit(1))).scalar()
 
 
+def stored_number(padded: str, digits: int) -> int | None:
+    """The number behind a padded id; None if no stored number is padded to it, so that nothing matches."""
+    if not (padded.isascii() and padded.isdigit()) or int(padded) >= 2**63:
+        return None
+    return int(padded) if str(int(padded)).rjust(digits, "0") == padded else None
+
+
+def transactions_of(spark: SparkSession, sf_dir: str, acct_number: str) -> DataFrame:
+    """The transactions of one account; the filter is on the stored key, so it reaches the scan."""
+    number = stored_number(acct_number, ACCOUNT_ID_DIGITS)
+    events = given(spark, sf_dir, "events").where(F.col("user_id") == F.lit(number))
+    return transactions_from(events, merchant_count(spark, sf_dir))
+
+
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transactions_from(
         given(spark, sf_dir, "events"), merchant_count(spark, sf_dir)

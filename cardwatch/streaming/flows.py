@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -10,24 +10,63 @@ from cardwatch.fixed_values import (
     AVERAGE_SLIDE_S,
     THROUGHPUT_WINDOW_S,
 )
-from cardwatch.functions import scalars
-from cardwatch.operators import enrich, metrics, verdicts, windows
+from cardwatch.operators import metrics, verdicts, windows
 from cardwatch.operators.rules import Registry
 from cardwatch.sources import sinks
+from cardwatch.streaming.ordered import score_live, still_needed
 
 BatchWriter = Callable[[DataFrame, int], None]
 
 
-def versions(path: str, *keys: str, fold_every: int = 20) -> BatchWriter:
+def versions(path: str, *keys: str, fold_every: int = 20, keep: int = 2) -> BatchWriter:
     """Write each micro-batch as one version of the keyed table at ``path``.
 
-    With keys, the versions are folded into a snapshot every so many batches.
+    With keys, the versions are folded into a snapshot every so many batches, and what
+    the newest ``keep`` snapshots replace is removed.
     """
 
     def write(rows: DataFrame, batch_id: int) -> None:
         sinks.write_version(rows, path, batch_id)
         if keys and batch_id % fold_every == fold_every - 1:
             sinks.compact(rows.sparkSession, path, keys, batch_id)
+            sinks.vacuum(rows.sparkSession, path, keep)
+
+    return write
+
+
+def appended(path: str, *keys: str, fold_every: int = 20, keep: int = 2) -> BatchWriter:
+    """Append each micro-batch to the lists of the table at ``path``; folded and cleaned up every so many batches."""
+
+    def write(rows: DataFrame, batch_id: int) -> None:
+        spark = rows.sparkSession
+        sinks.write_version(rows, path, batch_id)
+        if batch_id % fold_every == fold_every - 1:
+            sinks.compact_entries(spark, path, keys, batch_id)
+            sinks.vacuum(spark, path, keep)
+
+    return write
+
+
+def summed(
+    path: str,
+    keys: Sequence[str],
+    fields: Sequence[str],
+    fold: Callable[[DataFrame], DataFrame],
+    fold_every: int = 20,
+    keep: int = 2,
+) -> BatchWriter:
+    """Fold each micro-batch to parts of sums and keep them at ``path``; ``sinks.read_summed`` adds them up.
+
+    The stream itself has no state and needs no watermark: no row is too late, and a batch given
+    twice replaces its parts. The table holds a row per key, as any result of the sums would.
+    """
+
+    def write(rows: DataFrame, batch_id: int) -> None:
+        spark = rows.sparkSession
+        sinks.write_version(fold(rows), path, batch_id)
+        if batch_id % fold_every == fold_every - 1:
+            sinks.compact_summed(spark, path, keys, fields, batch_id)
+            sinks.vacuum(spark, path, keep)
 
     return write
 
@@ -92,7 +131,7 @@ def assembly_stream(postings: DataFrame, rulesets: list[str], ttl_s: int | None
     that never complete. Update mode reports completions at once; append mode
     reports each item a single time when it expires.
     """
-    return verdicts.assemble_outcomes(
+    return verdicts.assembled_stream_outcomes(
         _watermarked(postings, ttl_s), rulesets, keys=("item_id", "ts")
     )
 
@@ -131,30 +170,10 @@ def metric_writer(spark: SparkSession, registry: Registry, path: str) -> BatchWr
 
 # --- live averages --------------------------------------------------------------
 
-def score_live(transactions: DataFrame, slices: DataFrame, merchants: DataFrame) -> DataFrame:
-    """Amount risk against the average in force at each payment."""
-    live = windows.with_live_average(transactions, slices)
-    rows = enrich.with_merchant(live, merchants)
-    average = F.when(
-        F.col("merchant.id").isNotNull(), F.coalesce("live_average", "merchant.avg_txn_amount")
-    )
-    risk = F.expr(f"coalesce({scalars.amount_risk('amount', 'average')}, 'LOW')")
-    return rows.select("id", "amount", average.alias("average")).select(
-        "id", "average", risk.alias("risk")
-    )
-
-
-def still_needed(slices: DataFrame) -> DataFrame:
-    """The slices a later payment can still see: the last window's and each merchant's last."""
-    newest = slices.agg(F.max("slice")).scalar()
-    last = slices.groupBy("merchant_id").agg(F.max("slice").alias("last_slice"))
-    recent = F.col("slice") >= newest - windows.SLICES_PER_WINDOW
-    marked = slices.join(last, "merchant_id")
-    return marked.where(recent | (F.col("slice") == F.col("last_slice"))).drop("last_slice")
-
-
 def feedback_writer(spark: SparkSession, merchants: DataFrame, path: str) -> BatchWriter:
-    """Score each batch with the averages kept up by the batches before it.
+    """Score each batch on arrival with the averages kept up by the batches before it.
+
+    ``ordered.OrderedScoring`` scores in event time instead.
 
     The kept slices alternate between two folders: a batch reads its predecessor's
     and replaces its own, so a repeated batch sees the same input.
@@ -162,16 +181,18 @@ def feedback_writer(spark: SparkSession, merchants: DataFrame, path: str) -> Bat
 
     def write(batch: DataFrame, batch_id: int) -> None:
         transactions = batch.persist()
-        slices = windows.merchant_slices(transactions)
-        if batch_id > 0:
-            kept = spark.read.parquet(f"{path}/slices/{(batch_id - 1) % 2}")
-            slices = slices.unionByName(kept).groupBy("merchant_id", "slice").agg(
-                F.sum("total").alias("total"), F.sum("n").alias("n")
+        try:
+            slices = windows.merchant_slices(transactions)
+            if batch_id > 0:
+                kept = spark.read.parquet(f"{path}/slices/{(batch_id - 1) % 2}")
+                slices = slices.unionByName(kept).groupBy("merchant_id", "slice").agg(
+                    F.sum("total").alias("total"), F.sum("n").alias("n")
+                )
+            sinks.write_version(
+                score_live(transactions, slices, merchants), f"{path}/verdicts", batch_id
             )
-        sinks.write_version(
-            score_live(transactions, slices, merchants), f"{path}/verdicts", batch_id
-        )
-        still_needed(slices).write.mode("overwrite").parquet(f"{path}/slices/{batch_id % 2}")
-        transactions.unpersist()
+            still_needed(slices).write.mode("overwrite").parquet(f"{path}/slices/{batch_id % 2}")
+        finally:
+            transactions.unpersist()
 
     return write

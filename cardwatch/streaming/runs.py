@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import json
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -88,24 +89,79 @@ def drain(query: StreamingQuery) -> StreamingQuery:
     return query
 
 
+def last_batch(query: StreamingQuery) -> int:
+    """Number of the last batch a query ran, -1 if it had none."""
+    ran = query.lastProgress
+    return ran.batchId if ran is not None else -1
+
+
 _PROGRESS = (
     "batch_id long, input_rows long, rows_per_second double, batch_ms long, dropped_late_rows long"
 )
 
 
+def _reported(p) -> tuple:
+    return (
+        p.batchId,
+        p.numInputRows,
+        float(p.processedRowsPerSecond or 0.0),
+        int(p.durationMs.get("triggerExecution", 0)),
+        sum(s.numRowsDroppedByWatermark for s in p.stateOperators),
+    )
+
+
 def progress(spark: SparkSession, query: StreamingQuery) -> DataFrame:
-    """What the query reported about its recent batches, one row per batch."""
-    rows = [
-        (
-            p.batchId,
-            p.numInputRows,
-            float(p.processedRowsPerSecond or 0.0),
-            int(p.durationMs.get("triggerExecution", 0)),
-            sum(s.numRowsDroppedByWatermark for s in p.stateOperators),
-        )
-        for p in query.recentProgress
-    ]
-    return spark.createDataFrame(rows, _PROGRESS)
+    """What the query reported about its recent batches, one row per batch.
+
+    A query remembers its last batches only; ``ProgressLog`` keeps those of a whole run.
+    """
+    return spark.createDataFrame([_reported(p) for p in query.recentProgress], _PROGRESS)
+
+
+class ProgressLog(StreamingQueryListener):
+    """Keeps what every batch of the streams of a session reports, in a folder of one text file a batch.
+
+    ``with ProgressLog(spark, folder) as log: ...`` listens while the block runs. A report of a
+    batch given twice replaces the one before it. Values named by ``DataFrame.observe`` are kept, too.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def __enter__(self) -> ProgressLog:
+        self.spark.streams.addListener(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        # Events are delivered in the background; those of ended queries are on their way.
+        self.spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        self.spark.streams.removeListener(self)
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        names = [f.split()[0] for f in _PROGRESS.split(", ")]
+        observed = {name: row.asDict() for name, row in p.observedMetrics.items()}
+        line = json.dumps({"run_id": str(p.runId), **dict(zip(names, _reported(p))), "observed": observed}, default=str)
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{p.runId}-{p.batchId}.json")
+        out = where.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(where, True)
+        try:
+            out.write(bytearray(line.encode()))
+        finally:
+            out.close()
+
+    def batches(self, query: StreamingQuery | None = None) -> DataFrame:
+        """One row per batch that reported, of one query's run or of all."""
+        rows = self.spark.read.schema(f"run_id string, {_PROGRESS}, observed map<string,map<string,string>>").json(f"{self.folder}/*.json")
+        return rows if query is None else rows.where(F.col("run_id") == str(query.runId))
 
 
 def pacing_report(reported: DataFrame, interval_ms: int) -> DataFrame:

@@ -197,14 +197,30 @@ def test_unlisted_sets_and_outcomes_are_kept(spark):
         ("b", 64, "x", 2, "RejectedForFraud", 10), ("b", 0, "y", 2, "Approved", 11),
     ], POSTED)
     found = {r.item_id: r for r in verdicts.assemble_outcomes(postings, ["x", "y"]).collect()}
-    assert found["a"].results == {"x": "Approved", "y": "Other", "Other": "Approved"}
+    assert found["a"].results == {"x": "Approved", "y": "Other", "late set": "Approved"}
     named = verdicts.assemble_outcomes(postings, ["x", "y"], outcomes=("Approved", "NeedsReview")).collect()
     assert {r.item_id: r.results["y"] for r in named} == {"a": "NeedsReview", "b": "Approved"}
-    assert {r.item_id: r.n_results for r in verdicts.result_lists(postings, ["x", "y"]).collect()} == {"a": 3, "b": 2}
+    lists = {r.item_id: r for r in verdicts.result_lists(postings, ["x", "y"]).collect()}
+    assert {i: r.n_results for i, r in lists.items()} == {"a": 3, "b": 2}
+    assert sorted(tuple(e) for e in lists["a"].results) == [("late set", "Approved", 1), ("x", "Approved", 1), ("y", "NeedsReview", 1)]
     first = {r.item_id: (r.n_received, r.first_outcome) for r in verdicts.first_outcomes(postings).collect()}
     assert first == {"a": (3, "Approved"), "b": (2, "RejectedForFraud")}
 
 
+def test_two_unlisted_sets_complete_an_item(spark):
+    postings = spark.createDataFrame([
+        ("a", 8, "one", 2, "Approved", 10), ("a", 9, "two", 2, "RejectedForFraud", 11), ("a", 9, "two", 2, "Approved", 12),
+        ("b", 8, "one", 2, "Approved", 10), ("b", 8, "one", 2, "Approved", 13),
+    ], POSTED)
+    for rows in (
+        verdicts.assemble_outcomes(postings, ["x"]), verdicts.assemble(postings, ["x"], ["outcome", "posted_ms"], ["posted_ms"]),
+    ):
+        found = {r.item_id: r for r in rows.collect()}
+        assert set(found["a"].results) == {"one", "two"} and (found["a"].n_posted, found["b"].n_posted) == (2, 1)
+        assert [r.item_id for r in verdicts.complete(rows).collect()] == ["a"]
+    assert found["a"].results["two"].outcome == "Approved" and found["b"].results["one"].posted_ms == 13
+
+
 def test_sets_without_rules_or_results(spark):
     frame = spark.createDataFrame([("1", 5.0)], "id string, amount double")
     for rule_set, outcome in ((location_rules(), "RejectedForFraud"), (merchant_rules(), "Approved"), (credit_rules(), "Approved")):

@@ -68,7 +68,7 @@ def test_slices_over_batches(spark, pieces, tmp_path):
     slices = flows.slice_stream(stored(spark, pieces))
     runs.drain(runs.start_batches(slices, flows.versions(f"{tmp_path}/o"), f"{tmp_path}/c"))
     newest = sinks.read_newest(spark, f"{tmp_path}/o", "merchant_id", "slice")
-    assert rows(windows.sliding_average(newest)) == rows(batch.sliding_merchant_avg(spark, pieces))
+    assert rows(inputs.shown(windows.sliding_average(newest), "avg_amount")) == rows(batch.sliding_merchant_avg(spark, pieces))
 
 
 @pytest.mark.parametrize("per_trigger", [1, 2, 4])
@@ -84,7 +84,7 @@ def test_files_out_of_order_lose_nothing(spark, pieces, tmp_path, per_trigger):
     slices = flows.slice_stream(stored(spark, folder, per_trigger))
     runs.drain(runs.start_batches(slices, flows.versions(f"{folder}/s"), f"{folder}/c1"))
     newest = sinks.read_newest(spark, f"{folder}/s", "merchant_id", "slice")
-    assert rows(windows.sliding_average(newest)) == rows(batch.sliding_merchant_avg(spark, pieces))
+    assert rows(inputs.shown(windows.sliding_average(newest), "avg_amount")) == rows(batch.sliding_merchant_avg(spark, pieces))
     judged = inputs.judge(stored(spark, folder, per_trigger), bank.merchants(spark, folder), default_registry())
     assembled = flows.assembly_stream(inputs.post(judged, default_registry()), inputs.ruleset_names())
     done = verdicts.complete(assembled).select("item_id", "n_posted")
@@ -105,7 +105,7 @@ def test_live_feedback_over_batches(spark, pieces, tmp_path):
     writer = flows.feedback_writer(spark, bank.merchants(spark, pieces), str(tmp_path))
     runs.drain(runs.start_batches(stored(spark, pieces), writer, f"{tmp_path}/c", mode="append"))
     scored = spark.read.parquet(f"{tmp_path}/verdicts").drop("batch_id")
-    assert rows(scored) == rows(batch.asof_feedback(spark, pieces))
+    assert rows(inputs.shown(scored, "average")) == rows(batch.asof_feedback(spark, pieces))
     assert sorted(os.listdir(f"{tmp_path}/slices")) == ["0", "1"]
 
 
@@ -116,7 +116,7 @@ def test_feedback_batch_may_be_repeated(spark, sf, tmp_path):
     for batch_id in (0, 1, 1):
         writer(halves[batch_id], batch_id)
     scored = spark.read.parquet(f"{tmp_path}/verdicts").drop("batch_id")
-    assert rows(scored) == rows(batch.asof_feedback(spark, sf))
+    assert rows(inputs.shown(scored, "average")) == rows(batch.asof_feedback(spark, sf))
 
 
 def test_metric_readings_and_rate(spark, pieces, tmp_path):
