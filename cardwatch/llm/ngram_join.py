@@ -3,7 +3,11 @@
 Two documents link when the Jaccard similarity of their 5-word shingle sets is at least
 0.8. Under any global order of the shingles, such sets share one of the first
 ``n - ceil(0.8 n) + 1``. Candidates share one under the main order (found by a join), and
-under ``ORDERS`` further orders (checked on the pair) before their sets are compared.
+under ``ORDERS`` further orders (checked on the pair).
+
+Sets are compared only after the filters of all orders are intersected: each set keeps its
+prefix under every further order (32 bits a shingle), and a pair without a common entry
+under each goes before any text moves.
 
 The main order is by hash, with *common* shingles last: those that more than ``COMMON``
 documents carry near the front. A passage that thousands of documents share is therefore
@@ -47,6 +51,10 @@ SKETCH_LONGS = 8
 BLOOM_BITS = 1 << 26
 
 _SKETCH = [f"b{k}" for k in range(SKETCH_LONGS)]
+_FURTHER = [f"order{k}" for k in range(ORDERS)]
+_SETS = ", ".join([
+    "doc_id long", "n long", "identity binary", "front array<long>", *(f"{o} array<int>" for o in _FURTHER), *(f"{b} long" for b in _SKETCH),
+])
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _FIN = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -85,25 +93,41 @@ def parities(s: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
+def later_prefixes(s: np.ndarray, orders: int = ORDERS) -> list[np.ndarray]:
+    """The set's prefixes under the further orders, each shingle as 32 bits of its place in the order."""
+    p, out = prefix_size(len(s)), []
+    for k in range(orders):
+        v = s.view(np.uint64) * np.uint64((int(_MIX) + 2 * k * 0x2545F4914F6CDD1D) % 2**64)
+        v ^= v >> np.uint64(31)
+        out.append((np.partition(v, p - 1)[:p] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32) if len(s) else np.empty(0, np.int32))
+    return out
+
+
+def _lists(values: list[np.ndarray], kind) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values) if values else np.empty(0, kind)))
+
+
 @lean
 def _sets(batches):
     for batch in batches:
         size, identity, front, sketch = [], [], [], []
+        further: list[list[np.ndarray]] = [[] for _ in _FURTHER]
         for text in batch.column(1):
             s = shingles(text.as_py())
             size.append(len(s))
             identity.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
             front.append(s[: _front_size(len(s))] if len(s) else s)
             sketch.append(parities(s))
-        ends = np.concatenate([[0], np.cumsum([len(f) for f in front])]).astype(np.int32)
-        values = np.concatenate(front) if front else np.empty(0, np.int64)
+            for column, prefix in zip(further, later_prefixes(s), strict=True):
+                column.append(prefix)
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0), pa.array(size, pa.int64()), pa.array(identity, pa.binary()),
-                pa.ListArray.from_arrays(pa.array(ends), pa.array(values)),
+                _lists(front, np.int64), *(_lists(f, np.int32) for f in further),
                 *(pa.array(np.array(b, np.int64)) for b in np.reshape(sketch, (-1, SKETCH_LONGS)).T),
             ],
-            names=["doc_id", "n", "identity", "front", *_SKETCH],
+            names=["doc_id", "n", "identity", "front", *_FURTHER, *_SKETCH],
         )
 
 
@@ -168,16 +192,6 @@ def _handed(sets: DataFrame, ids: DataFrame, tokens: DataFrame | None = None) ->
     return rows if tokens is None else rows.withColumn("h", F.xxhash64("token")).mapInArrow(run_only, schema)
 
 
-def _later_orders(s: np.ndarray, orders: int) -> list[np.ndarray]:
-    """The set's prefixes under the further orders."""
-    p, out = prefix_size(len(s)), []
-    for k in range(orders):
-        v = s.view(np.uint64) * np.uint64((int(_MIX) + 2 * k * 0x2545F4914F6CDD1D) % 2**64)
-        v ^= v >> np.uint64(31)
-        out.append(np.sort(np.partition(v, p - 1)[:p]))
-    return out
-
-
 def _common(a: np.ndarray, b: np.ndarray) -> int:
     """Size of the intersection of two sorted sets."""
     if len(a) > len(b):
@@ -186,10 +200,7 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(at, len(b) - 1)] == a).sum())
 
 
-def similar(a: np.ndarray, b: np.ndarray, a_orders: list[np.ndarray], b_orders: list[np.ndarray]) -> bool:
-    """Both share a prefix shingle under every further order, and are similar."""
-    if not all(_common(x, y) for x, y in zip(a_orders, b_orders, strict=True)):
-        return False
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
     both = _common(a, b)
     return 100 * both >= 80 * (len(a) + len(b) - both)
 
@@ -197,21 +208,43 @@ def similar(a: np.ndarray, b: np.ndarray, a_orders: list[np.ndarray], b_orders:
 @lean
 def _compare(batches):
     """Rows come by hub, the hub's own row first."""
-    hub, own, own_orders = None, None, None
+    hub, own = None, None
     for batch in batches:
         a, b = [], []
         for key, is_hub, doc, text in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
             s = shingles(text)
             if is_hub:
-                hub, own, own_orders = key, s, _later_orders(s, ORDERS)
-            elif key == hub and similar(own, s, own_orders, _later_orders(s, ORDERS)):
+                hub, own = key, s
+            elif key == hub and similar(own, s):
                 a.append(doc)
                 b.append(hub)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def _meeting_in_all(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those pairs (hub, id) that share a prefix shingle under every further order, each once.
+
+    Several texts under one id all count: the pair stays if any two of them meet.
+    """
+    ids = pairs.select("hub").unionByName(pairs.select(F.col("id").alias("hub"))).distinct()
+    bits = sets.sparkSession.sparkContext.broadcast(_bloom(ids))
+    names = ["doc_id", *_FURTHER]
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(_passes(bits.value, batch.column(len(names)).to_numpy()))).select(names)
+
+    known = sets.where("n > 0 and doc_id is not null").select(*names, F.xxhash64("doc_id").alias("h"))
+    known = stash(known.mapInArrow(run, "doc_id long, " + ", ".join(f"{o} array<int>" for o in _FURTHER)), "further")
+    for role in ("hub", "id"):
+        pairs = pairs.join(known.select(F.col("doc_id").alias(role), *[F.col(o).alias(f"{role}_{o}") for o in _FURTHER]), role)
+    meet = " and ".join(f"arrays_overlap(hub_{o}, id_{o})" for o in _FURTHER)
+    return pairs.where(meet).select("hub", "id").distinct()
+
+
+def _links(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those pairs (hub, id) whose texts are similar, as a, b."""
+    pairs = stash(_meeting_in_all(sets, stash(pairs, "met")), "meeting")
     pairs = pairs.join(pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("of_hub")), "hub")
     pairs = stash(pairs.selectExpr("hub", f"cast(pmod(xxhash64(id), of_hub div {SLICE} + 1) as long) as slice", "id"), "pairs")
     roles = pairs.select("hub", "slice", F.lit(False).alias("is_hub"), "id").unionByName(
@@ -259,9 +292,9 @@ def _main_order(docs: DataFrame, sets: DataFrame, ids: DataFrame, common: int) -
     """
     p = F.expr("n - (4 * n + 4) div 5 + 1")
     handed = _handed(sets, ids)
-    shared = stash(
-        handed.withColumn("times", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("times > 1"), "shared"
-    )
+    # Counted by groups, which fold before the shuffle; the join back can be split where a token is hot.
+    times = handed.groupBy("token").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    shared = stash(handed.join(times, "token"), "shared")
     # How far common shingles move the others forward, and who lacks shingles then.
     each = shared.groupBy("id", "n").agg(
         F.array_sort(F.collect_list(F.when(F.col("times") > common, F.col("pos")))).alias("hot_pos"), F.count(F.lit(1)).alias("n_shared")
@@ -307,7 +340,7 @@ def _main_order(docs: DataFrame, sets: DataFrame, ids: DataFrame, common: int) -
 def similarity_components(documents: DataFrame, common: int = COMMON) -> DataFrame:
     """doc_id, n_shingles, component_id and class_id (least id with an equal set) of every row."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = stash(docs.mapInArrow(_sets, "doc_id long, n long, identity binary, front array<long>, " + ", ".join(f"{b} long" for b in _SKETCH)), "sets")
+    sets = stash(docs.mapInArrow(_sets, _SETS), "sets")
     classes = stash(sets.where("n > 0").groupBy("identity").agg(F.min("doc_id").alias("class_id")), "classes")
     rows = stash(_main_order(docs, sets, classes.select("class_id").where("class_id is not null"), common), "prefixes")
 
@@ -315,10 +348,10 @@ def similarity_components(documents: DataFrame, common: int = COMMON) -> DataFra
     # own, which in a family of copies is the text they come from.
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(1.25)))
     rows = rows.withColumn("band", band)
-    least = F.min(F.struct("own", "id", F.col("pos").alias("p1"), F.col("n").alias("n1"))).over(Window.partitionBy("token", "band"))
-    stars = rows.withColumn("least", least).selectExpr("least.id as hub", "id", "least.p1 as p1", "pos as p2", "least.n1 as n1", "n as n2")
+    least = rows.groupBy("token", "band").agg(F.min(F.struct("own", "id", F.col("pos").alias("p1"), F.col("n").alias("n1"))).alias("least"))
+    stars = rows.join(least, ["token", "band"]).selectExpr("least.id as hub", "id", "least.p1 as p1", "pos as p2", "least.n1 as n1", "n as n2")
     tested = stash(_bounded(stars.where(f"hub <> id and {_SIZES_FIT}")), "stars")
-    links = _links(docs, tested)
+    links = _links(docs, sets, tested)
     group = components(links)
 
     # Second pass: what still lies in different components.
@@ -333,7 +366,7 @@ def similarity_components(documents: DataFrame, common: int = COMMON) -> DataFra
     reach = "9 * (1 + least(n1 - 1 - p1, n2 - 1 - p2) + least(p1, p2)) >= 4 * (n1 + n2)"
     pairs = left.join(right, "token").where(f"hub < id and k1 <> k2 and {_SIZES_FIT} and {reach} and {apart}")
     known = tested.selectExpr("least(hub, id) as hub", "greatest(hub, id) as id")
-    rest = _links(docs, _bounded(pairs).join(known, ["hub", "id"], "left_anti"))
+    rest = _links(docs, sets, _bounded(pairs).join(known, ["hub", "id"], "left_anti"))
     group = components(group.selectExpr("id as a", "component as b").unionByName(rest))
 
     classes = classes.join(group.withColumnRenamed("id", "class_id"), "class_id", "left").select(

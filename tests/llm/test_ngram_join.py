@@ -96,7 +96,22 @@ def test_prefixes_of_similar_sets_meet_under_every_order():
             continue
         both = len(set(a.tolist()) & set(b.tolist()))
         linked = 100 * both >= 80 * (len(a) + len(b) - both)
-        assert ngram_join.similar(a, b, ngram_join._later_orders(a, 3), ngram_join._later_orders(b, 3)) == linked
+        assert ngram_join.similar(a, b) == linked
+        meet = [bool(set(x.tolist()) & set(y.tolist())) for x, y in zip(ngram_join.later_prefixes(a, 3), ngram_join.later_prefixes(b, 3), strict=True)]
+        assert all(meet) or not linked
+
+
+def test_pairs_that_miss_under_one_order_go_before_their_texts_move(lm, frame):
+    """Documents around one passage: those that meet under the main order only aren't compared."""
+    rows = [(k, " ".join([f"s{j}" for j in range(9)] + [f"d{k}w{j}" for j in range(40)])) for k in range(30)]
+    rows += [(100, " ".join(f"z{j}" for j in range(60))), (101, " ".join(f"z{j}" for j in range(58)))]
+    docs = frame(rows)
+    sets = ngram_join.stash(docs.mapInArrow(ngram_join._sets, ngram_join._SETS), "sets")
+    every = [(a, b) for a, b in itertools.combinations([r[0] for r in rows], 2)]
+    meeting = {tuple(r) for r in ngram_join._meeting_in_all(sets, frame(every, "hub long, id long")).collect()}
+    assert (100, 101) in meeting and len(meeting) < len(every) / 2
+    linked = {tuple(sorted(r)) for r in ngram_join._links(docs, sets, frame(every, "hub long, id long")).collect()}
+    assert linked == {(100, 101)}
 
 
 def test_components_of_a_long_path_and_a_star(frame):
