@@ -163,6 +163,16 @@ def trusted_patterns(
 
 _PLAIN = "transform({0}, s -> struct(s.kind as kind, s.start as start, s.end as end))"
 _SPAN = "array<struct<kind:string,start:bigint,end:bigint>>"
+_NONE = f"cast(array() as {_SPAN})"
+
+
+def _found(scanned: DataFrame, **settings) -> DataFrame:
+    """row, found: the candidates in trusted patterns, of the rows that have any."""
+    patterns = trusted_patterns(scanned, **settings)
+    instances = scanned.select("row", F.explode("candidates").alias("s")).select("row", "s", F.explode(F.expr(_patterns("s"))).alias("pattern"))
+    return instances.join(patterns, "pattern").groupBy("row").agg(
+        F.array_sort(F.collect_set(F.expr("struct(s.kind as kind, s.start as start, s.end as end)"))).alias("found")
+    )
 
 
 def personal_spans(documents: DataFrame, **settings) -> DataFrame:
@@ -172,14 +182,8 @@ def personal_spans(documents: DataFrame, **settings) -> DataFrame:
         F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"), "base", "candidates"
     )
     scanned = stash(scanned, "scanned")
-    patterns = trusted_patterns(scanned, **settings)
-    instances = scanned.select("row", F.explode("candidates").alias("s")).select("row", "s", F.explode(F.expr(_patterns("s"))).alias("pattern"))
-    new = instances.join(patterns, "pattern").groupBy("row").agg(
-        F.array_sort(F.collect_set(F.expr("struct(s.kind as kind, s.start as start, s.end as end)"))).alias("found")
-    )
-    return scanned.join(new, "row", "left").select(
-        "doc_id", "text_hash", F.expr(_PLAIN.format("base")).alias("base"),
-        F.coalesce("found", F.expr(f"cast(array() as {_SPAN})")).alias("found"),
+    return scanned.join(_found(scanned, **settings), "row", "left").select(
+        "doc_id", "text_hash", F.expr(_PLAIN.format("base")).alias("base"), F.coalesce("found", F.expr(_NONE)).alias("found"),
     )
 
 
@@ -188,24 +192,35 @@ def redact(documents: DataFrame, **settings) -> DataFrame:
 
     Overlapping spans become one, named after the first, of equal starts the longest. Columns stay as they are;
     n_chars, where there is one, follows the text.
+
+    Each document is written beside its spans, so they need no join. Spans found by context are
+    written first: where they are few, which their size tells, no text is shuffled for them.
     """
-    spans = personal_spans(documents, **settings).where("size(base) + size(found) > 0")
-    spans = stash(spans.select(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"),
-        F.expr("array_sort(transform(concat(base, found), s -> struct(s.start as start, -s.end as back, s.end as end, s.kind as kind)))").alias("_spans"),
-    ).dropDuplicates(["_id", "_hash"]), "spans")
-    joined = documents.join(
-        spans, documents["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(documents["text"].cast("string")) == F.col("_hash")), "left"
+    whole = documents.select(F.struct(*documents.columns).alias("doc"), F.col("text").cast("string").alias("text"))
+    scanned = stash(_scanned(whole).select(F.monotonically_increasing_id().alias("row"), "doc", "base", "candidates"), "scanned")
+    found = stash(_found(scanned, **settings), "found")
+    both = scanned.join(found, "row", "left").select(
+        "doc", F.col("doc.text").cast("string").alias("text"),
+        F.expr(f"concat({_PLAIN.format('base')}, coalesce(found, {_NONE}))").alias("spans"),
     )
+    sorted_spans = F.expr("array_sort(transform(spans, s -> struct(s.start as start, -s.end as back, s.end as end, s.kind as kind)))")
     one = "array<struct<start:bigint,back:bigint,end:bigint,kind:string>>"
-    merged = f"""aggregate(_spans, cast(array() as {one}), (a, s) -> if(size(a) > 0 and element_at(a, -1).end > s.start,
+    merged = f"""aggregate(spans, cast(array() as {one}), (a, s) -> if(size(a) > 0 and element_at(a, -1).end > s.start,
         concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'back', element_at(a, -1).back, 'end', greatest(element_at(a, -1).end, s.end), 'kind', element_at(a, -1).kind))),
         concat(a, array(s))))"""
-    pieces = """array_join(transform(sequence(0, size(_spans)), i -> concat(
-        substring(text, cast(if(i = 0, 0L, _spans[i - 1].end) as int) + 1,
-            cast(if(i = size(_spans), length(text), _spans[i].start) - if(i = 0, 0L, _spans[i - 1].end) as int)),
-        if(i = size(_spans), '', concat('[', upper(_spans[i].kind), ']')))), '')"""
-    out = joined.withColumn("_spans", F.expr(merged)).withColumn("text", F.expr(f"if(_spans is null, text, {pieces})"))
-    if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.expr("if(_spans is null, n_chars, length(text))").cast(documents.schema["n_chars"].dataType))
-    return out.select(*documents.columns)
+    pieces = """array_join(transform(sequence(0, size(spans)), i -> concat(
+        substring(text, cast(if(i = 0, 0L, spans[i - 1].end) as int) + 1,
+            cast(if(i = size(spans), length(text), spans[i].start) - if(i = 0, 0L, spans[i - 1].end) as int)),
+        if(i = size(spans), '', concat('[', upper(spans[i].kind), ']')))), '')"""
+    out = both.withColumn("spans", sorted_spans).withColumn("spans", F.expr(merged))
+    out = out.withColumn("text", F.expr(f"if(size(spans) = 0, text, {pieces})"))
+
+    def column(name: str) -> Column:
+        kind = documents.schema[name].dataType
+        if name == "text":
+            return F.col("text").cast(kind).alias(name)
+        if name == "n_chars":
+            return F.when(F.size("spans") == 0, F.col("doc.n_chars")).otherwise(F.length("text")).cast(kind).alias(name)
+        return F.col("doc")[name].alias(name)
+
+    return out.select(*[column(c) for c in documents.columns])
