@@ -46,7 +46,13 @@ TRANSACTION_ID_DIGITS = 14
 # Merchant number ranges that feed the two named payment counters.
 MERCHANT_GROUPS = {"amazon": (1, 9), "walmart": (10, 20)}
 
-METRIC_PREFIX = "bib"
+# Names of the metrics; a rule set's reject counter has its own name behind the prefix.
+FRAUD_RATE = "bib.fraud.rate"
+PAYMENT_RATE = "bib.payment.rate"
+ALL_PAYMENTS = "bib.payments.all"
+MEAN_LATENCY = "bib.latency.avg"
+GROUP_PAYMENTS = {"amazon": "bib.payments.amazon", "walmart": "bib.payments.walmart"}
+REJECTS_PREFIX = "bib.rejectedby."
 INTERNAL_COUNTER_PREFIX = "pnCounter"
 INTERNAL_COUNTERS = {
     "pnCounterApproved": "approved",
@@ -65,8 +71,8 @@ IDLE_LIMIT_S = 300
 
 # Dashboard bands: metric -> (lower bound, upper bound, colour below, between, above).
 DASHBOARD_BANDS = {
-    "payment.rate": (500.0, 1000.0, "red", "amber", "green"),
-    "fraud.rate": (0.2, 0.5, "green", "amber", "red"),
-    "latency.avg": (20.0, 50.0, "green", "light green", "red"),
+    PAYMENT_RATE: (500.0, 1000.0, "red", "amber", "green"),
+    FRAUD_RATE: (0.2, 0.5, "green", "amber", "red"),
+    MEAN_LATENCY: (20.0, 50.0, "green", "light green", "red"),
 }
 DASHBOARD_SPAN_S = 300

@@ -12,9 +12,9 @@ from cardwatch.fixed_values import (
     CITY_GROUPS,
     EVALUATED_PREFIX,
     FRAUD_SCORE_CUTOFF,
-    METRIC_PREFIX,
     NO_REASON,
     NOT_EVALUATED,
+    REJECTS_PREFIX,
     RISK_SCORES,
 )
 
@@ -157,14 +157,10 @@ def latency_millis(start: Column, stop: Column) -> Column:
     return F.when(stop >= start, stop - start)
 
 
-def metric_name(*parts: str) -> str:
-    return ".".join((METRIC_PREFIX, *parts))
-
-
 def reject_metric_name(ruleset: Column) -> Column:
     """Metric path of a rule set's reject counter, with path-safe characters only."""
     safe = F.regexp_replace(ruleset, "[^A-Za-z0-9]+", "_")
-    return F.concat(F.lit(metric_name("rejectedby") + "."), safe)
+    return F.concat(F.lit(REJECTS_PREFIX), safe)
 
 
 def metric_line(name: Column, value: Column, epoch_seconds: Column) -> Column:

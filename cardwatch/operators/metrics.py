@@ -11,11 +11,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cardwatch.fixed_values import (
+    ALL_PAYMENTS,
     DASHBOARD_BANDS,
     DASHBOARD_SPAN_S,
+    FRAUD_RATE,
+    GROUP_PAYMENTS,
     INTERNAL_COUNTER_PREFIX,
+    MEAN_LATENCY,
     MERCHANT_GROUPS,
     METRIC_INTERVAL_S,
+    PAYMENT_RATE,
 )
 from cardwatch.functions import scalars
 from cardwatch.functions.aggregates import count_when
@@ -101,16 +106,16 @@ def _rate(part: Column, whole: Column) -> Column:
 def _named_values(registry: Registry) -> Column:
     """(name, value, is_count) per metric, from one row of totals."""
     rates = {
-        scalars.metric_name("fraud", "rate"):
+        FRAUD_RATE:
             F.round(_rate(F.col("rejected_fraud_events"), F.col("latency_items")), 6),
-        scalars.metric_name("payment", "rate"):
+        PAYMENT_RATE:
             F.col("interval_completions") / METRIC_INTERVAL_S,
-        scalars.metric_name("payments", "all"): F.col("latency_items"),
-        scalars.metric_name("latency", "avg"):
+        ALL_PAYMENTS: F.col("latency_items"),
+        MEAN_LATENCY:
             F.round(F.try_divide("total_latency_ms", "latency_items"), 6),
     }
     counts = {
-        scalars.metric_name("payments", name): F.col(f"n_{name}") for name in MERCHANT_GROUPS
+        metric: F.col(f"n_{name}") for name, metric in GROUP_PAYMENTS.items()
     }
     entries = [
         _metric(F.lit(name), value, is_count)
@@ -260,12 +265,12 @@ def dashboard(current: DataFrame) -> DataFrame:
     """Current value and colour of each banded metric, from a snapshot by ``tick_s``."""
     colour = reduce(
         lambda rest, metric: F.when(
-            F.col("name") == scalars.metric_name(metric), band(metric, F.col("value"))
+            F.col("name") == metric, band(metric, F.col("value"))
         ).otherwise(rest),
         DASHBOARD_BANDS,
         F.lit(None).cast("string"),
     )
-    banded = F.col("name").isin([scalars.metric_name(m) for m in DASHBOARD_BANDS])
+    banded = F.col("name").isin(list(DASHBOARD_BANDS))
     return current.where(banded).select(
         "name", "value", F.col("tick_s").alias("at_s"), colour.alias("colour")
     )

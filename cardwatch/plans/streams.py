@@ -153,7 +153,7 @@ def stream_credit_lists(spark: SparkSession, sf: str) -> DataFrame:
 def _pumped(spark: SparkSession, sf: str) -> MetricPump:
     staged = metrics.with_stage_times(streamed_verdicts(spark, sf), inputs.txn_number())
     pump = MetricPump(spark, default_registry(), work_dir(spark, "metrics"), delay_s=PUMP_DELAY_S)
-    query = runs.drain(runs.start_batches(metrics.stage_latencies(staged), pump.writer(), f"{pump.path}/checkpoint", mode="append"))
+    query = runs.drain(pump.start(metrics.stage_latencies(staged), live=False))
     pump.finish(runs.last_batch(query))
     return pump
 

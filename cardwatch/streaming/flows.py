@@ -152,7 +152,7 @@ def counter_stream(timed: DataFrame, registry: Registry) -> DataFrame:
 
 
 def metric_writer(spark: SparkSession, registry: Registry, path: str) -> BatchWriter:
-    """Write a metric reading per batch, as rows and as text lines."""
+    """Write a metric reading per batch, as rows and as text lines; ``pump.MetricPump`` reads per tick instead."""
 
     def write(totals: DataFrame, batch_id: int) -> None:
         completions = f"{path}/completions"
@@ -161,6 +161,8 @@ def metric_writer(spark: SparkSession, registry: Registry, path: str) -> BatchWr
             earlier = spark.read.parquet(f"{completions}/batch_id={batch_id - 1}")
             before = earlier.agg(F.max("latency_items")).scalar()
         sinks.write_version(totals.select("latency_items"), completions, batch_id)
+        if batch_id > 1:
+            sinks.remove(spark, f"{completions}/batch_id={batch_id - 2}")
         values = metrics.reading(totals, registry, before)
         sinks.write_version(values, f"{path}/readings", batch_id)
         sinks.write_lines(metrics.metric_lines(values), f"{path}/lines", batch_id)

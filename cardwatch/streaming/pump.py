@@ -13,12 +13,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from cardwatch.fixed_values import METRIC_INTERVAL_S
 from cardwatch.operators import metrics
 from cardwatch.operators.rules import Registry
 from cardwatch.operators.windows import interval_number
 from cardwatch.sources import sinks
+from cardwatch.streaming import runs
 from cardwatch.streaming.carried import Carried
 
 # How often a live pump runs.
@@ -39,6 +41,11 @@ class MetricPump:
     def writer(self) -> Callable[[DataFrame, int], None]:
         return self._write
 
+    def start(self, timed: DataFrame, live: bool = True) -> StreamingQuery:
+        """Pump a stream of judged, timed items: every ``TRIGGER`` while live, else all there is."""
+        trigger = {"processingTime": TRIGGER} if live else {"availableNow": True}
+        return runs.start_batches(timed, self._write, f"{self.path}/checkpoint", mode="append", **trigger)
+
     def _write(self, timed: DataFrame, batch_id: int) -> None:
         fresh = metrics.tick_counters(timed, self.registry).select("tick", *self.counters, "last_ts")
         sinks.write_version(fresh, f"{self.path}/fresh", batch_id)

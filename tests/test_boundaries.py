@@ -363,9 +363,9 @@ def test_sliding_average_across_days(spark):
 
 def test_bands(spark):
     frame = spark.createDataFrame([(0.1,), (0.2,), (0.49,), (0.5,), (None,)], "v double")
-    found = frame.select(metrics.band("fraud.rate", F.col("v")).alias("c"))
+    found = frame.select(metrics.band("bib.fraud.rate", F.col("v")).alias("c"))
     assert values(found, "c") == ["green", "amber", "amber", "red", None]
-    found = frame.select(metrics.band("payment.rate", F.col("v") * 2000).alias("c"))
+    found = frame.select(metrics.band("bib.payment.rate", F.col("v") * 2000).alias("c"))
     assert values(found, "c") == ["red", "red", "amber", "green", None]
 
 

@@ -333,6 +333,23 @@ def test_pump_closes_ticks_carries_totals_and_keeps_late_counts(spark, tmp_path)
     assert sum(line.startswith("bib.payments.amazon ") for line in lines) == 5
 
 
+def test_live_pump_runs_on_its_trigger(spark, sf, tmp_path):
+    from cardwatch.plans import streams
+
+    staged = metrics.with_stage_times(streams.streamed_verdicts(spark, sf), inputs.txn_number())
+    pump = MetricPump(spark, default_registry(), f"{tmp_path}/p")
+    query = pump.start(metrics.stage_latencies(staged))
+    try:
+        deadline = time.time() + 60
+        while time.time() < deadline and not query.recentProgress:
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    assert query.recentProgress[0].numInputRows == 1000
+    # All but the ticks within the delay are read out.
+    assert pump.ticks.after(0).count() <= 2 and pump.readings().where("name = 'bib.payments.all'").count() > 900
+
+
 # --- rules ------------------------------------------------------------------------
 
 def test_registry_round_trip_gives_equal_verdicts(spark, sf, tmp_path):
