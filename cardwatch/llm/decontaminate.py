@@ -34,7 +34,7 @@ from cardwatch.llm.fm_index import FMIndex
 
 WINDOW = 13
 BLOCK_CHARS = 4_000_000
-SHARD_WORDS = 300_000
+SHARD_WORDS = 100_000
 
 SCHEMA = (
     "doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<string>"

@@ -40,8 +40,8 @@ from cardwatch.llm.shared_arrays import SharedArrays, share
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MOST_PIECES = 1_000_000
-BATCH_CHARS = 1_000_000
-CELLS = 500_000
+BATCH_CHARS = 400_000
+CELLS = 250_000
 # Bytes of a part that is cut into windows, of a window's own stretch, and of its way before that.
 LONG = 4096
 STRETCH = 1024
