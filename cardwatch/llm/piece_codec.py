@@ -44,8 +44,8 @@ BATCH_CHARS = 400_000
 CELLS = 250_000
 # Bytes of a part that is cut into windows, of a window's own stretch, and of its way before that.
 LONG = 4096
-STRETCH = 1024
-LEAD = 256
+STRETCH = 512
+LEAD = 128
 _GRID = 2.0**20
 
 _SPACE = "▁"
