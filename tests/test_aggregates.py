@@ -4,6 +4,7 @@ import datetime as dt
 import math
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -83,6 +84,38 @@ def test_sliding_average_makes_no_row_per_window(spark, sf):
     assert text.index("sequence(") < text.index("Window")  # printed from the top
 
 
+def test_average_changes_compare_runs_of_windows(spark, sf):
+    """The windows themselves, twenty a slice, are neither made nor sorted nor shuffled."""
+    text = plan(batch.average_changes(spark, sf))
+    assert "sequence(" not in text
+    by_block = re.findall(r"Exchange hashpartitioning\(merchant_id#\d+, block#\d+L", text)
+    assert len(by_block) == 2  # the same exchange, read for the rows and for the days carried
+
+
+def test_average_changes_are_those_of_all_windows(spark):
+    """Gaps, midnights, changes at one place, amounts unknown and merchants without a stored average."""
+    chance, day = random.Random(7), windows.SLICES_PER_DAY
+    slices = {(m, base + chance.randrange(60)): (chance.choice([None, 10.0, 10.0, 11.5, 90.0]), 2)
+              for m in ("a", "b", "c") for base in (0, day - 30, 3 * day, 3 * day + 500) for _ in range(25)}
+    slices[("a", 700)] = slices[("a", 720)] = (30.0, 3)  # one enters as the other leaves
+    frame = spark.createDataFrame([(m, s, t, 0 if t is None else n) for (m, s), (t, n) in slices.items()], "merchant_id string, slice long, total double, n long")
+    stored = spark.createDataFrame([("a", 10.0), ("b", None)], "id string, avg_txn_amount double")
+    everything, runs = windows.sliding_average(frame), windows.average_runs(frame)
+    found = sorted(map(tuple, windows.average_changes(runs, stored).collect()))
+    assert found == sorted(map(tuple, windows.average_changes(everything, stored).collect()))
+    assert {m for m, *_ in found} == {"a", "b"} and len(found) > 20
+
+    last = {"a": 10.0}
+    expected = []
+    for m, end, average in sorted((r.merchant_id, r.window_end_s, r.avg_amount) for r in everything.collect()):
+        before = last.get(m)
+        if m != "c" and average is not None and before is not None and round(abs(average - before), 9) > 1:
+            expected.append((m, end, before, average))
+        last[m] = average if average is not None else {"a": 10.0}.get(m)
+    assert found == expected
+    assert runs.count() < everything.count() / 2
+
+
 # --- lookups ----------------------------------------------------------------------
 
 def test_account_lookup_reaches_both_scans(spark, sf):
